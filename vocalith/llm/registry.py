@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, packing, sharding
+from . import byte_bpe, exact_dedup, near_dedup, packing, sharding
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_sharding": sharding.op5_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
