@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, near_dedup, packing, sharding
+from . import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_quality_cotraining": quality.op1_quality_cotraining,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_sharding": sharding.op5_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLE_SQL = {
