@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality, secrets, sharding
+from . import byte_bpe, exact_dedup, language_id, licences, near_dedup, neighbours, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1_quality_cotraining,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_license_scan": licences.op4_license_scan,
     "op5_sharding": sharding.op5_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_nearest_neighbours": neighbours.op10_nearest_neighbours,
 }
 
 ORACLE_SQL = {
+    "op4_license_scan": licences.sql(),
     "op8_exact_dedup": exact_dedup.SQL,
 }
