@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -38,23 +39,42 @@ from .common import documents, materialise
 
 CAPACITY = 2048
 #: Characters of text handled at a time, and chunks kept per worker.
-SLICE_CHARS, KEPT_CHUNKS = 4_000_000, 400_000
+SLICE_CHARS, KEPT_CHUNKS = 4_000_000, 700_000
 #: Python takes these for white space and Unicode doesn't.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
+#: Marks that form one word of their own after letters, whichever follow each other (no apostrophe: it can open an ending).
+_MARKS = ".,!?;:$%&*#|()-\""
+#: Letters below this are composed already and have one lower-case form, but for the capital I with a dot.
+_PLAIN = "\u0180"
+
+
 class Tokens:
-    """Texts to ids. White space ends every word of this tokenizer, so the ids of a text are those of its chunks."""
+    """Texts to ids. White space ends every word of this tokenizer, so the ids of a text are those of its chunks.
+
+    A chunk of plain letters, with marks after it or not, is one or two words for the tokenizer,
+    so its model gets them straight; all other chunks go through the whole tokenizer.
+    """
 
     _by_path: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        # a byte's character in the vocabulary: one of two that code a letter, or its own
+        self.letters: dict[int, str] = {}
+        for c in map(chr, range(1, 0x180)):
+            if len(shown := "".join(x for x, _ in bytewise.pre_tokenize_str(c))) == len(coded := c.encode()):
+                self.letters |= dict(zip(coded, shown, strict=True))
         self.store: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, path: str) -> Tokens:
@@ -63,7 +83,30 @@ class Tokens:
         return cls._by_path[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Of one word in lower case."""
+        if (ids := self.words.get(word)) is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.store) + len(chunks) > KEPT_CHUNKS:
+            self.store.clear()
+        if len(self.words) > KEPT_CHUNKS:
+            self.words.clear()
+        odd = []
+        for chunk in chunks:
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha() and max(word) < _PLAIN and "\u0130" not in word:
+                ids = self._word(word.lower())
+                self.store[chunk] = ids if len(word) == len(chunk) else ids + self._word(chunk[len(word) :])
+            else:
+                odd.append(chunk)
+        for k in range(0, len(odd), 20_000):
+            self.store.update(zip(odd[k : k + 20_000], self._ids(odd[k : k + 20_000]), strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         at = 0
@@ -74,11 +117,10 @@ class Tokens:
                 end += 1
             chunks = [[] if _CONTROL.search(t or "") else (t or "").split() for t in texts[at:end]]
             new = set().union(*chunks)
-            if len(self.store) + len(new) > KEPT_CHUNKS:
-                self.store.clear()
             missing = [c for c in new if c not in self.store]
-            for k in range(0, len(missing), 20_000):
-                self.store.update(zip(missing[k : k + 20_000], self._ids(missing[k : k + 20_000]), strict=True))
+            if len(self.store) + len(missing) > KEPT_CHUNKS:
+                missing = list(new)
+            self._learn(missing)
             for text, c in zip(texts[at:end], chunks, strict=True):
                 yield b"".join(map(self.store.__getitem__, c)) if c or not text else self._ids([text])[0]
             at = end
