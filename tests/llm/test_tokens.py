@@ -55,6 +55,18 @@ def check_packing(rows, expected, capacity=2048):
     return len(got)
 
 
+def test_ids_of_chunks_are_those_of_the_text():
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    whole.encode_special_tokens = True
+    rng = random.Random(8)
+    signs = "abcéñüßÉÀÇŁİıſĸŉǅΣσςдЖ漢ﬁ'’e\u0301²½Ⅷ١0129.,!?;:$%&*#|()-\"<>@/_~`+ \t\n\xa0\u2003\x1c"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(3000)] + ["don't I'll ''s x's. it'S", "ΟΔΟΣ ΣΑΣ.", "<|endoftext|>"]
+    texts += [f"{chr(c)}a{chr(c)}, {chr(c)}" for c in range(1, 0x250)]
+    tokens = packing.Tokens(P.path("word_bpe_49k.json"))
+    for text, ids in zip(texts, tokens.encode(texts), strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_whole_documents(spark):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     t.encode_special_tokens = True

@@ -65,10 +65,15 @@ def bigrams(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+def _bounds(threshold: float) -> tuple[float, float]:
+    """Between what the ratio of two sets' sizes lies if they reach the threshold, with room for rounding."""
+    return threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
+
+
 def _rated(unit: Column, templates: list[tuple[str, list[str]]], threshold: float) -> Column:
     """The matches of a unit (an array of words): coefficient and name."""
     sizes = [len(grams) for _, grams in templates]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = _bounds(threshold)
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in templates])
     pairs = F.array_distinct(F.zip_with(F.slice(unit, 1, F.size(unit) - 1), F.slice(unit, 2, F.size(unit)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
@@ -110,7 +115,7 @@ def sql(templates: dict[str, list[str]] | None = None, threshold: float = THRESH
     """The same rows in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(name)}, [{', '.join(map(quote, sorted(bigrams(t))))}])" for name, texts in (templates or TEMPLATES).items() for t in texts)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = _bounds(threshold)
     return rf"""
 WITH t(name, grams) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
