@@ -1 +1 @@
-
+"""Where rows come from: tables, pages, objects and change feeds."""

@@ -1 +1 @@
-
+"""The same transformations on streams."""
