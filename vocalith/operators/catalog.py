@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.languages import CODES
-from ..schemas import CONTENT_STATUS, HTTP_EVENT, TASK_STATUS
+from ..schemas import CONTENT_STATUS, TASK_STATUS
 
 
 def _write(rows: DataFrame, op: str, at: Column, **sets: Column) -> DataFrame:
@@ -112,7 +112,7 @@ def sanitise(events: DataFrame) -> DataFrame:
     """contentId, href and language of HTTP events: a POST's are in its body, any other has only the path's id."""
     body = F.from_json(F.coalesce("body", F.lit("{}")), "contentId string, url string, language string")
     post = F.coalesce(F.col("httpMethod") == "POST", F.lit(False))
-    rest = [c for c in events.columns if c not in HTTP_EVENT.names]
+    rest = [c for c in events.columns if c not in ("httpMethod", "pathParameters", "body")]
     return events.select(*rest, F.when(post, body["contentId"]).otherwise(F.col("pathParameters.contentId")).alias("contentId"), F.when(post, body["url"]).alias("href"), F.when(post, body["language"]).alias("language"))
 
 

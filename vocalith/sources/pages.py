@@ -109,13 +109,16 @@ def extract_page(html: str | None, selectors: Selectors) -> tuple[str, str, str]
 
 
 def extract(pages: DataFrame, selectors: Selectors | None = None, html_col: str = "html") -> DataFrame:
-    """pages without their HTML, with title, byline and text, and `error` where a page couldn't be parsed."""
+    """pages without their HTML, with title, byline and text, and `error` where there is no page or it couldn't be parsed."""
     selectors = selectors or Selectors()
 
     @F.pandas_udf("title string, byline string, text string, error string")
     def parse(html: pd.Series) -> pd.DataFrame:
         rows = []
         for page in html:
+            if not isinstance(page, str):
+                rows.append((None, None, None, "no page"))
+                continue
             try:
                 rows.append((*extract_page(page, selectors), None))
             except Exception as e:  # noqa: BLE001  one bad page mustn't end the others
@@ -133,5 +136,5 @@ def fetch(articles: DataFrame, pages: DataFrame, site: str = "https://lite.cnn.c
 
 def split_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Articles to go on with, and a dead-letter table of those that couldn't be fetched or parsed."""
-    bad = F.col("error").isNotNull() | F.col("title").isNull()
-    return parsed.where(~bad).drop("error"), parsed.where(bad).select("uuid", "url", F.coalesce("error", F.lit("no page")).alias("error"))
+    bad = F.col("error").isNotNull()
+    return parsed.where(~bad).drop("error"), parsed.where(bad).select("uuid", "url", "error")

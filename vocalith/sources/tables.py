@@ -20,7 +20,7 @@ def objects(spark: SparkSession, path: str, prefix: str = "audio/") -> DataFrame
     return files.selectExpr(f"regexp_extract(path, '({prefix}.*)$', 1) AS key", "length", "modificationTime", "content")
 
 
-def stream(spark: SparkSession, path: str, schema: StructType, format: str = "json", files_per_trigger: int | None = None) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema: StructType | str, format: str = "json", files_per_trigger: int | None = None) -> DataFrame:
     """Files that appear in a folder, as a stream. Small batches come from few files a trigger."""
     reader = spark.readStream.schema(schema).format(format)
     if files_per_trigger:
