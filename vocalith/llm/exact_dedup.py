@@ -63,11 +63,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of a frequent digest only the winner's rows go into the shuffle; all others are shuffled once.
     """
-    digest_, ord_, n_ = fresh(docs, "digest", "ord", "n")
+    digest_, ord_, win_, n_ = fresh(docs, "digest", "ord", "win", "n")
     rows = docs.select(digest(F.col(text_col)).alias("digest"), ordered_id(F.col(id_col)).alias("ord"), F.lit(0).alias("row"))
-    winners = materialise(heavy_winners(materialise(rows, "digests")), "winners").select(F.col("digest").alias(digest_), F.col("win_ord").alias(f"{ord_}_win"))
+    winners = materialise(heavy_winners(materialise(rows, "digests")), "winners").select(F.col("digest").alias(digest_), F.col("win_ord").alias(win_))
     tagged = docs.withColumns({digest_: digest(F.col(text_col)), ord_: ordered_id(F.col(id_col))}).join(F.broadcast(winners), digest_, "left")
-    tagged = tagged.where(F.col(f"{ord_}_win").isNull() | (F.col(ord_) == F.col(f"{ord_}_win")))
+    tagged = tagged.where(F.col(win_).isNull() | (F.col(ord_) == F.col(win_)))
     first = Window.partitionBy(digest_).orderBy(ord_)
     return tagged.withColumn(n_, F.row_number().over(first)).where(F.col(n_) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
