@@ -4,9 +4,11 @@
    Texts with equal sets are one node from here on, so copies never meet each other.
 2. Nodes with an equal band are candidates. Bands are as many as bring the chance that a
    pair at the threshold shares none below `MISS`. A bucket of up to `SMALL` nodes gives all
-   its pairs; a larger one compares every node with its first, and once links are known,
-   nodes that lie in another component than most of the bucket with the rest of it. Pairs
-   inside one component need no comparison, so a bucket of near copies stays linear.
+   its pairs. In larger ones, nodes go whose share of shingles that no other such node has
+   rules out every partner (an exact bound); the others are compared with the bucket's most
+   central node and, once links are known, those in another component than most of the bucket
+   with the rest of it, as far as the same bound allows. Pairs inside one component need no
+   comparison, so a bucket of near copies stays near linear.
 3. Candidates are compared by signature a batch at a time. After n positions with m matches
    the similarity's posterior (uniform prior) is Beta(m + 1, n - m + 1); a pair goes once the
    chance that it reaches the threshold is below `MISS`.
@@ -165,6 +167,27 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "sign", "sign_b").mapInArrow(run, "a long, b long")
 
 
+def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row and text of the needed nodes, by (id, hash of the text)."""
+    keys = needed.join(nodes, "row").select("row", ordered_id(F.col("doc_id")).alias("ord"), "text_hash")
+    texts = docs.select(ordered_id(F.col(id_col)).alias("ord"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return texts.join(keys, ["ord", "text_hash"]).dropDuplicates(["ord", "text_hash", "row"]).select("row", "text")
+
+
+def _own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """row, own: how many of a node's shingles no other of these nodes has, where there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end in _slices(batch.column(1).to_pylist()):
+                sets = shingle_sets(batch.column(1).slice(at, end - at).to_pylist(), size)
+                rows = np.repeat(batch.column(0).slice(at, end - at).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(sets).astype(np.int64))], ["row", "shingle"])
+
+    shingles = texts.select("row", "text").mapInArrow(run, "row long, shingle long")
+    return shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count("*").alias("own"))
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
     """Pairs a, b whose full sets reach the threshold; sets are made from the whole texts of the nodes concerned."""
 
@@ -188,10 +211,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, i
                         found.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes.select("row", "doc_id", "text_hash"), "row")
-    needed = needed.select("row", ordered_id(F.col("doc_id")).alias("ord"), "text_hash")
-    texts = docs.select(ordered_id(F.col(id_col)).alias("ord"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = texts.join(needed, ["ord", "text_hash"]).dropDuplicates(["ord", "text_hash", "row"]).select("row", "text")
+    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "row")
+    texts = _texts(needed, nodes, docs, id_col, text_col)
     joined = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts.withColumnRenamed("row", "a"), "a")
     return joined.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long")
 
@@ -227,22 +248,47 @@ def _members(nodes: DataFrame) -> DataFrame:
     return keyed.join(buckets, "key")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """All pairs of small buckets; each node of a large one with its first."""
-    star = members.where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    few = members.where(f"row != first AND size BETWEEN 3 AND {SMALL}").groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    each = few.select("rows", F.posexplode("rows").alias("i", "a")).select("a", F.explode(F.expr("slice(rows, i + 2, size(rows))")).alias("b"))
-    return star.unionByName(each).distinct()
+def _few(members: DataFrame) -> DataFrame:
+    """All pairs of small buckets."""
+    few = members.where(f"size <= {SMALL}")
+    star = few.where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    listed = few.where("row != first AND size > 2").groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    each = listed.select("rows", F.posexplode("rows").alias("i", "a")).select("a", F.explode(F.expr("slice(rows, i + 2, size(rows))")).alias("b"))
+    return star.unionByName(each)
+
 
+def _many(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
+    """key, row, n, own, center: nodes of large buckets that can have a partner in theirs.
 
-def _left_over(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components in large buckets: nodes outside the bucket's main component with all others."""
-    large = members.where(f"size > {SMALL} AND row != first").join(labels, "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-    counts = large.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
+    A node shares at most n - own shingles, and no partner is smaller than the bucket's least
+    node. The center is the node with the fewest shingles of its own: in a group of edited
+    copies the one nearest to what they were copied from, so most links are with it.
+    """
+    large = members.where(f"size > {SMALL}").select("key", "row")
+    sizes = nodes.select("row", "n", "doc_id", "text_hash").join(large.select("row").distinct(), "row", "left_semi")
+    own = materialise(_own_shingles(_texts(sizes.select("row"), nodes.select("row", "doc_id", "text_hash"), docs, id_col, text_col), size), "own")
+    sizes = sizes.select("row", "n").join(own, "row", "left").na.fill(0, ["own"]).withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    large = materialise(large.join(sizes, "row"), "large")
+    least = large.groupBy("key").agg(F.min("n").alias("least"))
+    able = large.join(least, "key").where(F.col("shared") * 100 >= percent * (F.col("n") + F.greatest("least", "shared") - F.col("shared"))).drop("least")
+    centers = able.groupBy("key").agg(F.min_by("row", F.struct("own", "row")).alias("center"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return able.join(centers, "key")
+
+
+def _stars(many: DataFrame) -> DataFrame:
+    """Each node of a large bucket with the center."""
+    return many.where("row != center").select(F.least("row", "center").alias("a"), F.greatest("row", "center").alias("b"))
+
+
+def _left_over(many: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in large buckets that may reach the threshold: nodes outside the bucket's main component with all others."""
+    large = many.where("row != center").join(labels, "row", "left").select("key", "row", "n", "shared", F.coalesce("root", "row").alias("root"))
+    counts = large.groupBy("key", "root").agg(F.count("*").alias("nodes"))
+    mixed = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("nodes", "root")).alias("main")).where("roots > 1")
     large = large.join(mixed.select("key", "main"), "key")
-    outside = large.where("root != main").select("key", F.col("row").alias("x"), F.col("root").alias("x_root"))
-    pairs = outside.join(large, "key").where("root != x_root AND (root = main OR x < row)")
+    outside = large.where("root != main").select("key", F.col("row").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"))
+    may = f"100 * least(shared, x_shared) >= {percent} * (n + x_n - least(shared, x_shared))"
+    pairs = outside.join(large, "key").where(f"root != x_root AND (root = main OR x < row) AND {may}")
     return pairs.select(F.least("x", "row").alias("a"), F.greatest("x", "row").alias("b")).distinct()
 
 
@@ -258,11 +304,13 @@ def _decided(docs: DataFrame, percent: int, id_col: str, text_col: str, size: in
         likely = materialise(_prune(pairs, nodes, percent), "likely")
         return materialise(_verify(likely, nodes, docs, percent, id_col, text_col, size), "links")
 
-    found = links(_pairs(members))
+    many = materialise(_many(members, nodes, docs, percent, id_col, text_col, size), "many")
+    found = links(_few(members).unionByName(_stars(many)).distinct())
     labels = components(found)
-    if more := not (rest := materialise(_left_over(members, labels), "pairs")).isEmpty():
-        found = links(rest).unionByName(found)
-    labels = materialise(components(found) if more else labels, "labels")
+    rest = materialise(_left_over(many, labels, percent), "pairs")
+    if not rest.isEmpty() and not (late := links(rest)).isEmpty():
+        labels = components(found.unionByName(late))
+    labels = materialise(labels, "labels")
     named = sets.join(labels.withColumnRenamed("row", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("node", ordered_id(F.col("least"))).alias("keeper_row"), F.sum("copies").alias("all"))
     known = named.join(keepers.where("all > 1"), "root").select("set_hash", "component_id", "keeper_row")
