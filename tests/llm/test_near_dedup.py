@@ -99,3 +99,12 @@ def test_bounds_of_the_posterior():
         # at a true similarity of the threshold the expected matches are far from the bound
         assert least < 0.85 * n
     assert 28 <= near_dedup.bands_for(85) <= 30
+
+
+def test_parities_bound_the_difference():
+    rng = random.Random(7)
+    for _ in range(50):
+        texts = [" ".join(str(rng.randint(0, 30)) for _ in range(rng.randint(1, 400))) for _ in range(2)]
+        x, y = near_dedup.shingle_sets(texts)
+        apart = sum(bin(int(a) & (1 << 64) - 1 ^ int(b) & (1 << 64) - 1).count("1") for a, b in zip(near_dedup._parities(x), near_dedup._parities(y), strict=True))
+        assert apart <= len(set(x.tolist()) ^ set(y.tolist()))

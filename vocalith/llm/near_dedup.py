@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import documents, fresh, materialise, ordered_id
 
 SHINGLE, PERCENT, ROWS, MISS, BATCH, SMALL = 5, 80, 6, 1e-6, 32, 8
+#: Bits of a node's parity sketch.
+PARITY = 2048
 #: Words handled at a time.
 _SLICE = 100_000
 
@@ -96,6 +98,15 @@ def _signed(sets: list[np.ndarray], factors: np.ndarray, shifts: np.ndarray) ->
     return out
 
 
+def _parities(fingerprints: np.ndarray) -> np.ndarray:
+    """Of each of PARITY classes of fingerprints whether the set has an odd number, as 64-bit integers.
+
+    Two sets whose parities differ in d classes differ in d elements at least.
+    """
+    odd = np.bincount((fingerprints >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _slices(texts: list[str | None], chars: int = 6 * _SLICE) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -108,7 +119,7 @@ def _slices(texts: list[str | None], chars: int = 6 * _SLICE) -> Iterator[tuple[
 
 
 def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """row, doc_id, text_hash, n, set_hash, and the signature: a byte of each minimum, and the keys of the bands (null for empty sets)."""
+    """row, doc_id, text_hash, n, set_hash, and (null for empty sets) the signature, a byte of each minimum; the keys of the bands; the parities."""
     bands = bands_for(percent)
     factors, shifts, seeds = _odd(bands * ROWS, 11), _odd(bands * ROWS, 13), _odd(ROWS, 17)
 
@@ -126,11 +137,11 @@ def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
                     for k, i in enumerate(full):
                         digests[i], signs[i], keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), low[k].tobytes(), key[k]
                 first = [batch.column(c).slice(at, end - at) for c in range(3)]
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*first, *columns], ["row", "doc_id", "text_hash", "n", "set_hash", "sign", "bands"])
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([_parities(s) if len(s) else None for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*first, *columns], ["row", "doc_id", "text_hash", "n", "set_hash", "sign", "bands", "parities"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n long, set_hash binary, sign binary, bands array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n long, set_hash binary, sign binary, bands array<long>, parities array<long>")
 
 
 def least_matches(percent: int, total: int, miss: float = MISS, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -280,16 +291,23 @@ def _stars(many: DataFrame) -> DataFrame:
     return many.where("row != center").select(F.least("row", "center").alias("a"), F.greatest("row", "center").alias("b"))
 
 
-def _left_over(many: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in large buckets that may reach the threshold: nodes outside the bucket's main component with all others."""
+def _left_over(many: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in large buckets that may reach the threshold: nodes outside the bucket's main component with all others.
+
+    Near copies share many buckets; a pair comes out of the first that both are in. Exact
+    bounds hold back pairs by the shingles that can't be common and by those that differ.
+    """
+    keys = many.groupBy("row").agg(F.collect_set("key").alias("keys"))
     large = many.where("row != center").join(labels, "row", "left").select("key", "row", "n", "shared", F.coalesce("root", "row").alias("root"))
     counts = large.groupBy("key", "root").agg(F.count("*").alias("nodes"))
     mixed = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("nodes", "root")).alias("main")).where("roots > 1")
-    large = large.join(mixed.select("key", "main"), "key")
-    outside = large.where("root != main").select("key", F.col("row").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"))
+    large = large.join(mixed.select("key", "main"), "key").join(keys, "row").join(nodes.select("row", "parities"), "row")
+    outside = large.where("root != main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("row", "root", "n", "shared", "keys", "parities")])
     may = f"100 * least(shared, x_shared) >= {percent} * (n + x_n - least(shared, x_shared))"
-    pairs = outside.join(large, "key").where(f"root != x_root AND (root = main OR x < row) AND {may}")
-    return pairs.select(F.least("x", "row").alias("a"), F.greatest("x", "row").alias("b")).distinct()
+    apart = "aggregate(zip_with(parities, x_parities, (p, q) -> bit_count(p ^ q)), 0, (s, b) -> s + b)"
+    near = f"100 * (n + x_n - {apart}) >= {percent} * (n + x_n + {apart})"
+    pairs = outside.join(large, "key").where(f"root != x_root AND (root = main OR x_row < row) AND {may} AND array_min(array_intersect(keys, x_keys)) = key AND {near}")
+    return pairs.select(F.least("x_row", "row").alias("a"), F.greatest("x_row", "row").alias("b")).distinct()
 
 
 def _decided(docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -297,7 +315,7 @@ def _decided(docs: DataFrame, percent: int, id_col: str, text_col: str, size: in
     rows = materialise(signatures(docs, percent, id_col, text_col, size), "signatures")
     sets = rows.where("n > 0").withColumn("ord", ordered_id(F.col("doc_id"))).groupBy("set_hash").agg(F.min_by("row", "ord").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     sets = materialise(sets, "sets")
-    nodes = materialise(rows.join(sets.select(F.col("node").alias("row")), "row").select("row", "doc_id", "text_hash", "n", "sign", "bands"), "nodes")
+    nodes = materialise(rows.join(sets.select(F.col("node").alias("row")), "row").select("row", "doc_id", "text_hash", "n", "sign", "bands", "parities"), "nodes")
     members = materialise(_members(nodes), "members")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -307,7 +325,7 @@ def _decided(docs: DataFrame, percent: int, id_col: str, text_col: str, size: in
     many = materialise(_many(members, nodes, docs, percent, id_col, text_col, size), "many")
     found = links(_few(members).unionByName(_stars(many)).distinct())
     labels = components(found)
-    rest = materialise(_left_over(many, labels, percent), "pairs")
+    rest = materialise(_left_over(many, labels, nodes, percent), "pairs")
     if not rest.isEmpty() and not (late := links(rest)).isEmpty():
         labels = components(found.unionByName(late))
     labels = materialise(labels, "labels")
