@@ -127,3 +127,43 @@ def test_licences(spark):
         assert (r["n_matches"], r["license"], r["licenses"]) == (expected[0], expected[1], expected[3]), (r, expected)
         assert r["dice"] == expected[2]
     assert licences.scan(docs.limit(0)).collect() == []
+
+
+def test_licences_in_running_text(spark):
+    """Licences over several paragraphs or amid a line, inside long documents."""
+    mit = licences.TEMPLATES["MIT"][-1]
+    cut = [mit.index("The above"), mit.index("THE SOFTWARE IS")]
+    three = "\n\n".join([mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]])
+    prose = lambda n: " ".join(f"word{i}" for i in range(n))
+    notice = "This work is licensed under the GNU General\nPublic License, version 3."
+    texts = [f"{prose(200)}\n\n{three}\n\n{prose(90)}", f"{prose(300)} {notice} {prose(40)}", f"{prose(50)} Released under the MIT License. {prose(50)}"]
+    texts += [f"{prose(200)}\n\n{mit[: cut[0]]}\n\n{prose(90)}", f"{prose(20)} released under the older licence {prose(20)}", f"{prose(9)}\n\n{three.replace('copyright', 'x')}\n\n{prose(400)}"]
+    texts += [f"{prose(RNG.randint(0, 9))} {' '.join(w for w in mit.split() if RNG.random() > share)} {prose(200)}" for share in (0.02, 0.05, 0.08, 0.1) for _ in range(3)]
+
+    def windows(text):
+        """All of them, without pruning."""
+        words, found = licences._words(text), {}
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for name, templates in licences.TEMPLATES.items():
+            for t in templates:
+                other, span = licences.bigrams(t), len(licences._words(t)) - 1
+                for s in range(len(pairs) - span + 1):
+                    grams = set(pairs[s : s + span])
+                    if (dice := 2 * len(grams & other) / (len(grams) + len(other))) >= 0.8:
+                        found[name] = max(found.get(name, 0), dice)
+        return found
+
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["licenses"] for i in (0, 2, 3, 4, 5)] == ["MIT", "MIT", "", "", "MIT"] and "GPL-3.0" in got[1]["licenses"]
+    assert got[0]["dice"] == got[1]["dice"] == 1 and got[1]["license"] == "GPL-3.0"
+    for i, text in enumerate(texts):
+        assert brute(text)[0] == 0
+        new = windows(text)
+        assert got[i]["licenses"] == ",".join(sorted(new)), i
+        assert got[i]["n_matches"] == len(new), i
+        assert got[i]["dice"] == max(new.values(), default=None), i
+    # a line that bears one licence isn't a worse copy of another, and hides no other place
+    agpl = licences.TEMPLATES["AGPL-3.0"][0]
+    pair = [f"{prose(30)}\n{agpl}\n{prose(30)}", f"{prose(30)}\n{agpl}\n{prose(30)} {licences.TEMPLATES['MPL-2.0'][0]} {prose(30)}"]
+    one, both = sorted(licences.scan(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect())
+    assert one["licenses"] == brute(pair[0])[3] and both["licenses"] == ",".join(sorted([*one["licenses"].split(","), "MPL-2.0"]))

@@ -5,18 +5,30 @@ unit and a template are normalised to lower-case words of letters and digits and
 their sets of word bigrams; the unit bears the licence if twice the common bigrams are at
 least `THRESHOLD` of all. Sizes prune first: sets of a and b bigrams can reach t only if
 t / (2 - t) <= a / b <= (2 - t) / t, so a unit is compared with the few templates of about
-its size, and one too short or too long for all of them is never cut into bigrams. All of it
-is one projection over the scan, without a shuffle, so hot sources or copies don't matter.
+its size, and one too short or too long for all of them is never cut into bigrams.
+
+Licences that no unit bears are then looked for in windows: all runs, anywhere in the text, of
+as many words as the template has. One that shares words with a unit at least as like some
+licence doesn't count, so a notice of one isn't taken for a worse copy of another. Bounds prune these too, and lose none: a window reaches t
+only if it has at least t / (2 - t) of the template's n bigrams, so of any n - need + 1 of them
+(the anchors, those of the longest words) it has one, and `need` of them lie within its length.
+Texts without an anchor are never cut into windows.
+
+All of it is one projection over the scan, without a shuffle, so hot sources or copies don't
+matter.
 
 Defined cases: a null text counts as empty; units of fewer than two words have no bigrams and
-match nothing. A document with several licences reports all by name, and as its own the one
+match nothing. A licence found by windows alone counts as one match, that of the highest
+coefficient. A document with several licences reports all by name, and as its own the one
 of the highest coefficient, ties going to the first by name. Repeated rows count each. An
 empty table gives an empty result. Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import documents
 
 THRESHOLD = 0.8
+_MATCHES = "array<struct<dice:double,name:string>>"
 
 # The wording of common licences and of the notices that stand for them.
 TEMPLATES: dict[str, list[str]] = {
@@ -89,14 +102,90 @@ def _rated(unit: Column, templates: list[tuple[str, list[str]]], threshold: floa
     return F.when(F.size(unit) - 1 >= min(sizes) * low, rated)
 
 
+def _need(n: int, threshold: float) -> int:
+    """The least number of a template's n bigrams in any set that reaches the threshold."""
+    return max(1, math.ceil(n * _bounds(threshold)[0]))
+
+
+def anchors(grams: list[str], threshold: float = THRESHOLD) -> list[str]:
+    """Bigrams of a template of which any set that reaches the threshold has one; of long words, since those are rare."""
+    return sorted(grams, key=lambda g: (-min(map(len, g.split())), -len(g), g))[: len(grams) - _need(len(grams), threshold) + 1]
+
+
+def _any_of(grams: set[str]) -> str:
+    """A pattern that finds any of the bigrams in words between single spaces, branching by letter and by word."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b in sorted(g.split() for g in grams):
+        tree.setdefault(a[0], {}).setdefault(a[1:], []).append(b)
+    return " (?:" + "|".join(c + "(?:" + "|".join(f"{a} (?:{'|'.join(seconds)})" for a, seconds in rest.items()) + ")" for c, rest in tree.items()) + ") "
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is made once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _places(words: Column, rated: Column) -> Column:
+    """from, to (places of words) and the coefficient of units that bear a licence. Lines, paragraphs and the whole each make up all words."""
+    size = lambda u: F.when(F.get(u, F.lit(0)) == "", 0).otherwise(F.size(u))
+    first = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<from:int,to:int,dice:double>>").alias("places"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, at = size(x["words"]), acc["n"] % F.greatest(size(F.element_at(words, -1)), F.lit(1))
+        place = F.struct(at.alias("from"), (at + n).alias("to"), F.array_max(F.transform(x["rated"], lambda m: m["dice"])).alias("dice"))
+        return F.struct((acc["n"] + n).alias("n"), F.when(F.size(x["rated"]) > 0, F.concat(acc["places"], F.array(place))).otherwise(acc["places"]).alias("places"))
+
+    return F.aggregate(F.zip_with(words, rated, lambda w, r: F.struct(w.alias("words"), r.alias("rated"))), first, step)["places"]
+
+
+def _windows(words: Column, rated: Column, templates: list[tuple[str, list[str], int]], threshold: float) -> Column:
+    """The best match of each licence that no unit bears among the windows of a text.
+
+    words, rated: of each unit, the last being the whole text. templates: name, bigrams, number of words.
+    """
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(_need(len(grams), threshold)).alias("need"), F.lit(n - 1).alias("span")) for name, grams, n in templates])
+    every = sorted({g for _, grams, _ in templates for g in grams})
+
+    def starts(t: Column, at: Column, n: Column) -> Column:
+        """at: places of the template's bigrams. Where windows with enough of them start, from 0."""
+        close = F.filter(F.sequence(F.lit(1), F.size(at) - t["need"] + 1), lambda j: F.element_at(at, j + t["need"] - 1) - F.element_at(at, j) < t["span"])
+        runs = F.transform(close, lambda j: F.sequence(F.greatest(F.element_at(at, j + t["need"] - 1) - t["span"] + 1, F.lit(0)), F.least(F.element_at(at, j), n - t["span"])))
+        # a text no longer than a window is a unit
+        return F.when((F.size(at) >= t["need"]) & (n > t["span"]), F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<int>"))
+
+    def rate(t: Column, pairs: Column, start: Column) -> Column:
+        grams = F.array_distinct(F.slice(pairs, start + 1, t["span"]))
+        return F.struct((F.size(F.array_intersect(grams, t["grams"])) * 2.0 / (F.size(grams) + F.size(t["grams"]))).alias("dice"), start.alias("start"))
+
+    def best(t: Column, pairs: Column, spots: Column, places: Column) -> Column:
+        at = F.filter(spots, lambda i: F.array_contains(t["grams"], F.get(pairs, i)))
+        windows = _bound(at, lambda at: F.transform(starts(t, at, F.size(pairs)), lambda s: rate(t, pairs, s)))
+        free = F.filter(F.filter(windows, lambda x: x["dice"] >= threshold), lambda x: ~F.exists(places, lambda p: (p["from"] <= x["start"] + t["span"]) & (p["to"] > x["start"]) & (p["dice"] >= x["dice"])))
+        return F.struct(F.array_max(F.transform(free, lambda x: x["dice"])).alias("dice"), t["name"].alias("name"))
+
+    def search(pairs: Column) -> Column:
+        spots = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.get(pairs, i).isin(every))
+        names = F.transform(F.flatten(rated), lambda m: m["name"])
+        rest = F.filter(known, lambda t: ~F.array_contains(names, t["name"]))
+        found = _bound(spots, lambda spots: _bound(_places(words, rated), lambda places: F.filter(F.transform(rest, lambda t: best(t, pairs, spots, places)), lambda m: m["dice"].isNotNull())))
+        return _bound(found, lambda m: F.array_distinct(F.filter(m, lambda x: ~F.exists(m, lambda y: (y["name"] == x["name"]) & (y["dice"] > x["dice"])))))
+
+    whole = F.element_at(words, -1)
+    pairs = F.zip_with(F.slice(whole, 1, F.size(whole) - 1), F.slice(whole, 2, F.size(whole)), lambda a, b: F.concat(a, F.lit(" "), b))
+    some = F.rlike(F.concat(F.lit(" "), F.array_join(whole, " "), F.lit(" ")), F.lit(_any_of({a for _, grams, _ in templates for a in anchors(grams, threshold)})))
+    return F.when(some, _bound(pairs, search)).otherwise(F.array().cast(_MATCHES))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_matches (units with a template that they match), license, dice, licenses."""
+    """A row for each row of docs: doc_id, n_matches (units with a template that they match, and licences of windows alone), license, dice, licenses."""
+    sized = [(name, sorted(grams), len(_words(t))) for name, texts in (templates or TEMPLATES).items() for t in texts if (grams := bigrams(t))]
     flat = [(name, sorted(bigrams(t))) for name, texts in (templates or TEMPLATES).items() for t in texts]
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[\x20\t\r]*\n")
     units = F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")), F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>")))
     words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), r"[^\p{L}\p{N}]+", " ")), " "))
-    matches = F.flatten(F.transform(words, lambda u: F.coalesce(_rated(u, flat, threshold), F.array().cast("array<struct<dice:double,name:string>>"))))
+    of_units = lambda words: F.transform(words, lambda u: F.coalesce(_rated(u, flat, threshold), F.array().cast(_MATCHES)))
+    matches = _bound(words, lambda words: _bound(of_units(words), lambda rated: F.concat(F.flatten(rated), _windows(words, rated, sized, threshold))))
 
     def summary(m: Column) -> Column:
         best = F.array_max(F.transform(m, lambda x: x["dice"]))
@@ -112,7 +201,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql(templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same rows in DuckDB's SQL."""
+    """The same rows in DuckDB's SQL, but for licences that only windows find: it has the units alone."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(name)}, [{', '.join(map(quote, sorted(bigrams(t))))}])" for name, texts in (templates or TEMPLATES).items() for t in texts)
     low, high = _bounds(threshold)
