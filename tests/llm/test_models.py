@@ -164,3 +164,21 @@ def test_inferred_automaton_keeps_the_format():
     assert len(a.next) < 40
     assert a.likelihood("AKIAABCD2345") >= a.least > a.likelihood("BKIAABCD2345")
     assert a.least > a.likelihood("ABCD2345ABCD") and a.least > a.likelihood("AKIAabcd2345")
+
+
+def test_short_learnt_formats(spark):
+    """Unlabelled values shorter than 16, or of letters alone, of a labelled format; words and short numbers aren't of it."""
+    key = lambda: "".join(RNG.choice("BCDFGHJKLMNPQRSTVWXZ23456789") for _ in range(12))
+    letters = lambda: "".join(RNG.choice("QXZJKVW") for _ in range(20))
+    for make in (key, letters):
+        texts = [f"{prose('aa', 6)} password={make()} {prose('aa', 6)}" for _ in range(200)] + [f"use {make()} there" for _ in range(30)]
+        plain = len(texts)
+        texts += ["In 2024 international 123456789012 conversation 20240102 lasted", prose("bb", 400), prose("cc", 400)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+        wanted = f"learned:4:{texts[200].index(' there')}"
+        assert sum(got[i]["spans"] == wanted for i in range(200, plain)) >= 27
+        assert all(got[i]["spans"] == "" for i in range(plain, len(texts)))
+        after = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+        assert all((after[i] == "use [SECRET] there") == (got[i]["spans"] == wanted) for i in range(200, plain))
+        assert all(after[i] == texts[i] for i in range(plain, len(texts)))

@@ -4,10 +4,11 @@ Base patterns find labelled credentials in every whole text. From a bounded samp
 (`LABELLED` distinct values of each kind, those of the least hashes) ALERGIA infers one
 probabilistic automaton a kind: a prefix tree with counts, whose states are merged, least
 strings first, as long as their ending and branching frequencies are compatible by Hoeffding
-bounds, recursively. Then all candidates (long runs of credential characters that have
-letters and digits and lie outside the base spans) are scored by their likelihood a
-character, the end included. Those at least as likely as nearly all labelled values of that
-kind are spans of the kind `learned`. Base spans always stay.
+bounds, recursively. Then all candidates (runs of credential characters outside the base
+spans) are scored by their likelihood a character, the end included. Those at least as likely
+as nearly all labelled values of that kind are spans of the kind `learned`, if they are no
+shorter than the shortest labelled value of that likelihood (or than `LONG`) and have letters
+and digits where all of these have. Base spans always stay.
 
 Spans are in code points, the end exclusive; a base span is the whole match.
 
@@ -19,6 +20,7 @@ text are read; `redact` passes other columns through untouched, whatever their n
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -42,8 +44,11 @@ BASE = {
 #: Runs of fewer than 24 digits needn't be looked at: a run of [0-9a-f] matches whole or not at all.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = [*BASE, "learned"]
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]{14,})[A-Za-z0-9+/_=-]")
+#: Runs of this length are candidates even if all labelled values are longer.
+LONG = 16
 LABELLED, LONGEST, CONFIDENCE = 800, 128, 0.05
+#: Values whose likelihood a task remembers.
+REMEMBERED = 100_000
 #: A learnt span may be less likely than all but this share of the labelled values by this much a character.
 MISSED, MARGIN = 0.02, 0.1
 
@@ -59,20 +64,22 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
-def candidates(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Runs with letters and digits outside the spans."""
+def candidates(text: str, spans: list[tuple[int, int, str, str]], least: int) -> list[tuple[int, int, str]]:
+    """Runs of at least so many characters outside the spans."""
     out, taken, k = [], sorted((s, e) for s, e, *_ in spans), 0
-    for m in _CANDIDATE.finditer(text):
-        value = m[0]
-        if not (any(map(str.isdigit, value)) and any(map(str.isalpha, value))):
-            continue
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{{{max(0, least - 2)},}}[A-Za-z0-9+/_=-]", text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
         if not any(s < m.end() and e > m.start() for s, e in taken[k : k + 8]):
-            out.append((m.start(), m.end(), value))
+            out.append((m.start(), m.end(), m[0]))
     return out
 
 
+def _classes(value: str) -> tuple[bool, bool]:
+    """Whether there are digits and letters."""
+    return any(map(str.isdigit, value)), any(map(str.isalpha, value))
+
+
 class Automaton:
     """A probabilistic automaton inferred by ALERGIA from strings."""
 
@@ -97,8 +104,16 @@ class Automaton:
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self.alphabet = len({c for s in strings for c in s}) + 1
-        of = sorted(self.likelihood(s) for s in strings)
+        of = sorted(rated := [self.likelihood(s) for s in strings])
         self.least = (of[int(MISSED * len(of))] if of else 0.0) - MARGIN
+        typical = [s for s, x in zip(strings, rated, strict=True) if x >= self.least]
+        self.shortest = min([LONG, *map(len, typical)])
+        self.digits, self.letters = (all(has) for has in zip(*map(_classes, typical), strict=True)) if typical else (True, True)
+
+    def fits(self, s: str) -> bool:
+        """Whether s is as long as the shortest value and has the characters that all have."""
+        digits, letters = _classes(s)
+        return len(s) >= self.shortest and digits >= self.digits and letters >= self.letters
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -169,34 +184,40 @@ class Automaton:
 
 def excess(automata: dict[str, Automaton], value: str) -> float:
     """By how much a value is likelier than the least likely labelled ones, at best; below 0 it isn't a secret."""
-    return max((a.likelihood(value) - a.least for a in automata.values()), default=-math.inf)
+    return max((a.likelihood(value) - a.least for a in automata.values() if a.fits(value)), default=-math.inf)
+
 
+class Scorer:
+    """Learnt spans of texts, with a bounded store of what was said of values."""
 
-def learned_spans(automata: dict[str, Automaton], of: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    return [(s, e, "learned") for s, e, value in of if excess(automata, value) >= 0]
+    def __init__(self, automata: dict[str, Automaton]):
+        self.least = min((a.shortest for a in automata.values()), default=LONG)
+        self._excess = functools.lru_cache(REMEMBERED)(lambda value: excess(automata, value))
+        self._any = bool(automata)
+
+    def __call__(self, text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, float]]:
+        """start, end, kind, excess"""
+        # long values hardly repeat
+        rate = lambda v: self._excess(v) if len(v) <= LONGEST else self._excess.__wrapped__(v)
+        return [(s, e, "learned", x) for s, e, v in candidates(text, base, self.least) if (x := rate(v)) >= 0] if self._any else []
 
 
 def _joined(spans: list) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k, *_ in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
 
-_SPAN = "array<struct<start: int, end: int, kind: string, value: string>>"
-_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+_VALUE_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, base spans and candidates (of the kind null)."""
+def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row for each row of docs that has base spans: their kinds and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, more = [], []
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text or "")
-                base.append([dict(zip(("start", "end", "kind", "value"), s, strict=True)) for s in spans])
-                more.append([{"start": s, "end": e, "kind": None, "value": v} for s, e, v in candidates(text or "", spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPAN_TYPE), pa.array(more, _SPAN_TYPE)], ["doc_id", "base", "candidates"])
+            found = [[{"kind": k, "value": v} for _, _, k, v in base_spans(text or "")] for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in found if x], _VALUE_TYPE)], ["base"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, base {_SPAN}, candidates {_SPAN}")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "base array<struct<kind: string, value: string>>")
 
 
 def infer(extracted: DataFrame) -> dict[str, Automaton]:
@@ -215,25 +236,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     score: of the row's best learnt span, by how much a character it is likelier than the least likely labelled values.
     """
-    extracted = materialise(extract(docs, id_col, text_col), "spans")
-    sent = docs.sparkSession.sparkContext.broadcast(infer(extracted))
+    sent = docs.sparkSession.sparkContext.broadcast(infer(materialise(extract(docs, text_col), "spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
         for batch in batches:
             counts, digests, spans, learned, scores = {k: [] for k in BASE}, [], [], [], []
-            for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = [(s["start"], s["end"], s["kind"]) for s in base]
+            for text in batch.column(1).to_pylist():
+                found = base_spans(text or "")
                 for k in BASE:
                     counts[k].append(sum(s[2] == k for s in found))
                 digests.append(hashlib.sha256(_joined(found).encode()).hexdigest())
-                rated = [(c["start"], c["end"], "learned", e) for c in more if (e := excess(sent.value, c["value"])) >= 0]
+                rated = scorer(text or "", found)
                 spans.append(_joined(found + rated))
                 learned.append(len(rated))
                 scores.append(max((r[3] for r in rated), default=None))
             columns = [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(learned, pa.int64()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned", "score"])
 
-    return extracted.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long, score double")
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
@@ -248,15 +270,15 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with all secrets masked in the text; length_col, if there, follows the text where that changed."""
-    sent = docs.sparkSession.sparkContext.broadcast(infer(materialise(extract(docs, id_col, text_col), "spans")))
+    sent = docs.sparkSession.sparkContext.broadcast(infer(materialise(extract(docs, text_col), "spans")))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        out = []
+        out, scorer = [], Scorer(sent.value)
         for text in texts:
             if isinstance(text, str):
                 base = base_spans(text)
-                spans = [s[:2] for s in base] + [s[:2] for s in learned_spans(sent.value, candidates(text, base))]
+                spans = [s[:2] for s in base + scorer(text, base)]
                 text = masked(text, spans) if spans else text
             out.append(text)
         return pd.Series(out, dtype=object)
