@@ -182,3 +182,37 @@ def test_short_learnt_formats(spark):
         after = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
         assert all((after[i] == "use [SECRET] there") == (got[i]["spans"] == wanted) for i in range(200, plain))
         assert all(after[i] == texts[i] for i in range(plain, len(texts)))
+
+
+def test_pseudo_labels_come_from_all_documents(rated, monkeypatch):
+    """However small the bound, a round takes the surest of the whole corpus; labels of absent ids take no place."""
+    docs, labels = rated
+    monkeypatch.setattr(quality, "POOL", 40)
+    asked, corpus = [], quality.Corpus.surest
+
+    def surest(self, weights):
+        before = set(self.taken)
+        out = corpus(self, weights)
+        asked.append((weights, before, out))
+        return out
+
+    monkeypatch.setattr(quality.Corpus, "surest", surest)
+    quality.fit(docs, labels)
+    have = {r["label"] for r in labels.selectExpr("doc_id AS label").where("quality IS NOT NULL").collect()}
+    rows = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] not in have}
+    weights, before, out = asked[0]
+    assert len(asked) == quality.ROUNDS and not before
+    for view, (x, y) in enumerate(out):
+        f = quality._features(*zip(*[(r["text"], r["source"], r["lang"], r["n_chars"]) for r in rows.values()]))
+        odds = quality._odds(weights[view], f[view])
+        best = sorted(-odds[odds <= -np.log(19)])[-2:] + sorted(odds[odds >= np.log(19)])[-2:]
+        assert sorted(np.abs(quality._odds(weights[view], x[view]))) == pytest.approx(sorted(best), rel=1e-4)
+        assert len(y) == len(best) > 0
+    assert all(b and b <= rows.keys() for _, b, _ in asked[1:])
+
+
+def test_labels_of_absent_ids_take_no_place(spark, rated, monkeypatch):
+    docs, labels = rated
+    monkeypatch.setattr(quality, "LABELLED", 200)
+    absent = spark.range(10**6, 10**6 + 20_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.fit(docs, labels.unionByName(absent)).ok

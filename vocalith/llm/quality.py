@@ -3,12 +3,13 @@
 Each view has a logistic regression of its own: the text view over hashed byte pairs of the
 whole text, the metadata view over source, language, stated length and layout (lines and
 their lengths). Both start from a part of the labelled rows. In each round each view labels
-the pool of unlabelled rows, and those it is surest of join the *other* view's training set.
+all unlabelled rows, and those it is surest of join the *other* view's training set.
 The labelled rows left aside then calibrate each view (Platt scaling), and the calibrated
 log odds are added, the prior counting once, to score all documents.
 
-At most `LABELLED` labelled and `POOL` unlabelled rows, those of the least id hashes, are
-fitted on; only their features reach the driver. All documents are scored by their whole text.
+At most `LABELLED` labelled documents, those of the least id hashes, are fitted on, and in a
+round a view takes a bounded number of others from the whole corpus; only their features reach
+the driver. All documents are scored by their whole text.
 
 Defined cases: null text counts as empty, null or absent metadata as a value of its own. If
 an id has several labels their mean decides, ties for good. Without labels of both kinds
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 LABELLED, POOL, ROUNDS, THRESHOLD = 6000, 4000, 4, 0.5
-#: In a round a view hands over at most this share of the pool, and only labels of at least this probability.
+#: In a round a view hands over at most this share of the unlabelled rows (of `POOL` if there are more), and only labels of at least this probability.
 SHARE, SURE = 0.1, 0.95
 TEXT_DIM, META_DIM = 1042, 160
 _META = ("source", "lang", "n_chars")
@@ -105,30 +106,101 @@ def platt(odds: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return max(0.0, float(ab[0])), float(ab[1])
 
 
+def _handed(n: int) -> int:
+    """How many rows of a kind a view hands over in a round, of n unlabelled ones."""
+    return max(1, int(SHARE * n / 2))
+
+
+class Held:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]):
+        self.views, self.free = views, np.ones(len(views[0]), bool)
+
+    def surest(self, weights: list[np.ndarray]) -> list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]:
+        """For each view the rows that it is surest of, and its labels. No row is handed over in two rounds."""
+        chosen, most = [], _handed(len(self.free))
+        for w, x in zip(weights, self.views, strict=True):
+            p = _sigmoid(_odds(w, x))
+            order = np.argsort(p, kind="stable")
+            bad, good = ([i for i in part if self.free[i]][:most] for part in (order[p[order] <= 1 - SURE], order[::-1][p[order[::-1]] >= SURE]))
+            chosen.append((bad, good))
+        for bad, good in chosen:
+            self.free[[*bad, *good]] = False
+        return [(tuple(x[[*bad, *good]] for x in self.views), np.concatenate([np.zeros(len(bad)), np.ones(len(good))])) for bad, good in chosen]
+
+
+class Corpus:
+    """All unlabelled documents, scored where they lie. Ids of labelled ones are in known."""
+
+    def __init__(self, rows: DataFrame, known: DataFrame):
+        self.rows, self.known, self.taken = rows.where("id IS NOT NULL"), known.select("id"), set()
+        self.most = _handed(min(POOL, self.rows.select("id").distinct().join(self.known, "id", "left_anti").count()))
+
+    def surest(self, weights: list[np.ndarray]) -> list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]:
+        """As Held.surest."""
+        taken, sure = self.taken, float(np.log(SURE / (1 - SURE)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    odds = np.array([_odds(w, x) for w, x in zip(weights, _features(*(batch.column(c).to_pylist() for c in range(1, 5))), strict=True)], np.float64)
+                    keep = pa.array((np.abs(odds) >= sure).any(axis=0) & np.array([i not in taken for i in batch.column(0).to_pylist()], bool))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, odds)], ["id", "v0", "v1"]).filter(keep)
+
+        # rows of one id count once
+        rated = self.rows.mapInArrow(run, "id long, v0 double, v1 double").groupBy("id").agg(F.min(F.struct("v0", "v1")).alias("v")).select("id", "v.*")
+        rated = materialise(rated.join(self.known, "id", "left_anti"), "odds")
+        lists = []
+        for view in range(2):
+            for y, odds in enumerate((-F.col(f"v{view}"), F.col(f"v{view}"))):
+                best = rated.where(odds >= sure).orderBy(odds.desc(), F.xxhash64("id"), "id").limit(self.most)
+                lists.append(best.select("id", F.lit(view).alias("view"), F.lit(y).alias("y")))
+        chosen = sorted(tuple(row) for row in lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3]).collect())
+        ids, x = _fetch(self.rows, self.rows.sparkSession.createDataFrame(sorted({(i,) for i, *_ in chosen}), "id long"))
+        place = {i: k for k, i in enumerate(ids)}
+        self.taken = taken | place.keys()
+        out = []
+        for view in range(2):
+            of = [(place[i], y) for i, v, y in chosen if v == view]
+            at = np.array([k for k, _ in of], np.int64)
+            out.append(((x[at, :TEXT_DIM], x[at, TEXT_DIM:]), np.array([y for _, y in of], np.float64)))
+        return out
+
+
+def _fetch(rows: DataFrame, ids: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The features of a bounded number of ids, one row each, in an order that depends on the ids alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text, meta = _features(*(b[c].astype(object).where(b[c].notna(), None).tolist() for c in ("text", *_META)))
+            yield pd.DataFrame({"id": b["id"], "f": [x.tobytes() for x in np.hstack([text, meta])]})
+
+    found = rows.join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(run, "id long, f binary").toArrow()
+    ids = found["id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
+    x = np.empty((len(order), TEXT_DIM + META_DIM), np.float32)
+    for i, at in enumerate(order):
+        x[i] = np.frombuffer(found["f"][at].as_buffer(), np.float32)
+    return [ids[i] for i in order], x
+
+
 class Model:
     """Two calibrated views."""
 
-    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Corpus):
         seed = np.arange(len(y)) % 5 < 3
         self.ok = all(len(np.unique(y[part])) == 2 for part in (seed, ~seed))
         if not self.ok:
             return
         sets = [(x[seed], y[seed]) for x in labelled]
-        free = np.ones(len(pool[0]), bool)
-        most = max(1, int(SHARE * len(pool[0]) / 2))
+        pool = Held(pool) if isinstance(pool, tuple) else pool
         for _ in range(ROUNDS):
             self.weights = [logistic(*s) for s in sets]
-            chosen = []
-            for w, x in zip(self.weights, pool, strict=True):
-                p = _sigmoid(_odds(w, x))
-                order = np.argsort(p, kind="stable")
-                bad, good = ([i for i in part if free[i]][:most] for part in (order[p[order] <= 1 - SURE], order[::-1][p[order[::-1]] >= SURE]))
-                chosen.append((bad, good))
-            for to, (bad, good) in ((1, chosen[0]), (0, chosen[1])):
-                x, labels = sets[to]
-                sets[to] = np.vstack([x, pool[to][[*bad, *good]]]), np.concatenate([labels, np.zeros(len(bad)), np.ones(len(good))])
-            for bad, good in chosen:
-                free[[*bad, *good]] = False
+            for to, (rows, labels) in zip((1, 0), pool.surest(self.weights), strict=True):
+                x, have = sets[to]
+                sets[to] = np.vstack([x, rows[to]]), np.concatenate([have, labels])
         self.weights = [logistic(*s) for s in sets]
         self.scales = [platt(_odds(w, x[~seed]), y[~seed]) for w, x in zip(self.weights, labelled, strict=True)]
         good = y.mean()
@@ -152,28 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """labels: the id and 0 or 1."""
     label = (F.avg(label_col) >= 0.5).cast("int").alias("y")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(label)
-    known = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *_inputs(docs, text_col))
-    pool = rows.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(POOL).select("id", F.lit(None).cast("int").alias("y"))
-    # an id is taken once; a labelled one isn't in the pool
-    ids = known.unionByName(pool).groupBy("id").agg(F.max("y").alias("y"))
-    sample = rows.join(F.broadcast(ids), "id").dropDuplicates(["id"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text, meta = _features(*(b[c].astype(object).where(b[c].notna(), None).tolist() for c in ("text", *_META)))
-            yield pd.DataFrame({"id": b["id"], "y": b["y"].astype("Int32"), "f": [x.tobytes() for x in np.hstack([text, meta])]})
-
-    found = sample.mapInPandas(run, "id long, y int, f binary").toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i])) if (ids := found["id"].to_pylist()) else []
-    x = np.empty((len(order), TEXT_DIM + META_DIM), np.float32)
-    for i, at in enumerate(order):
-        x[i] = np.frombuffer(found["f"][at].as_buffer(), np.float32)
-    labels = [found["y"][at].as_py() for at in order]
-    del found
-    has = np.array([y is not None for y in labels], bool)
-    views = lambda rows: (x[rows, :TEXT_DIM], x[rows, TEXT_DIM:])
-    return Model(views(has), np.array([y for y in labels if y is not None], np.int64), views(~has))
+    # labels of ids that aren't there take no place in the sample
+    sample = {r["id"]: r["y"] for r in known.join(rows.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(LABELLED).collect()}
+    ids, x = _fetch(rows, docs.sparkSession.createDataFrame([(i,) for i in sorted(sample)], "id long"))
+    return Model((x[:, :TEXT_DIM], x[:, TEXT_DIM:]), np.array([sample[i] for i in ids], np.int64), Corpus(rows, known))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
