@@ -1,6 +1,7 @@
 """Catalog, callbacks, manifests, pages, providers and streams."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,15 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch.collect()))
     assert callback_interval(spark, sf).count() <= batch.count()
     assert stream_change_inserts(spark, sf).count() == events.where("event_type = 'signup'").count()
+
+
+def test_changes_without_a_time(spark, tmp_path):
+    """Inserts with a null ts come out of the stream; tables without times or rows give what they have."""
+    from vocalith.plans import queries
+
+    rows = [(i, i % 3, "signup" if i % 2 else "click", None if i % 5 == 1 else datetime(2024, 1, 1 + i)) for i in range(20)]
+    for name, some in (("mixed", rows), ("untimed", [(*r[:3], None) for r in rows]), ("empty", [])):
+        spark.createDataFrame(some, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / name / "events.parquet"))
+        got = queries.stream_change_inserts(spark, str(tmp_path / name)).collect()
+        assert sorted(map(tuple, got)) == [r[:2] for r in some if r[2] == "signup"]
+        assert queries.stream_callback_interval(spark, str(tmp_path / name)).count() == 0

@@ -232,14 +232,18 @@ def callback_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of a stream over the events in order of time, five files, one a trigger."""
+    """The rows of a stream over the events in order of time, five files, one a trigger; those without a time are in the first."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
     path = f"{base}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     days = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    for k in range(5):
-        low, high = (days.low + (days.high - days.low) * x / 5 for x in (k, k + 1))
-        part = events.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") <= F.lit(high)) if k == 4 else (F.col("ts") < F.lit(high))))
+    untimed = F.col("ts").isNull()
+    for k in range(5 if days.low is not None else 1):
+        part = events.where(untimed)
+        if days.low is not None:
+            low, high = (days.low + (days.high - days.low) * x / 5 for x in (k, k + 1))
+            timed = (F.col("ts") >= F.lit(low)) & ((F.col("ts") <= F.lit(high)) if k == 4 else (F.col("ts") < F.lit(high)))
+            part = events.where(timed | untimed if k == 0 else timed)
         part.coalesce(1).write.mode("append").parquet(f"{path}/in")
     rows = change(stream(spark, f"{path}/in", events.schema, "parquet", files_per_trigger=1))
     drain(rows, f"{path}/out", f"{path}/checkpoint")

@@ -27,8 +27,9 @@ def resolve(tasks: DataFrame, urls: DataFrame, key: str, task_time: str, url_tim
 
 
 def once(notifications: DataFrame, key: list[str], time: str, lateness: str = LATENESS) -> DataFrame:
-    """Without repeated notifications, as far as the watermark reaches."""
-    return notifications.withWatermark(time, lateness).dropDuplicatesWithinWatermark(key)
+    """Without repeated notifications, as far as the watermark reaches; it doesn't reach those without a time, which all pass."""
+    timed = notifications.where(F.col(time).isNotNull()).withWatermark(time, lateness).dropDuplicatesWithinWatermark(key)
+    return timed.unionByName(notifications.where(F.col(time).isNull()))
 
 
 def plans(articles: DataFrame, pages: DataFrame, selectors: Selectors | None = None) -> tuple[DataFrame, DataFrame]:
