@@ -216,3 +216,13 @@ def test_labels_of_absent_ids_take_no_place(spark, rated, monkeypatch):
     monkeypatch.setattr(quality, "LABELLED", 200)
     absent = spark.range(10**6, 10**6 + 20_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     assert quality.fit(docs, labels.unionByName(absent)).ok
+
+
+def test_language_with_a_hot_id(spark, monkeypatch):
+    """An id of more rows than are learnt from, first by hash, doesn't push out the others."""
+    monkeypatch.setattr(language_id, "SAMPLE", 120)
+    hot = spark.range(200).selectExpr("id", "xxhash64(id) AS h").orderBy("h").first()["id"]
+    rows = [(i, prose(lang := RNG.choice(["aa", "bb"]), 40), lang) for i in range(200)] + [(hot, prose("cc", 40), "cc") for _ in range(300)] + [(hot, "x y", "cc")] * 300
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb", "cc"]
+    assert [next(language_id.Predictor(model)([prose(lang, 30)]))[0] for lang in ("aa", "bb", "cc")] == ["aa", "bb", "cc"]

@@ -6,13 +6,13 @@ from `ORDERS[0]` characters down to one, with the word's ends marked. The langua
 largest sum wins, ties going to the first by name; the score is its share of the posterior
 under equal priors.
 
-The model is fitted on at most `SAMPLE` labelled rows, those of the least id hashes, whose
-words are counted by Spark; it knows the `WORDS` most frequent words and `GRAMS` n-grams, so
+The model is fitted on at most `SAMPLE` labelled rows, those of the least hashes of id, text
+and language, whose words are counted by Spark; it knows the `WORDS` most frequent words and `GRAMS` n-grams, so
 what is broadcast has a fixed bound. Every text is predicted whole.
 
 Defined cases: a text that is null or has no letter gets `und` with score 0, and so do all
 texts if there is nothing to learn from. A null language is never learnt from; a null id is
-neither learnt from nor held out. Repeated rows count each. An empty table gives an empty
+neither learnt from nor held out. Repeated rows count each, but are learnt from once. An empty table gives an empty
 result. Only id, text and language are read, so other columns can't clash.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
@@ -116,9 +116,9 @@ def held_out(id_: Column) -> Column:
 def fit(rows: DataFrame) -> Model:
     """rows: doc_id, text, lang; all may be learnt from."""
     rows = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
-    ids = ids.withColumn("upto", F.sum("n").over(Window.orderBy("h", "doc_id"))).where(f"upto <= {SAMPLE}").select("doc_id")
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h"))
+    least = rows.select("h").distinct().orderBy("h").limit(SAMPLE)
+    sample = rows.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = {}
