@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: materialised intermediates and row ids."""
+"""What the operators of this subpackage share: materialised intermediates, sieves and row ids."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,56 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where the tables are that materialise has written.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables of materialise that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Sieve:
+    """Tells keys that aren't among a given set, most of the time; it never holds back one that is.
+
+    A bitmap of 2**BITS bits, however many keys there are, so it can be broadcast: it keeps
+    rows without a partner out of a shuffle, and the join after it stays exact.
+    """
+
+    BITS = 26
+
+    def __init__(self, rows: DataFrame, *keys: str):
+        """rows: those with the keys to let through."""
+        bit = F.xxhash64(*keys).bitwiseAND(F.lit((1 << self.BITS) - 1))
+        words = rows.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+        bitmap = np.zeros(1 << self.BITS - 6, np.int64)
+        bitmap[words["at"].to_numpy()] = words["bits"].to_numpy()
+        self.keys = keys
+        self.sent = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @classmethod
+    def test(cls, bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Which of the keys' hashes (xxhash64) pass."""
+        bit = hashes.view(np.uint64) & np.uint64((1 << cls.BITS) - 1)
+        return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def passes(self) -> Column:
+        """Whether a row's keys pass, by columns of the names that the sieve was made with."""
+        sent, test = self.sent, self.test
+
+        @F.pandas_udf("boolean")
+        def of(hashes: pd.Series) -> pd.Series:
+            return pd.Series(test(sent.value, hashes.to_numpy(np.int64)))
+
+        return of(F.xxhash64(*self.keys))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

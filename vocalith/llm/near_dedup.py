@@ -37,13 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, materialise, ordered_id
+from .common import Sieve, documents, fresh, materialise, ordered_id, spent
 
 SHINGLE, PERCENT, ROWS, MISS, BATCH, SMALL = 5, 80, 6, 1e-6, 32, 8
 #: Bits of a node's parity sketch.
 PARITY = 2048
 #: Words handled at a time.
 _SLICE = 100_000
+#: Keys of texts that a task remembers.
+REMEMBERED = 200_000
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -157,8 +159,8 @@ def least_matches(percent: int, total: int, miss: float = MISS, batch: int = BAT
     return out
 
 
-def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b that the signatures don't rule out."""
+def _prune(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b that the signatures don't rule out. signs: row, n, sign of all rows in pairs."""
     steps = least_matches(percent, bands_for(percent) * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,17 +174,36 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 alive, done = alive[matches[alive] >= least], n
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    of = nodes.select("row", "n", "sign")
+    of = signs.select("row", "n", "sign")
     joined = pairs.join(of.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b")), "b").join(of.withColumnRenamed("row", "a"), "a")
     near = joined.where((100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
     return near.select("a", "b", "sign", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row and text of the needed nodes, by (id, hash of the text)."""
-    keys = needed.join(nodes, "row").select("row", ordered_id(F.col("doc_id")).alias("ord"), "text_hash")
-    texts = docs.select(ordered_id(F.col(id_col)).alias("ord"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return texts.join(keys, ["ord", "text_hash"]).dropDuplicates(["ord", "text_hash", "row"]).select("row", "text")
+def _texts(needed: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, text and crowd of the needed rows (row, crowd), by (id, hash of the text). A sieve of these keeps all other texts out of the shuffle."""
+    keys = materialise(needed.join(rows, "row").select("row", "crowd", ordered_id(F.col("doc_id")).alias("ord"), "text_hash"), "keys")
+    sent = Sieve(keys, "ord", "text_hash").sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
+        for batch in batches:
+            at = np.flatnonzero(Sieve.test(sent.value, batch.column("h").to_numpy()))
+            # repeated rows: one is enough; a task remembers a bounded number
+            some, fresh_ = batch.select(["ord", "text_hash"]).take(pa.array(at)), []
+            for i, key in enumerate(zip(*(c.to_pylist() for c in some.columns), strict=True)):
+                if key not in given:
+                    fresh_.append(at[i])
+                    given.add(key)
+            if len(given) > REMEMBERED:
+                given.clear()
+            yield batch.select(["ord", "text_hash", "text"]).take(pa.array(fresh_, pa.int64()))
+
+    texts = docs.select(ordered_id(F.col(id_col)).alias("ord"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.select("ord", "text_hash", "text", F.xxhash64("ord", "text_hash").alias("h")).mapInArrow(run, "ord long, text_hash long, text string")
+    out = materialise(texts.join(keys, ["ord", "text_hash"]).dropDuplicates(["ord", "text_hash", "row"]).select("row", "text", "crowd"), "texts")
+    spent(keys)
+    return out
 
 
 def _own_shingles(texts: DataFrame, size: int) -> DataFrame:
@@ -199,8 +220,8 @@ def _own_shingles(texts: DataFrame, size: int) -> DataFrame:
     return shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count("*").alias("own"))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Pairs a, b whose full sets reach the threshold; sets are made from the whole texts of the nodes concerned."""
+def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs a, b whose full sets reach the threshold. texts: row, text of all rows in pairs, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -222,9 +243,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, i
                         found.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
-    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "row")
-    texts = _texts(needed, nodes, docs, id_col, text_col)
-    joined = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts.withColumnRenamed("row", "a"), "a")
+    joined = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("row").alias("a"), "text"), "a")
     return joined.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -237,53 +256,61 @@ def components(links: DataFrame) -> DataFrame:
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    # least neighbours are written before they are joined, so a hub's edges can be split over tasks
     edges = materialise(ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
     before, now = None, state(edges)
     while now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = materialise(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = ordered(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
-        edges = materialise(small, "edges")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = materialise(ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "edges")
+        spent(edges, least)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        edges = materialise(ordered(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))), "edges")
+        spent(large, least)
         before, now = now, state(edges)
-    return edges.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct())
+    labels = materialise(edges.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct()), "labels")
+    spent(edges)
+    return labels
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """key, row, size, first: nodes in buckets of two or more."""
-    keyed = nodes.select(F.explode("bands").alias("key"), "row")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("first")).where("size > 1")
-    return keyed.join(buckets, "key")
+def _members(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of buckets of two nodes the pairs a, b; of larger ones key, row, size, first. bands: row, bands."""
+    keyed = bands.select(F.explode("bands").alias("key"), "row")
+    buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("first"), F.max("row").alias("last")).where("size > 1"), "buckets")
+    two = materialise(buckets.where("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).distinct(), "two")
+    more = buckets.where("size > 2").drop("last")
+    members = materialise(keyed.where(Sieve(more, "key").passes()).join(more, "key"), "members")
+    spent(buckets)
+    return two, members
 
 
 def _few(members: DataFrame) -> DataFrame:
     """All pairs of small buckets."""
     few = members.where(f"size <= {SMALL}")
     star = few.where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    listed = few.where("row != first AND size > 2").groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    listed = few.where("row != first").groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     each = listed.select("rows", F.posexplode("rows").alias("i", "a")).select("a", F.explode(F.expr("slice(rows, i + 2, size(rows))")).alias("b"))
     return star.unionByName(each)
 
 
-def _many(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
-    """key, row, n, own, center: nodes of large buckets that can have a partner in theirs.
+def _many(members: DataFrame, signs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """key, row, n, own, shared, center: nodes of large buckets that can have a partner in theirs.
 
     A node shares at most n - own shingles, and no partner is smaller than the bucket's least
     node. The center is the node with the fewest shingles of its own: in a group of edited
     copies the one nearest to what they were copied from, so most links are with it.
+    What a bucket's nodes are joined with is written first, so a hot bucket can be split over tasks.
     """
     large = members.where(f"size > {SMALL}").select("key", "row")
-    sizes = nodes.select("row", "n", "doc_id", "text_hash").join(large.select("row").distinct(), "row", "left_semi")
-    own = materialise(_own_shingles(_texts(sizes.select("row"), nodes.select("row", "doc_id", "text_hash"), docs, id_col, text_col), size), "own")
-    sizes = sizes.select("row", "n").join(own, "row", "left").na.fill(0, ["own"]).withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    own = materialise(_own_shingles(texts.where("crowd"), size), "own")
+    sizes = signs.select("row", "n").join(own, "row", "left").na.fill(0, ["own"]).withColumn("shared", F.col("n") - F.col("own"))
     large = materialise(large.join(sizes, "row"), "large")
-    least = large.groupBy("key").agg(F.min("n").alias("least"))
-    able = large.join(least, "key").where(F.col("shared") * 100 >= percent * (F.col("n") + F.greatest("least", "shared") - F.col("shared"))).drop("least")
-    centers = able.groupBy("key").agg(F.min_by("row", F.struct("own", "row")).alias("center"), F.count("*").alias("size")).where("size > 1").drop("size")
-    return able.join(centers, "key")
+    least = materialise(large.groupBy("key").agg(F.min("n").alias("least")), "least")
+    able = materialise(large.join(least, "key").where(F.col("shared") * 100 >= percent * (F.col("n") + F.greatest("least", "shared") - F.col("shared"))).drop("least"), "able")
+    centers = materialise(able.groupBy("key").agg(F.min_by("row", F.struct("own", "row")).alias("center"), F.count("*").alias("size")).where("size > 1").drop("size"), "centers")
+    many = materialise(able.join(centers, "key"), "many")
+    spent(own, large, least, able, centers)
+    return many
 
 
 def _stars(many: DataFrame) -> DataFrame:
@@ -291,49 +318,74 @@ def _stars(many: DataFrame) -> DataFrame:
     return many.where("row != center").select(F.least("row", "center").alias("a"), F.greatest("row", "center").alias("b"))
 
 
-def _left_over(many: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _left_over(many: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs across components in large buckets that may reach the threshold: nodes outside the bucket's main component with all others.
 
     Near copies share many buckets; a pair comes out of the first that both are in. Exact
     bounds hold back pairs by the shingles that can't be common and by those that differ.
     """
-    keys = many.groupBy("row").agg(F.collect_set("key").alias("keys"))
-    large = many.where("row != center").join(labels, "row", "left").select("key", "row", "n", "shared", F.coalesce("root", "row").alias("root"))
-    counts = large.groupBy("key", "root").agg(F.count("*").alias("nodes"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("nodes", "root")).alias("main")).where("roots > 1")
-    large = large.join(mixed.select("key", "main"), "key").join(keys, "row").join(nodes.select("row", "parities"), "row")
+    rooted = materialise(many.where("row != center").join(labels, "row", "left").select("key", "row", "n", "shared", F.coalesce("root", "row").alias("root")), "rooted")
+    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("nodes"))
+    mixed = materialise(counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("nodes", "root")).alias("main")).where("roots > 1").drop("roots"), "mixed")
+    contested = materialise(rooted.join(mixed, "key"), "contested")
+    keys = many.join(contested.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
+    large = materialise(contested.join(keys, "row").join(signs.select("row", "parities"), "row"), "large")
     outside = large.where("root != main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("row", "root", "n", "shared", "keys", "parities")])
     may = f"100 * least(shared, x_shared) >= {percent} * (n + x_n - least(shared, x_shared))"
     apart = "aggregate(zip_with(parities, x_parities, (p, q) -> bit_count(p ^ q)), 0, (s, b) -> s + b)"
     near = f"100 * (n + x_n - {apart}) >= {percent} * (n + x_n + {apart})"
     pairs = outside.join(large, "key").where(f"root != x_root AND (root = main OR x_row < row) AND {may} AND array_min(array_intersect(keys, x_keys)) = key AND {near}")
-    return pairs.select(F.least("x_row", "row").alias("a"), F.greatest("x_row", "row").alias("b")).distinct()
+    out = materialise(pairs.select(F.least("x_row", "row").alias("a"), F.greatest("x_row", "row").alias("b")).distinct(), "pairs")
+    spent(rooted, mixed, contested, large)
+    return out
 
 
-def _decided(docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
-    """row, doc_id, text_hash, n, component_id, keeper: the component's one row that stays."""
-    rows = materialise(signatures(docs, percent, id_col, text_col, size), "signatures")
-    sets = rows.where("n > 0").withColumn("ord", ordered_id(F.col("doc_id"))).groupBy("set_hash").agg(F.min_by("row", "ord").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    sets = materialise(sets, "sets")
-    nodes = materialise(rows.join(sets.select(F.col("node").alias("row")), "row").select("row", "doc_id", "text_hash", "n", "sign", "bands", "parities"), "nodes")
-    members = materialise(_members(nodes), "members")
+def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
+    """row, root: the components of nodes that are linked with any other."""
+    bands = materialise(rows.select("row", "bands").join(nodes, "row"), "bands")
+    two, members = _members(bands)
+    spent(bands)
+    few = materialise(two.unionByName(_few(members)).distinct(), "pairs")
+    crowd = members.where(f"size > {SMALL}").select("row").distinct()
+    paired = few.select(F.explode(F.array("a", "b")).alias("row"))
+    # from here on only rows that share a bucket count: their signatures, and the texts of those that aren't ruled out, are fetched once
+    in_buckets = materialise(crowd.unionByName(paired).distinct(), "rows")
+    signs = materialise(rows.select("row", "n", "sign", "parities").where(Sieve(in_buckets, "row").passes()).join(in_buckets, "row"), "signs")
+    likely = materialise(_prune(few, signs, percent), "likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("row"), F.lit(False).alias("crowd"))
+    needed = crowd.withColumn("crowd", F.lit(True)).unionByName(ends).groupBy("row").agg(F.max("crowd").alias("crowd"))
+    texts = _texts(needed, rows.select("row", "doc_id", "text_hash"), docs, id_col, text_col)
+    many = _many(members, signs, texts, percent, size)
+    stars = materialise(_prune(_stars(many).distinct(), signs, percent), "likely")
+    found = materialise(_verify(likely.unionByName(stars).distinct(), texts, percent, size), "links")
+    spent(two, members, few, in_buckets, likely, stars)
+    labels = components(found)
+    rest = _left_over(many, labels, signs, percent)
+    if not rest.isEmpty():
+        likely = materialise(_prune(rest, signs, percent), "likely")
+        late = materialise(_verify(likely, texts, percent, size), "links")
+        if not late.isEmpty():
+            spent(labels)
+            labels = components(found.unionByName(late))
+        spent(likely, late)
+    spent(signs, texts, many, found, rest)
+    return labels
 
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = materialise(_prune(pairs, nodes, percent), "likely")
-        return materialise(_verify(likely, nodes, docs, percent, id_col, text_col, size), "links")
 
-    many = materialise(_many(members, nodes, docs, percent, id_col, text_col, size), "many")
-    found = links(_few(members).unionByName(_stars(many)).distinct())
-    labels = components(found)
-    rest = materialise(_left_over(many, labels, nodes, percent), "pairs")
-    if not rest.isEmpty() and not (late := links(rest)).isEmpty():
-        labels = components(found.unionByName(late))
-    labels = materialise(labels, "labels")
-    named = sets.join(labels.withColumnRenamed("row", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keepers = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("node", ordered_id(F.col("least"))).alias("keeper_row"), F.sum("copies").alias("all"))
-    known = named.join(keepers.where("all > 1"), "root").select("set_hash", "component_id", "keeper_row")
-    return rows.select("row", "doc_id", "text_hash", "n", "set_hash").join(known, "set_hash", "left").select(
-        "row", "doc_id", "text_hash", "n", F.when(F.col("keeper_row").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("keeper_row", "row") == F.col("row")).alias("keeper")
+def _decided(docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
+    """row, doc_id, text_hash, n, component_id, keeper (the component's one row that stays), alone (no other row is in its component)."""
+    signed = materialise(signatures(docs, percent, id_col, text_col, size), "signatures")
+    sets = signed.where("n > 0").withColumn("ord", ordered_id(F.col("doc_id"))).groupBy("set_hash").agg(F.min_by("row", "ord").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    sets = materialise(sets, "sets")
+    labels = _links(signed, sets.select(F.col("node").alias("row")), docs, percent, id_col, text_col, size)
+    named = materialise(sets.join(labels.withColumnRenamed("row", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    keepers = materialise(named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("node", ordered_id(F.col("least"))).alias("keeper_row"), F.sum("copies").alias("all")).where("all > 1").drop("all"), "keepers")
+    known = materialise(named.join(keepers, "root").select("set_hash", "component_id", "keeper_row"), "known")
+    rows = materialise(signed.select("row", "doc_id", "text_hash", "n", "set_hash"), "rows")
+    spent(signed, sets, labels, named, keepers)
+    alone = F.col("keeper_row").isNull()
+    return rows.join(known, "set_hash", "left").select(
+        "row", "doc_id", "text_hash", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("keeper_row", "row") == F.col("row")).alias("keeper"), alone.alias("alone")
     )
 
 
@@ -347,14 +399,18 @@ def decide(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
 def deduplicate(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay, one of each component, with the columns of docs.
 
-    Texts that aren't kept go by (id, hash of the text), which the written decisions carry; rows alike in both are copies.
+    Rows alone in their component pass where they lie; a sieve finds the others, and only these
+    are shuffled. They go by (id, hash of the text), which the written decisions carry; rows
+    alike in both are copies.
     """
     ord_, hash_ = fresh(docs, "ord", "hash")
-    keepers = materialise(_decided(docs, percent, id_col, text_col, size).where("keeper").select(ordered_id(F.col("doc_id")).alias(ord_), F.col("text_hash").alias(hash_), (F.col("n") > 0).alias("full")), "keepers")
+    grouped = _decided(docs, percent, id_col, text_col, size).where("NOT alone").select(ordered_id(F.col("doc_id")).alias(ord_), F.col("text_hash").alias(hash_), "keeper")
+    grouped = materialise(grouped, "grouped")
     tagged = docs.withColumns({ord_: ordered_id(F.col(id_col)), hash_: F.xxhash64(F.col(text_col))})
-    kept = tagged.join(keepers.where("full").select(ord_, hash_), [ord_, hash_], "left_semi").dropDuplicates([ord_, hash_])
-    empty = tagged.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(empty).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = Sieve(grouped, ord_, hash_).passes()
+    kept = tagged.where(met).join(grouped.where("keeper").select(ord_, hash_), [ord_, hash_], "left_semi").dropDuplicates([ord_, hash_])
+    others = tagged.where(met).join(grouped.select(ord_, hash_), [ord_, hash_], "left_anti")
+    return tagged.where(~met).unionByName(kept).unionByName(others).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
