@@ -3,12 +3,20 @@
 A partition's texts are cut into words by the tokenizer's pattern. Words that the worker
 hasn't met yet become token-position rows, one per byte, which a recursive query joins with
 the merge table: each round contracts the leftmost pair of least rank in every word that has
-one, until no word has any. Words of over `LONG_WORD` bytes contract all non-overlapping
-occurrences of their least-ranked pair in a round, from the left; since the ranks of a word's
-successive merges never fall, that is the same sequence of merges. Decoding joins token
-positions with the vocabulary and aggregates the bytes in order. A word's ids are kept for
-later texts in a store of bounded size, per worker process; texts are read in slices of
-bounded size, so memory doesn't grow with the partition.
+one, until no word has any; finished words leave the recursion. Decoding joins the token
+positions of whole documents with the vocabulary and aggregates the bytes in order.
+
+A word of over `SEGMENT` bytes becomes overlapping segments, contracted like words, or its
+rounds times its length would be quadratic. Two neighbours are joined at a token that both have
+at the same place. That is exact: a sequence of tokens is the encoding of its text if each
+two neighbours in it are the encoding of theirs (until one round contracts across a token's
+end, the rounds between two ends are those of that token alone), and each two neighbours of
+the joined sequence are neighbours in a segment's encoding. If two segments have no token
+in common, the word is cut into segments four times as long, at last into one.
+
+A word's ids are kept for later texts, per worker process, in two generations of bounded
+bytes, of which the older one goes; texts are read in slices and contracted and decoded in
+batches of bounded size, so memory doesn't grow with the partition.
 
 Defined cases: a null text counts as empty and has no tokens (its digests are those of no
 bytes). Text that looks like a special token is ordinary text. Repeated rows give repeated
@@ -19,69 +27,49 @@ are read, so other columns can't clash.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.shuffle import _get_local_dirs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, frugal, held
 
-#: Characters of text handled at a time, words per recursive query, words kept per worker.
-SLICE_CHARS, QUERY_WORDS, KEPT_WORDS = 4_000_000, 60_000, 400_000
-LONG_WORD = 64
+#: Characters of text handled at a time, bytes of words or tokens per query, bytes of words kept in a generation per worker.
+SLICE_CHARS, QUERY_ROWS, KEPT_BYTES = 2_000_000, 600_000, 40_000_000
+#: Bytes of a segment; the next one begins in its middle.
+SEGMENT = 128
 
-#: Position and rank share an integer: a word's rows are (word << 24) + position.
-_SHORT_SQL = """
+#: Word and position share an integer, k = (word << 32) + position, and so do rank and position.
+_CONTRACT_SQL = """
 WITH RECURSIVE t(live, k, id) AS (
   SELECT true, k, id FROM tokens
   UNION ALL
   SELECT best.v IS NOT NULL,
-         CASE WHEN t.k > (best.w << 24) + (best.v & 16777215) THEN t.k - 1 ELSE t.k END,
-         CASE WHEN t.k = (best.w << 24) + (best.v & 16777215) THEN best.v >> 24 ELSE t.id END
+         CASE WHEN t.k > (best.w << 32) + (best.v & 4294967295) THEN t.k - 1 ELSE t.k END,
+         CASE WHEN t.k = (best.w << 32) + (best.v & 4294967295) THEN best.v >> 32 ELSE t.id END
   FROM t LEFT JOIN (
-    SELECT a.k >> 24 AS w, min(merges.id * 16777216 + (a.k & 16777215)) AS v
-    FROM (SELECT k, id, lead(id) OVER (PARTITION BY k >> 24 ORDER BY k) AS next FROM t WHERE live) a
-    JOIN merges ON merges.pair = a.id * 16777216 + a.next
+    SELECT a.k >> 32 AS w, min(merges.id * 4294967296 + (a.k & 4294967295)) AS v
+    FROM t a JOIN t b ON b.k = a.k + 1
+    JOIN merges ON merges.pair = a.id * 16777216 + b.id
+    WHERE a.live AND b.live
     GROUP BY 1
-  ) best ON best.w = t.k >> 24
-  WHERE t.live AND t.k <> coalesce((best.w << 24) + (best.v & 16777215) + 1, -1)
+  ) best ON best.w = t.k >> 32
+  WHERE t.live AND t.k <> coalesce((best.w << 32) + (best.v & 4294967295) + 1, -1)
 )
-SELECT k, id FROM t WHERE NOT live
-"""
-
-_LONG_SQL = """
-WITH RECURSIVE t(live, k, id) AS (
-  SELECT true, k, id FROM tokens
-  UNION ALL
-  SELECT least IS NOT NULL, (w << 24) + row_number() OVER (PARTITION BY w ORDER BY k) - 1, CASE WHEN chosen THEN least ELSE id END
-  FROM (
-    SELECT *, coalesce(lag(chosen) OVER (PARTITION BY w ORDER BY k), false) AS gone
-    FROM (
-      SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, island ORDER BY k) % 2 = 1 AS chosen
-      FROM (
-        SELECT *, k - row_number() OVER (PARTITION BY w, hit ORDER BY k) AS island
-        FROM (
-          SELECT *, coalesce(m = least, false) AS hit
-          FROM (
-            SELECT p.w, p.k, p.id, merges.id AS m, min(merges.id) OVER (PARTITION BY p.w) AS least
-            FROM (SELECT k >> 24 AS w, k, id, lead(id) OVER (PARTITION BY k >> 24 ORDER BY k) AS next FROM t WHERE live) p
-            LEFT JOIN merges ON merges.pair = p.id * 16777216 + p.next
-          )
-        )
-      )
-    )
-  )
-  WHERE NOT gone
-)
-SELECT k, id FROM t WHERE NOT live
+SELECT k, id FROM t WHERE NOT live ORDER BY k
 """
 
+#: Each byte of a token is the character of that number.
 _DECODE_SQL = """
-SELECT k >> 24 AS w, string_agg(vocabulary.hex, '' ORDER BY k) AS hex
-FROM ids JOIN vocabulary USING (id) GROUP BY 1 ORDER BY 1
+SELECT text, string_agg(vocabulary.bytes, '' ORDER BY k) AS bytes
+FROM ids JOIN vocabulary USING (id) GROUP BY 1
 """
 
 
@@ -90,11 +78,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+def _classes(pattern: str) -> str:
+    """The pattern for Latin-1 texts, the characters of each class spelled out."""
+    latin = list(map(chr, range(256)))
+    some = {r"\p{L}": [c for c in latin if unicodedata.category(c)[0] == "L"], r"\p{N}": [c for c in latin if unicodedata.category(c)[0] == "N"], r"\s": [*"\t\n\v\f\r\x20\x85\xa0"]}
+    inside = re.sub(r"\[[^\]]*\]", lambda m: functools.reduce(lambda p, x: p.replace(x[0], re.escape("".join(x[1]))), some.items(), m[0].replace(r"\S", "")), pattern)
+    for name, of in some.items():
+        inside = inside.replace(name, f"[{re.escape(''.join(of))}]")
+    return inside.replace(r"\S", f"[^{re.escape(''.join(some[r'\s']))}]")
+
+
 class Coder:
     """Words to ids and ids to bytes, by DuckDB, with a bounded store of what it has seen."""
 
-    _by_key: dict[tuple[str, str], Coder] = {}
-
     def __init__(self, path: str, pattern: str):
         import duckdb
         import regex
@@ -103,79 +99,129 @@ class Coder:
         splits = [(ranks[a], ranks[b], rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := token[:k]) in ranks and (b := token[k:]) in ranks]
         left, right, merged = np.array(splits, dtype=np.int64).reshape(-1, 3).T
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.words_of = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self._any, self._latin = regex.compile(pattern).findall, re.compile(_classes(pattern)).findall
+        # what is too much for memory goes where Spark's own workers spill
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": _get_local_dirs("duckdb")[0]})
         self._table("merges", pair=left * (1 << 24) + right, id=merged)
-        self._table("vocabulary", id=np.fromiter(ranks.values(), np.int64), hex=[t.hex() for t in ranks])
+        self._table("vocabulary", id=np.fromiter(ranks.values(), np.int64), bytes=[t.decode("latin-1") for t in ranks])
         self.store: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
 
-    @classmethod
-    def get(cls, path: str, pattern: str) -> Coder:
-        """One for each worker process: later tasks find its store filled."""
-        if (path, pattern) not in cls._by_key:
-            cls._by_key[path, pattern] = cls(path, pattern)
-        return cls._by_key[path, pattern]
+    def words_of(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._any(text)
+        return self._latin(text)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("columns", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM columns")
         self.db.unregister("columns")
 
-    def _contract(self, words: list[bytes], sql: str) -> list[np.ndarray]:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        first = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(words)), sizes)
-        self._table("tokens", k=(word << 24) + np.arange(len(flat)) - np.repeat(first, sizes), id=self.byte_ids[flat])
-        found = self.db.sql(f"{sql} ORDER BY k").to_arrow_table()
-        ids = found["id"].to_numpy()
-        return np.split(ids, np.searchsorted(found["k"].to_numpy() >> 24, np.arange(1, len(words))))
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
+        out = []
+        for at, end in _batches(list(map(len, words)), QUERY_ROWS):
+            sizes = np.fromiter(map(len, words[at:end]), np.int64, end - at)
+            flat = np.frombuffer(b"".join(words[at:end]), np.uint8)
+            word, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            self._table("tokens", k=(word << 32) + np.arange(len(flat)) - np.repeat(first, sizes), id=self.byte_ids[flat])
+            found = self.db.sql(_CONTRACT_SQL).to_arrow_table()
+            ids, bounds = found["id"].to_numpy().astype("<u4").tobytes(), (4 * np.searchsorted(found["k"].to_numpy() >> 32, np.arange(len(sizes) + 1))).tolist()
+            out += [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        return out
+
+    def _long(self, word: bytes, size: int = SEGMENT) -> bytes:
+        """The ids of a long word, by segments."""
+        starts = range(0, max(1, len(word) - size // 2), size // 2)
+        first, *rest = ((i, np.frombuffer(x, "<u4")) for i, x in zip(starts, self.contract([word[i : i + size] for i in starts]), strict=True))
+        # (tokens, their places): what is joined so far ends where its last segment does
+        parts, ids, places = [], first[1], self._places(first)
+        for segment in rest:
+            new = self._places(segment)
+            # a token is in both if it begins and ends at the same places in both
+            ends, new_ends = (np.append(x[1:], -1 - i) for i, x in enumerate((places, new)))
+            _, i, j = np.intersect1d(places, new, return_indices=True)
+            both = np.flatnonzero(ends[i] == new_ends[j])
+            if not len(both):
+                return self._long(word, 4 * size)
+            i, j = i[both[0]], j[both[0]]
+            parts.append(ids[:i])
+            ids, places = segment[1][j:], new[j:]
+        return np.concatenate([*parts, ids]).tobytes()
+
+    def _places(self, segment: tuple[int, np.ndarray]) -> np.ndarray:
+        sizes = self.sizes[segment[1]]
+        return segment[0] + np.cumsum(sizes) - sizes
+
+    @functools.cached_property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each token, by id."""
+        ids, sizes = self.db.sql("SELECT id, length(bytes) AS n FROM vocabulary").to_arrow_table().columns
+        out = np.zeros(max(ids.to_pylist()) + 1, np.int64)
+        out[ids.to_numpy()] = sizes.to_numpy()
+        return out
 
     def learn(self, words: set[str]) -> None:
-        """Put the ids and the decoded bytes of the words into the store."""
-        missing = [w for w in words if w not in self.store]
-        if len(self.store) + len(missing) > KEPT_WORDS:
-            self.store.clear()
-            self.decoded.clear()
-            missing = list(words)
+        """Put the ids of the words into the store."""
+        if self.size > KEPT_BYTES:
+            self.store, self.older, self.size = {}, self.store, 0
+        missing = []
+        for word in words:
+            if word not in self.store:
+                if word in self.older:
+                    self.store[word] = self.older[word]
+                    self.size += len(word) + 200
+                else:
+                    missing.append(word)
         coded = [w.encode("utf-8", "surrogatepass") for w in missing]
-        for long, sql in ((False, _SHORT_SQL), (True, _LONG_SQL)):
-            of = [i for i, w in enumerate(coded) if (len(w) > LONG_WORD) == long]
-            for at in range(0, len(of), QUERY_WORDS):
-                some = of[at : at + QUERY_WORDS]
-                ids = [x.astype("<u4") for x in self._contract([coded[i] for i in some], sql)]
-                for i, x, text in zip(some, ids, self.decode(ids), strict=True):
-                    self.store[missing[i]] = x.tobytes()
-                    self.decoded[x.tobytes()] = text
+        short = [i for i, w in enumerate(coded) if len(w) <= SEGMENT]
+        for i, ids in zip(short, self.contract([coded[i] for i in short]), strict=True):
+            self.store[missing[i]] = ids
+        for i, word in enumerate(coded):
+            if len(word) > SEGMENT:
+                self.store[missing[i]] = self._long(word)
+        self.size += sum(map(len, coded)) + 200 * len(missing)
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = np.cumsum(sizes) - sizes
-        at = np.repeat(np.arange(len(ids)), sizes)
-        flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        self._table("ids", k=(at << 24) + np.arange(len(flat)) - np.repeat(first, sizes), id=flat)
-        found = self.db.sql(_DECODE_SQL).to_arrow_table()
         out = [b""] * len(ids)
-        for i, text in zip(found["w"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[i] = bytes.fromhex(text)
+        for start, end in _batches(list(map(len, ids)), QUERY_ROWS):
+            sizes = np.fromiter(map(len, ids[start:end]), np.int64, end - start)
+            flat = np.concatenate(ids[start:end]).astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            self._table("ids", text=np.repeat(np.arange(start, end), sizes), k=np.arange(len(flat)) - np.repeat(first, sizes), id=flat)
+            found = self.db.sql(_DECODE_SQL).to_arrow_table()
+            for i, text in zip(found["text"].to_pylist(), found["bytes"], strict=True):
+                out[i] = text.as_py().encode("latin-1")
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[bytes]]:
-        """For each text its words' ids, as little-endian 32-bit integers."""
-        at = 0
-        while at < len(texts):
-            chars, end = 0, at
-            while end < len(texts) and (chars < SLICE_CHARS or end == at):
-                chars += len(texts[end] or "")
-                end += 1
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """For each text its ids, as little-endian 32-bit integers."""
+        for at, end in _batches([len(t or "") for t in texts], SLICE_CHARS):
             words = [self.words_of(t or "") for t in texts[at:end]]
-            new = set().union(*words)
-            self.learn(new)
+            self.learn(set().union(*words))
             for w in words:
-                yield list(map(self.store.__getitem__, w))
-            at = end
+                yield np.frombuffer(b"".join(map(self.store.__getitem__, w)), "<u4")
+
+
+def _batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items of at most so much in all, or single ones."""
+    at, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total + n > most and i > at:
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _coder(path: str, pattern: str) -> Coder:
+    """One for each worker process: later tasks find its store filled."""
+    return held(("byte_bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def _pieces(batch: pa.RecordBatch, size: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -187,41 +233,48 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """A row for each row of docs: doc_id and its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.get(path, pattern)
+        coder = _coder(path, pattern)
         for batch in (b for whole in batches for b in _pieces(whole)):
-            ids = [np.frombuffer(b"".join(x), "<u4").astype(np.int32) for x in coder.encode(batch.column(1).to_pylist())]
+            ids = [x.astype(np.int32) for x in coder.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """A row for each row of coded: doc_id and the decoded bytes (null ids: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.get(path, pattern)
+        coder = _coder(path, pattern)
         for batch in (b for whole in batches for b in _pieces(whole, 200)):
             ids = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.decode(ids), pa.binary())], ["doc_id", "bytes"])
 
-    return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
+    return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(frugal(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; the ids themselves stay in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.get(path, pattern)
+        coder = _coder(path, pattern)
         for batch in (b for whole in batches for b in _pieces(whole)):
-            counts, ids_hash, text_hash = [], [], []
-            for words in coder.encode(batch.column(1).to_pylist()):
-                ids = b"".join(words)
-                counts.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(b"".join(map(coder.decoded.__getitem__, words))).hexdigest())
+            ids, counts, ids_hash, text_hash = [], [], [], []
+
+            def flush() -> None:
+                text_hash.extend(hashlib.sha256(x).hexdigest() for x in coder.decode(ids))
+                ids.clear()
+
+            for x in coder.encode(batch.column(1).to_pylist()):
+                ids.append(x)
+                counts.append(len(x))
+                ids_hash.append(hashlib.sha256(x).hexdigest())
+                if sum(map(len, ids)) > QUERY_ROWS:
+                    flush()
+            flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Stands for a null id where rows are ordered by id: nulls come last.
 LAST = 9223372036854775807
 
@@ -92,6 +100,30 @@ class Sieve:
         return of(F.xxhash64(*self.keys))
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What a worker process keeps for its later tasks: the last thing asked for, so that one operator's store goes when another needs its own."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving freed memory back to the system when a task ends: workers are used again by other operators."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
