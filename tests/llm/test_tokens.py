@@ -23,7 +23,7 @@ def frame(spark, texts):
 def test_bpe_equals_the_library(spark):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     rng = random.Random(5)
-    texts = TEXTS + ["".join(rng.choice("abcdeft '\n.,;0é") for _ in range(rng.randint(1, 300))) for _ in range(200)]
+    texts = TEXTS + ["".join(map(chr, range(256))) * 3] + ["".join(rng.choice("abcdeft '\n.,;0é") for _ in range(rng.randint(1, 300))) for _ in range(200)]
     docs = frame(spark, texts)
     got = {r["doc_id"]: r for r in byte_bpe.round_trip(docs, RANKS, P.PATTERN).collect()}
     assert len(got) == len(texts) + 1
@@ -37,6 +37,28 @@ def test_bpe_equals_the_library(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
 
+def test_bpe_of_long_words():
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    rng = random.Random(6)
+    coder = byte_bpe.Coder(RANKS, P.PATTERN)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (127, 128, 129, 192, 193, 5000) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "éñü", "=-", "\x00 ")]
+    texts += [x * n for x in ("a", "o", "=", "-", " ", "\n", "é", "abc", "lol", "ha", "漢字", "🙂") for n in (63, 500, 2001)]
+    texts.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)))
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text), (text[:20], len(text))
+        assert coder.decode([ids]) == [text.encode()]
+
+
+def test_bpe_store_is_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 3000)
+    coder = byte_bpe.Coder(RANKS, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    for k in range(200):
+        text = f"same words and {k} word{k}x"
+        assert next(coder.encode([text])).tolist() == library.encode_ordinary(text)
+        assert len(coder.store) + len(coder.older) < 60
+
+
 def test_bpe_of_an_empty_table(spark):
     assert byte_bpe.round_trip(frame(spark, TEXTS).limit(0), RANKS, P.PATTERN).collect() == []
 
@@ -57,19 +79,28 @@ def check_packing(rows, expected, capacity=2048):
 
 def test_ids_of_chunks_are_those_of_the_text():
     whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     rng = random.Random(8)
     signs = "abcéñüßÉÀÇŁİıſĸŉǅΣσςдЖ漢ﬁ'’e\u0301²½Ⅷ١0129.,!?;:$%&*#|()-\"<>@/_~`+ \t\n\xa0\u2003\x1c"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(3000)] + ["don't I'll ''s x's. it'S", "ΟΔΟΣ ΣΑΣ.", "<|endoftext|>"]
     texts += [f"{chr(c)}a{chr(c)}, {chr(c)}" for c in range(1, 0x250)]
     tokens = packing.Tokens(P.path("word_bpe_49k.json"))
-    for text, ids in zip(texts, tokens.encode(texts), strict=True):
+    assert tokens.encode("a <|endoftext|> b") == struct.pack("<3I", 320, 49407, 321)
+    texts += ["a <|endoftext|> b", "a<|endoftext|>b.", "<|startoftext|><|endoftext|>!!", "<|ENDOFTEXT|> <|endoftext|", "word, <|endoftext|>. Word"]
+    for text, ids in zip(texts, map(tokens.encode, texts), strict=True):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_chunks_that_are_kept_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_BYTES", 3000)
+    tokens, whole = packing.Tokens(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for k in range(200):
+        text = f"Same words, and word{k}x eñe{chr(97 + k % 26)}!?"
+        assert list(struct.unpack(f"<{len(ids := tokens.encode(text)) // 4}I", ids)) == whole.encode(text, add_special_tokens=False).ids
+        assert len(tokens) + len(tokens.older) < 60
+
+
 def test_packing_whole_documents(spark):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(3)
     texts = TEXTS + [" ".join(rng.choice(["Word", "tiny", "eñe", "x,y", "12"]) for _ in range(rng.randint(1, 900))) for _ in range(80)] + ["long " * 9000]
     expected = []

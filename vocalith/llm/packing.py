@@ -14,7 +14,8 @@ The pieces of a length are numbered without gathering them: each task numbers it
 0, and the sizes of the tasks' shares give each share its first number. A piece then finds
 its place by its length and number in the broadcast plan.
 
-Defined cases: a null text counts as empty, so it is the closing id alone. Repeated rows are
+Defined cases: a null text counts as empty, so it is the closing id alone. Names of special
+tokens in a text are these tokens, as the library has it unless told otherwise. Repeated rows are
 packed each. Null ids pass through. An empty table gives an empty result. Only the id and
 the text are read, so other columns can't clash.
 """
@@ -22,7 +23,6 @@ the text are read, so other columns can't clash.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, frugal, held, materialise
 
 CAPACITY = 2048
-#: Characters of text handled at a time, and chunks kept per worker.
-SLICE_CHARS, KEPT_CHUNKS = 4_000_000, 700_000
+#: Bytes of chunks that a worker keeps, in each of two generations, and words of marks alone.
+KEPT_BYTES, KEPT_MARKS = 64_000_000, 10_000
 #: Python takes these for white space and Unicode doesn't.
-_CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 
 
 #: Marks that form one word of their own after letters, whichever follow each other (no apostrophe: it can open an ending).
@@ -50,22 +50,21 @@ _MARKS = ".,!?;:$%&*#|()-\""
 _PLAIN = "\u0180"
 
 
-class Tokens:
-    """Texts to ids. White space ends every word of this tokenizer, so the ids of a text are those of its chunks.
+class Tokens(dict):
+    """Texts to ids, and the ids of each chunk as little-endian 32-bit integers. White space ends every word of this tokenizer, so the ids of a text are those of its chunks.
 
     A chunk of plain letters, with marks after it or not, is one or two words for the tokenizer,
-    so its model gets them straight; all other chunks go through the whole tokenizer.
+    so its model gets them straight; all other chunks go through the whole tokenizer, which
+    takes the names of its special tokens for these wherever they stand. Chunks are kept in two
+    generations of bounded bytes: the older one goes, but for what was asked for again.
     """
 
-    _by_path: dict[str, Tokens] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
         # a byte's character in the vocabulary: one of two that code a letter, or its own
@@ -73,57 +72,48 @@ class Tokens:
         for c in map(chr, range(1, 0x180)):
             if len(shown := "".join(x for x, _ in bytewise.pre_tokenize_str(c))) == len(coded := c.encode()):
                 self.letters |= dict(zip(coded, shown, strict=True))
-        self.store: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    @classmethod
-    def get(cls, path: str) -> Tokens:
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        self.marks: dict[str, list[int]] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> list[int]:
         """Of one word in lower case."""
-        if (ids := self.words.get(word)) is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = chunk.rstrip(_MARKS)
+        if not (word.isalpha() and (word.isascii() or max(word) < _PLAIN and "\u0130" not in word)):
+            return self._whole(chunk)
+        ids = self._word(word.lower())
+        if end := chunk[len(word) :]:
+            if end not in self.marks:
+                if len(self.marks) >= KEPT_MARKS:
+                    self.marks.clear()
+                self.marks[end] = self._word(end)
+            ids += self.marks[end]
+        return array("I", ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._chunk(chunk)
+        self.size += len(chunk) + len(ids) + 130
+        self[chunk] = ids
         return ids
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.store) + len(chunks) > KEPT_CHUNKS:
-            self.store.clear()
-        if len(self.words) > KEPT_CHUNKS:
-            self.words.clear()
-        odd = []
-        for chunk in chunks:
-            word = chunk.rstrip(_MARKS)
-            if word.isalpha() and max(word) < _PLAIN and "\u0130" not in word:
-                ids = self._word(word.lower())
-                self.store[chunk] = ids if len(word) == len(chunk) else ids + self._word(chunk[len(word) :])
-            else:
-                odd.append(chunk)
-        for k in range(0, len(odd), 20_000):
-            self.store.update(zip(odd[k : k + 20_000], self._ids(odd[k : k + 20_000]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            chars, end = 0, at
-            while end < len(texts) and (chars < SLICE_CHARS or end == at):
-                chars += len(texts[end] or "")
-                end += 1
-            chunks = [[] if _CONTROL.search(t or "") else (t or "").split() for t in texts[at:end]]
-            new = set().union(*chunks)
-            missing = [c for c in new if c not in self.store]
-            if len(self.store) + len(missing) > KEPT_CHUNKS:
-                missing = list(new)
-            self._learn(missing)
-            for text, c in zip(texts[at:end], chunks, strict=True):
-                yield b"".join(map(self.store.__getitem__, c)) if c or not text else self._ids([text])[0]
-            at = end
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if any(c in text for c in _CONTROL):
+            return self._whole(text)
+        ids = b"".join(map(self.__getitem__, text.split()))
+        if self.size > KEPT_BYTES:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        return ids
 
 
 def pieces(docs: DataFrame, path: str, closing_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,11 +121,11 @@ def pieces(docs: DataFrame, path: str, closing_id: int = 0, capacity: int = CAPA
     closing = np.array([closing_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen, task = Tokens.get(path), Counter(), TaskContext.get().partitionId()
+        tokens, seen, task = held(("packing", path), lambda: Tokens(path)), Counter(), TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch, out = whole.slice(at, 2000), []
-                for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
+            for at in range(0, whole.num_rows, 1000):
+                batch, out = whole.slice(at, 1000), []
+                for doc_id, ids in zip(batch.column(0).to_pylist(), map(tokens.encode, batch.column(1).to_pylist()), strict=True):
                     ids += closing
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + capacity)]
@@ -144,7 +134,7 @@ def pieces(docs: DataFrame, path: str, closing_id: int = 0, capacity: int = CAPA
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 class Plan:
@@ -290,7 +280,8 @@ def pack(docs: DataFrame, path: str, closing_id: int = 0, capacity: int = CAPACI
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[at] + k // each[at]), pa.array(offset[at] + k % each[at] * n)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return rows.join(firsts, ["length", "task"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # lengths x tasks rows, which grow with the input: no broadcast
+    return rows.join(firsts.hint("merge"), ["length", "task"]).mapInArrow(frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
