@@ -33,16 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sieve, documents, fresh, materialise, ordered_id, spent
+from .common import Sieve, documents, fresh, frugal, materialise, ordered_id, spent
 
 SHINGLE, PERCENT, ROWS, MISS, BATCH, SMALL = 5, 80, 6, 1e-6, 32, 8
 #: Bits of a node's parity sketch.
 PARITY = 2048
-#: Words handled at a time.
+#: Words handled at a time, about.
 _SLICE = 100_000
 #: Keys of texts that a task remembers.
 REMEMBERED = 200_000
@@ -109,14 +110,16 @@ def _parities(fingerprints: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _slices(texts: list[str | None], chars: int = 6 * _SLICE) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, most: int = 6 * _SLICE) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Runs of texts of about so many bytes: begin, end, texts."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         end, n = at, 0
-        while end < len(texts) and (n < chars or end == at):
-            n += len(texts[end] or "")
+        while end < len(sizes) and (n < most or end == at):
+            n += sizes[end]
             end += 1
-        yield at, end
+        yield at, end, column.slice(at, end - at).to_pylist()
         at = end
 
 
@@ -127,9 +130,8 @@ def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for at, end in _slices(texts):
-                sets = shingle_sets(texts[at:end], size)
+            for at, end, texts in _slices(batch.column(3)):
+                sets = shingle_sets(texts, size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digests, signs, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if full:
@@ -143,7 +145,7 @@ def signatures(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*first, *columns], ["row", "doc_id", "text_hash", "n", "set_hash", "sign", "bands", "parities"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n long, set_hash binary, sign binary, bands array<long>, parities array<long>")
+    return rows.mapInArrow(frugal(run), "row long, doc_id long, text_hash long, n long, set_hash binary, sign binary, bands array<long>, parities array<long>")
 
 
 def least_matches(percent: int, total: int, miss: float = MISS, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -177,7 +179,7 @@ def _prune(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     of = signs.select("row", "n", "sign")
     joined = pairs.join(of.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b")), "b").join(of.withColumnRenamed("row", "a"), "a")
     near = joined.where((100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
-    return near.select("a", "b", "sign", "sign_b").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "sign", "sign_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _texts(needed: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +202,7 @@ def _texts(needed: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
             yield batch.select(["ord", "text_hash", "text"]).take(pa.array(fresh_, pa.int64()))
 
     texts = docs.select(ordered_id(F.col(id_col)).alias("ord"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.select("ord", "text_hash", "text", F.xxhash64("ord", "text_hash").alias("h")).mapInArrow(run, "ord long, text_hash long, text string")
+    texts = texts.select("ord", "text_hash", "text", F.xxhash64("ord", "text_hash").alias("h")).mapInArrow(frugal(run), "ord long, text_hash long, text string")
     out = materialise(texts.join(keys, ["ord", "text_hash"]).dropDuplicates(["ord", "text_hash", "row"]).select("row", "text", "crowd"), "texts")
     spent(keys)
     return out
@@ -211,12 +213,12 @@ def _own_shingles(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end in _slices(batch.column(1).to_pylist()):
-                sets = shingle_sets(batch.column(1).slice(at, end - at).to_pylist(), size)
+            for at, end, texts in _slices(batch.column(1)):
+                sets = shingle_sets(texts, size)
                 rows = np.repeat(batch.column(0).slice(at, end - at).to_numpy(), [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(sets).astype(np.int64))], ["row", "shingle"])
 
-    shingles = texts.select("row", "text").mapInArrow(run, "row long, shingle long")
+    shingles = texts.select("row", "text").mapInArrow(frugal(run), "row long, shingle long")
     return shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count("*").alias("own"))
 
 
@@ -234,8 +236,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
             return known[row]
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch, found = whole.slice(at, 500), []
+            for at in range(0, whole.num_rows, 100):
+                batch, found = whole.slice(at, 100), []
                 for i, (a, b, text, text_b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text", "text_b")), strict=True)):
                     x, y = of(a, text), of(b, text_b)
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -244,7 +246,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
                 yield batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
     joined = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("row").alias("a"), "text"), "a")
-    return joined.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "text", "text_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
