@@ -130,6 +130,92 @@ def test_pages(spark):
     assert every[2].split("\n") == ["One & two", "Threefour", "last"]
 
 
+@pytest.mark.parametrize(("html", "inner", "every"), [
+    ("<div>{p}<b>One{p}Two</p>{p}Three</p></div>", "One Two", "One Two Three"),
+    ("<div>{p}a<table><tr><td>{p}x</td><td>y</table>{p}z</div>{p}end", "a", "a x z end"),
+    ("<body>{p}x</p></body>{p}y</p><i>q</i></html>", "x y", "x y"),
+    ("{p}One<i>two</div>three</i></p>{p}l", "Onetwothree", "Onetwothree l"),
+    ("</p>{p}x</p><div></div>", "x", "x"),
+    ("<ul><li>1{p}a<li>2{p}b</ul>", "", "a b"),
+    ("<h2 class=headline>A</h2>{p}First{p}Second{p}Read more", "First Second", "First Second Read&more"),
+    ("{p}1<br>2<img src=x>{p}3<hr>", "12 3", "12 3"),
+    ("", "", ""),
+])
+def test_left_out_and_stray_tags(html, inner, every):
+    page = html.replace("{p}", '<p class="paragraph--lite">')
+    assert pages.extract_page(page, pages.Selectors())[2] == inner.replace(" ", "\n")
+    assert pages.extract_page(page, pages.Selectors(skip_last=False))[2] == every.replace(" ", "\n").replace("Read&more", "Read more")
+
+
+def test_nested_deeply():
+    assert pages.extract_page("<div>" * 20_000 + "<p class='paragraph--lite'>x<b>" + "<b>" * 5000, pages.Selectors(skip_last=False))[2] == "x"
+
+
+def test_services_are_called_again(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def flaky(*x):
+        with log.open("a") as file:
+            file.write("x")
+        if log.stat().st_size % 3:
+            raise OSError("busy")
+        return x
+
+    once_more = providers.Retry(2, 0)
+    translate = providers.called_translation(lambda text, to: f"{flaky(text, to)[1]}:{text}", once_more)
+    rows = spark.createDataFrame([("x", "/x", "Title", "By", None)], schemas.ARTICLE).coalesce(1)
+    got = {r["language"]["code"]: (r["title"], r["text"]) for r in plan.translate(plan.fan_out(rows), translate).collect()}
+    assert got["de-DE"] == ("de:Title", None) and got["en-US"] == ("Title", None)
+    speak = providers.called_synthesis(lambda ssml, code, voice: (code, voice), once_more)
+    audio = spark.createDataFrame([("s", "fr-FR", "Remi")], "a string, b string, c string").select(speak(F.col("a"), F.col("b"), F.col("c")).alias("o")).first()["o"]
+    assert audio["SynthesisTask"].asDict() == {"TaskId": "fr-FR", "OutputUri": "Remi"}
+
+
+def test_merged_objects(spark, tmp_path):
+    for name, content in (("a", b"1"), ("b", b"22"), ("c", b"3")):
+        (tmp_path / "audio").mkdir(exist_ok=True)
+        (tmp_path / "audio" / name).write_bytes(content)
+    merges = spark.createDataFrame([("x", "en-US", ["audio/b", "audio/a", "audio/c"]), ("y", "en-US", ["audio/none"])], "uuid string, language string, inputs array<string>")
+    got = {r["uuid"]: r for r in manifest.merge_objects(merges, str(tmp_path), retry=providers.Retry(1, 0)).collect()}
+    assert (got["x"]["length"], got["x"]["merge_error"]) == (4, None) and (tmp_path / got["x"]["output_key"]).read_bytes() == b"2213"
+    assert got["y"]["length"] is None and "audio/none" in got["y"]["merge_error"]
+
+
+def test_listening(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    note = lambda key, event="ObjectCreated:Put": json.dumps({"eventName": event, "s3": {"bucket": {"name": "b"}, "object": {"key": key}}})
+    for i, lines in enumerate(([note("audio/x"), note("audio/x")], [note("audio/y"), note("full/z"), note("audio/x", "ObjectRemoved:Delete")])):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(lines))
+    tasks = spark.createDataFrame([("1", "https://s3.us-east-1.amazonaws.com/b/audio/x", "t1", datetime(2024, 1, 1))], "uuid string, url string, token string, createdAt timestamp")
+    done, audit = {}, {}
+    flows.listen(tables.notifications(spark, str(tmp_path / "in")), lambda: tasks, str(tmp_path / "checkpoint"), lambda df, n: done.update({n: df.collect()}), lambda df, n: audit.update({n: df.collect()}))
+    assert [(r["task_uuid"], r["token"]) for rows in done.values() for r in rows] == [("1", "t1")]
+    assert [r["url"] for rows in audit.values() for r in rows] == ["https://s3.us-east-1.amazonaws.com/b/audio/y"]
+
+
+def test_unmatched_tasks_and_notifications(spark):
+    tasks = spark.createDataFrame([(1, "a", datetime(2024, 1, 1)), (2, "b", datetime(2024, 1, 1))], "task int, k string, t timestamp")
+    notes = spark.createDataFrame([(7, "a", datetime(2024, 1, 1, 0, 5)), (8, "a", datetime(2024, 1, 2))], "note int, k string, n timestamp")
+    rows = lambda how: sorted(((r["task"] or 0, r["note"] or 0) for r in callbacks.match_within(tasks, notes, "k", "t", "n", how=how).select("task", "note").collect()))
+    assert rows("inner") == [(1, 7)] and rows("leftOuter") == [(1, 7), (2, 0)] and rows("rightOuter") == [(0, 8), (1, 7)]
+
+
+def test_executions_and_signers(spark):
+    row = plan.executions(plan.fan_out(spark.createDataFrame([("x", "/x", 'A "title"', None, "One\nTwo")], schemas.ARTICLE))).orderBy("name").first()
+    assert row["name"] == "x-de-DE" and json.loads(row["input"]) | {"language": 0} == {"uuid": "x", "url": "/x", "title": 'A "title"', "text": "One\nTwo", "byline": None, "language": 0}
+    url = "https://s3.us-east-1.amazonaws.com/b/full/x"
+    signed = spark.createDataFrame([({"fr-FR": (url,)},)], f"outputs {schemas.OUTPUTS}").select(catalog.entries(F.col("outputs"), at(100), lambda b, k, e: F.concat_ws("|", b, k, e)).alias("e")).first()["e"]
+    assert signed[0]["signed"]["url"] == "b|full/x|3700"
+
+
+def test_an_entry_without_a_value_is_missing(spark):
+    from vocalith.functions import text as T
+
+    rows = spark.createDataFrame([({"fr-FR": None, "de-DE": ("u",)},), (None,)], f"outputs {schemas.OUTPUTS}")
+    of = lambda code: [r[0] for r in rows.select(T.languages_present(F.col("outputs"), F.lit(code), ("de-DE",))).collect()]
+    assert of("fr-FR") == [False, False] and of("de-DE") == [True, False] and of("") == [True, False]
+
+
 def test_retry_waits():
     assert providers.RETRY_TITLE.waits() == [2, 4, 8, 16, 32, 64] and len(providers.RETRY_MERGE.waits()) == 20
     waited, calls = [], []

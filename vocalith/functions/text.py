@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,8 +134,8 @@ def missing_languages(outputs: Column, codes: tuple[str, ...]) -> Column:
 
 
 def languages_present(outputs: Column, language: Column, codes: tuple[str, ...]) -> Column:
-    """For a language its own entry, else all codes. Codes are opaque, so `en` isn't `en-US`."""
-    own = F.coalesce(F.map_contains_key(outputs, F.coalesce(language, F.lit(""))), F.lit(False))
+    """For a language whether it has an entry that isn't null, else all codes. Codes are opaque, so `en` isn't `en-US`."""
+    own = F.try_element_at(outputs, F.coalesce(language, F.lit(""))).isNotNull()
     return F.when(present(language), own).otherwise(all_languages(outputs, codes))
 
 
@@ -143,6 +145,11 @@ def content_id(url: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def signed(url: Column, now: Column, lifetime: int = URL_LIFETIME_SECONDS) -> Column:
-    """What stands for a signed URL: the URL and when it expires. Real signatures need a secret and a signer of the caller's."""
-    return F.struct(url.alias("url"), (F.unix_timestamp(now) + lifetime).alias("expires_at"))
+#: Gives the signed URL of a bucket, a key and the second at which it expires.
+Signer = Callable[[Column, Column, Column], Column]
+
+
+def signed(url: Column, now: Column, lifetime: int = URL_LIFETIME_SECONDS, signer: Signer | None = None) -> Column:
+    """An object's URL, signed by the caller's signer (without one, as it is), and when it expires."""
+    expires, at = F.unix_timestamp(now) + lifetime, parse_object_url(url)
+    return F.struct((url if signer is None else signer(at["bucket"], at["key"], expires)).alias("url"), expires.alias("expires_at"))

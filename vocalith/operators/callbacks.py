@@ -42,15 +42,23 @@ def match(urls: DataFrame, tasks: DataFrame) -> DataFrame:
     return urls.join(first.select("url", F.col("uuid").alias("task_uuid"), "token"), "url")
 
 
+def unmatched(urls: DataFrame, tasks: DataFrame) -> DataFrame:
+    """For audit: the notifications whose URL no task has."""
+    return urls.join(tasks.select("url").where(T.present(F.col("url"))), "url", "left_anti")
+
+
 def success(matched: DataFrame) -> DataFrame:
     """In one row what resolves a task: its new status and the callback that resumes the workflow."""
     return matched.withColumns({"task_status": F.lit("DELIVERED"), "succeeded": F.lit(True), "output": F.to_json(F.struct("url"))})
 
 
-def match_within(tasks: DataFrame, urls: DataFrame, key: str, task_time: str, url_time: str, seconds: int = T.TTL_SECONDS) -> DataFrame:
-    """Tasks with the notifications of their key from their creation until they expire."""
+def match_within(tasks: DataFrame, urls: DataFrame, key: str, task_time: str, url_time: str, seconds: int = T.TTL_SECONDS, how: str = "inner") -> DataFrame:
+    """Tasks with the notifications of their key from their creation until they expire.
+
+    how: `leftOuter` keeps tasks that none came for, `rightOuter` notifications that no task waits for.
+    """
     within = F.expr(f"n.`{url_time}` >= t.`{task_time}` AND n.`{url_time}` <= t.`{task_time}` + INTERVAL {seconds} SECONDS")
-    return tasks.alias("t").join(urls.alias("n"), (F.col(f"t.{key}") == F.col(f"n.{key}")) & within)
+    return tasks.alias("t").join(urls.alias("n"), (F.col(f"t.{key}") == F.col(f"n.{key}")) & within, how)
 
 
 def selected(waited: DataFrame) -> DataFrame:

@@ -75,7 +75,10 @@ def write_log(writes: Iterable[DataFrame]) -> DataFrame:
 
 
 def current_state(log: DataFrame, key: str = "uuid") -> DataFrame:
-    """A row for each key that exists, with the log's columns but op and seq."""
+    """A row for each key that exists, with the log's columns but op and seq.
+
+    Writes of one key need seqs of their own: of two that set a column with the same seq either may win.
+    """
     columns = [c for c in log.columns if c not in (key, "op", "seq")]
     resets = F.col("op") != "update"
     last = {c: F.max_by(F.struct("seq", c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{i}") for i, c in enumerate(columns)}
@@ -146,17 +149,17 @@ def create_missing(found: DataFrame, at: Column) -> DataFrame:
     return create_content(new.withColumn("uuid", T.content_id(F.col("url"))), at)
 
 
-def entries(outputs: Column, now: Column) -> Column:
+def entries(outputs: Column, now: Column, signer: T.Signer | None = None) -> Column:
     """The map as an array by code, with signed URLs; a URL that isn't an object's has none."""
     def entry(e: Column) -> Column:
         url = e["value"]["url"]
         at = T.parse_object_url(url)
-        return F.struct(e["key"].alias("code"), F.when(at.isNotNull(), T.signed(url, now)).alias("signed"))
+        return F.struct(e["key"].alias("code"), F.when(at.isNotNull(), T.signed(url, now, signer=signer)).alias("signed"))
 
     return F.array_sort(F.transform(F.map_entries(outputs), entry), lambda a, b: F.when(a["code"] < b["code"], -1).when(a["code"] > b["code"], 1).otherwise(0))
 
 
-def respond(found: DataFrame, now: Column, codes: tuple[str, ...] = CODES) -> DataFrame:
+def respond(found: DataFrame, now: Column, codes: tuple[str, ...] = CODES, signer: T.Signer | None = None) -> DataFrame:
     """Found items with `complete` (in place of waiting) and their outputs as an array."""
     item = outcome(found).where("outcome = 'found'")
-    return item.withColumns({"complete": T.languages_present(F.col("item.outputs"), F.col("language"), codes), "outputs": entries(F.col("item.outputs"), now)})
+    return item.withColumns({"complete": T.languages_present(F.col("item.outputs"), F.col("language"), codes), "outputs": entries(F.col("item.outputs"), now, signer)})

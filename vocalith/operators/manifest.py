@@ -1,14 +1,20 @@
 """From resolved segments to merged articles: ordered manifests, outputs and callbacks.
 
-Only paths go through shuffles, never audio.
+Only paths go through shuffles: the task that merges an article reads its audio itself.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .providers import RETRY_MERGE, Merger, Retry, joined_bytes
 
 
 def assemble(segments: DataFrame) -> DataFrame:
@@ -18,6 +24,11 @@ def assemble(segments: DataFrame) -> DataFrame:
     return grouped.select("uuid", F.try_element_at(urls(lambda p: p["place"] == 0), F.lit(1))["url"].alias("title"), urls(lambda p: p["place"] > 0).alias("text"), "language")
 
 
+def payloads(merges: DataFrame, token: Column) -> DataFrame:
+    """What the merge step gets: uuid, title, text, language, and the token that resumes its execution."""
+    return merges.select("uuid", "title", "text", "language", token.alias("token"))
+
+
 def keys(merges: DataFrame, bucket: str) -> DataFrame:
     """With `inputs`, the keys to concatenate: the title first, then the text; a missing text is empty."""
     text = F.coalesce("text", F.array().cast("array<struct<url: string>>"))
@@ -31,22 +42,65 @@ def file_list(inputs: Column) -> Column:
 
 
 def concatenated(segments: DataFrame) -> DataFrame:
-    """segments: uuid, language, place, content. Their bytes in order: no remuxing of containers."""
+    """segments: uuid, language, place, content. Their bytes in order: no remuxing of containers.
+
+    For contents in a table, which go through the shuffle; `merge_objects` is for objects.
+    """
     grouped = segments.groupBy("uuid", "language").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("_parts"))
-    joined = F.aggregate("_parts", F.lit(b""), lambda done, p: F.concat(done, p["content"]))
-    return grouped.select("uuid", "language", joined.alias("content"))
+    return grouped.select("uuid", "language", F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["content"])), "")).alias("content"))
+
+
+def merge_objects(merges: DataFrame, folder: str, merger: Merger = joined_bytes, retry: Retry = RETRY_MERGE, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Merge each row's inputs (keys in order) into one object of the bucket's folder, at output_key; with length, or merge_error.
+
+    The task reads and writes the objects; a rerun writes the same object again. folder is a
+    path or a URI of any file system that Arrow knows.
+    """
+
+    def merge(fs: pyarrow.fs.FileSystem, base: str, inputs: list[str], to: str) -> int:
+        def read(key: str) -> bytes:
+            with fs.open_input_stream(f"{base}/{key}") as file:
+                return file.read()
+
+        content = merger([read(key) for key in inputs])
+        fs.create_dir(f"{base}/{to}".rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(f"{base}/{to}") as file:
+            file.write(content)
+        return len(content)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            rows = []
+            for inputs, to in zip(batch["inputs"], batch["output_key"], strict=True):
+                try:
+                    rows.append((retry.call(merge, fs, base, list(inputs), to, wait=wait), None))
+                except Exception as e:  # noqa: BLE001  one bad merge mustn't end the others
+                    rows.append((None, f"{type(e).__name__}: {e}"))
+            done = pd.DataFrame(rows, columns=["length", "merge_error"], index=batch.index, dtype=object)
+            yield pd.concat([batch, done], axis=1)
+
+    key = T.merged_key(F.col("uuid").cast("string"), F.col("language"))
+    placed = merges.select("uuid", "language", "inputs", key.alias("output_key"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema)
+    return placed.mapInPandas(run, f"{schema}, length bigint, merge_error string")
 
 
 def finish(merges: DataFrame, bucket: str, failure: Column | None = None) -> DataFrame:
     """With where the merged audio goes, its URL, and the callback: success with the outputs so far, or failure with its cause.
 
-    failure: the cause where a merge failed, else null.
+    failure: the cause where a merge failed, else null. merges may have `outputs`, those that
+    the article has already, and `token`, which stays and names the execution to resume.
     """
     cause = F.lit(None).cast("string") if failure is None else failure
     bad = F.coalesce(cause, F.when(~T.present(F.col("title")), "no title audio"))
     key = T.merged_key(F.col("uuid").cast("string"), F.col("language"))
     placed = merges.withColumns({"output_key": key, "output_url": T.object_url(F.lit(bucket), key), "error": bad})
-    output = F.when(F.col("error").isNull(), F.to_json(F.struct("uuid", F.create_map(F.col("language"), F.struct(F.col("output_url").alias("url"))).alias("outputs")))).otherwise(F.to_json(F.struct("uuid")))
+    own = F.create_map(F.col("language"), F.struct(F.col("output_url").alias("url")))
+    if "outputs" in merges.columns:
+        others = F.map_filter(F.coalesce("outputs", F.create_map().cast("map<string, struct<url: string>>")), lambda code, _: code != F.col("language"))
+        own = F.map_concat(others, own)
+    output = F.when(F.col("error").isNull(), F.to_json(F.struct("uuid", own.alias("outputs")))).otherwise(F.to_json(F.struct("uuid")))
     return placed.withColumns({"succeeded": F.col("error").isNull(), "output": output})
 
 

@@ -22,6 +22,12 @@ def fan_out(articles: DataFrame) -> DataFrame:
     return articles.crossJoin(F.broadcast(dimension)).withColumn("execution_name", T.execution_name(F.col("uuid").cast("string"), F.col("language.code")))
 
 
+def executions(plan: DataFrame) -> DataFrame:
+    """The workflow's executions, one an article and language: name and JSON input."""
+    parts = [F.col(c) for c in ("uuid", "url", "title", "text", "byline", "language")]
+    return plan.select(F.col("execution_name").alias("name"), F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("input"))
+
+
 def route(target: Column) -> Column:
     """Texts go to translation unless they are in the target language already."""
     return F.when(target != SOURCE_LANGUAGE, "translate").otherwise("synthesise")
@@ -30,6 +36,8 @@ def route(target: Column) -> Column:
 def translate(plan: DataFrame, translator: Translator = tagged_translation) -> DataFrame:
     """Title, byline and text translated independently where the route says so; uuid, url and language stay."""
     target = F.col("language.translate")
+    # groups of a text in its own language are none of the translation's
+    plan = plan.drop("groups")
     moved = {c: F.when(route(target) == "translate", translator(F.col(c), target)).otherwise(F.col(c)) for c in ("title", "byline", "text")}
     return plan.withColumns(moved)
 
@@ -39,10 +47,20 @@ def pick_voice(items: Column, *key: Column) -> Column:
     return F.element_at(items, (F.pmod(F.xxhash64(*key), F.size(items)) + 1).cast("int"))
 
 
+def pack(articles: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """With `groups`, the text in SSML groups: before the fan-out, texts that aren't translated are packed once for all languages."""
+    return articles.withColumn("groups", T.group_paragraphs(F.coalesce("text", F.lit("")), limit))
+
+
 def prepare(plan: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """uuid, language, selectedVoice, title as SSML and text as an array of groups with their voice; the URL goes."""
+    """uuid, language, selectedVoice, title as SSML and text as an array of groups with their voice; the URL goes.
+
+    Texts that `pack` has packed aren't packed again.
+    """
     voiced = plan.withColumn("selectedVoice", pick_voice(F.col("language.items"), F.col("uuid"), F.col("language.code")))
-    groups = F.transform(T.group_paragraphs(F.coalesce("text", F.lit("")), limit), lambda g: F.struct(g.alias("text"), F.col("selectedVoice.name").alias("voice")))
+    if "groups" not in plan.columns:
+        voiced = pack(voiced, limit)
+    groups = F.transform("groups", lambda g: F.struct(g.alias("text"), F.col("selectedVoice.name").alias("voice")))
     return voiced.select("uuid", "language", "selectedVoice", T.ssml_title(F.col("title"), F.col("byline")).alias("title"), groups.alias("text"))
 
 

@@ -1,15 +1,17 @@
 """The services that the workflow calls, as interfaces, and deterministic stand-ins for them.
 
-A provider turns columns into a column, so a real one can be a pandas UDF and the plan around
-it stays the same. Retries belong inside a provider; Spark retries whole tasks. The stand-ins
-translate nothing, synthesise nothing and merge no audio.
+A provider turns columns into a column. `called_translation` and `called_synthesis` make one
+of a function that calls a service, with the step's retries around each call; Spark retries
+whole tasks. The stand-ins translate nothing, synthesise nothing and merge no audio.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..functions import text as T
 
 @dataclass(frozen=True)
 class Retry:
-    """Attempts and the waits between them; provider implementations apply it."""
+    """How often a failed call is tried again, and the waits before that."""
 
     attempts: int
     interval_seconds: float = 1
@@ -42,6 +44,33 @@ RETRY_TITLE, RETRY_PARAGRAPH, RETRY_MERGE = Retry(6, 2, 2), Retry(3, 2, 2), Retr
 
 Translator = Callable[[Column, Column], Column]
 Synthesiser = Callable[[Column, Column, Column], Column]
+#: Makes one object's bytes of those of several, in order.
+Merger = Callable[[list[bytes]], bytes]
+
+
+def called_translation(call: Callable[[str, str], str], retry: Retry = RETRY_PARAGRAPH, wait: Callable[[float], None] = time.sleep) -> Translator:
+    """A translator that calls a function of text and target; null texts aren't sent."""
+
+    @F.pandas_udf("string")
+    def translate(texts: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else retry.call(call, t, to, wait=wait) for t, to in zip(texts, targets, strict=True)], dtype=object)
+
+    return translate
+
+
+def called_synthesis(call: Callable[[str, str, str], tuple[str, str]], retry: Retry = RETRY_PARAGRAPH, wait: Callable[[float], None] = time.sleep) -> Synthesiser:
+    """A synthesiser that calls a function of SSML, language and voice, which gives a task's id and the URL of its audio."""
+
+    @F.pandas_udf("TaskId string, OutputUri string")
+    def start(ssml: pd.Series, codes: pd.Series, voices: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([retry.call(call, *x, wait=wait) for x in zip(ssml, codes, voices, strict=True)], columns=["TaskId", "OutputUri"], dtype=object)
+
+    return lambda ssml, code, voice: F.struct(start(ssml, code, voice).alias("SynthesisTask"))
+
+
+def joined_bytes(parts: list[bytes]) -> bytes:
+    """Stands for a merge: the parts one after the other; containers aren't remuxed."""
+    return b"".join(parts)
 
 
 def tagged_translation(text: Column, target: Column) -> Column:

@@ -3,7 +3,7 @@
 Those tables aren't shaped like articles and tasks, so columns stand in: `documents` are
 article texts (first line: title, source: byline), `events` change feeds and notifications
 (signup: INSERT or task, purchase: object put, user: key), `pages` the site, `conversations`
-ordered segments. Each query has DuckDB SQL with the same rows, but for the HTML extraction.
+ordered segments. Each query has DuckDB SQL with the same rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions.languages import CODES
 from ..operators import callbacks, catalog, manifest, plan, providers
 from ..sources import pages as site
-from ..sources.tables import drain, stream, table
+from ..sources.tables import delete, drain, notifications, shared_dir, stream, table
 from ..streaming.flows import instant, once, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,13 +105,22 @@ def change_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callbacks.inserted(_changes(spark, sf_dir))
 
 
-@query("SELECT event_id, 'https://s3.us-east-1.amazonaws.com/bucket/audio/' || user_id || '%20.mp3' AS url FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0")
-def put_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def _notifications(events: DataFrame) -> DataFrame:
     key = F.concat(F.when(F.col("event_id") % 2 == 0, "audio/").otherwise("full/"), F.col("user_id").cast("string"), F.lit("%20.mp3"))
     s3 = F.struct(F.struct(F.lit(BUCKET).alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object"))
     name = F.when(F.col("event_type") == "purchase", "ObjectCreated:Put").otherwise("ObjectCreated:Copy")
-    return callbacks.put_urls(e.select("event_id", name.alias("eventName"), s3.alias("s3")))
+    return events.select("event_id", name.alias("eventName"), s3.alias("s3"))
+
+
+@query("SELECT event_id, 'https://s3.us-east-1.amazonaws.com/bucket/audio/' || user_id || '%20.mp3' AS url FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0")
+def put_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return callbacks.put_urls(_notifications(e))
+
+
+@query("SELECT 'https://s3.us-east-1.amazonaws.com/bucket/audio/' || user_id || '%20.mp3' AS url FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0")
+def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, callbacks.put_urls, lambda events: _notifications(events).drop("event_id"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -150,7 +159,7 @@ p AS (SELECT doc_id, 0 AS place, 'title' AS text_type, ssml FROM t UNION ALL SEL
 SELECT doc_id, code AS language_code, place, text_type, md5(ssml) AS ssml_md5, voice, 'neural' AS engine, 'ssml' AS input_type, 'mp3' AS output_format, 'audio/' AS key_prefix FROM p CROSS JOIN {_LANGUAGES}
 """)
 def synthesis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = plan.requests(plan.prepare(_fanned(spark, sf_dir)))
+    asked = plan.requests(plan.prepare(plan.fan_out(plan.pack(articles(spark, sf_dir)))))
     return asked.withColumn("ssml_md5", F.md5("ssml")).withColumnRenamed("uuid", "doc_id").drop("ssml")
 
 
@@ -231,10 +240,12 @@ def callback_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callbacks.match_within(*_two(table(spark, sf_dir, "events")), "user_id", "task_ts", "ts").select("task_id", "event_id")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of a stream over the events in order of time, five files, one a trigger; those without a time are in the first."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame], feed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of a stream over the events in order of time, five files, one a trigger; those without a time are in the first.
+
+    feed makes of the events records of a JSON feed, in place of Parquet.
+    """
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     days = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     untimed = F.col("ts").isNull()
@@ -244,9 +255,12 @@ def _streamed(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], Da
             low, high = (days.low + (days.high - days.low) * x / 5 for x in (k, k + 1))
             timed = (F.col("ts") >= F.lit(low)) & ((F.col("ts") <= F.lit(high)) if k == 4 else (F.col("ts") < F.lit(high)))
             part = events.where(timed | untimed if k == 0 else timed)
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    rows = change(stream(spark, f"{path}/in", events.schema, "parquet", files_per_trigger=1))
+        writer = (part if feed is None else feed(part)).coalesce(1).write.mode("append")
+        writer.parquet(f"{path}/in") if feed is None else writer.json(f"{path}/in")
+    rows = change(stream(spark, f"{path}/in", events.schema, "parquet", files_per_trigger=1) if feed is None else notifications(spark, f"{path}/in", 1))
     drain(rows, f"{path}/out", f"{path}/checkpoint")
+    delete(spark, f"{path}/in")
+    delete(spark, f"{path}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
@@ -259,7 +273,9 @@ def stream_callback_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_change_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def change(events: DataFrame) -> DataFrame:
         inserts = events.where("event_type = 'signup'").select("event_id", "user_id", instant("ts").alias("ts"))
-        return once(inserts, ["event_id"], "ts").select("event_id", "user_id")
+        # the feed brings each event twice, but those without a time, which no watermark reaches
+        again = inserts.where("ts IS NOT NULL")
+        return once(inserts.unionByName(again), ["event_id"], "ts").select("event_id", "user_id")
 
     return _streamed(spark, sf_dir, change)
 
@@ -362,11 +378,38 @@ def thread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.ordered_text(c, "conv_id", "place", "text")
 
 
-@query()
+def _resolved(html: str) -> str:
+    """SQL: the text of HTML without tags, trimmed."""
+    for sign, name in (("\"", "quot"), ("<", "lt"), (">", "gt"), ("&", "amp")):
+        html = f"regexp_replace({html}, '&{name};?', '{sign}', 'g')"
+    return f"regexp_replace({html}, '^\\s+|\\s+$', '', 'g')"
+
+
+_PARAGRAPHS = f"""
+SELECT page_id, url, {_resolved("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title,
+       list_transform(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:], lambda x: {_resolved("regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g')")}) AS parts
+FROM pages
+"""
+
+
+@query(f"SELECT page_id, url, title, '' AS byline, array_to_string(parts, chr(10)) AS text, NULL::VARCHAR AS error FROM ({_PARAGRAPHS})")
 def pages_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.extract(table(spark, sf_dir, "pages"), site.Selectors("h1", ".byline", "article p", skip_last=False))
 
 
+@query(f"SELECT page_id, array_to_string(parts[:-2], chr(10)) AS text FROM ({_PARAGRAPHS})")
+def pages_extract_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.extract(table(spark, sf_dir, "pages"), site.Selectors("h1", ".byline", "article p")).select("page_id", "text")
+
+
+@query("SELECT page_id AS uuid, url, CASE WHEN page_id % 3 = 0 THEN 'no page' END AS error FROM pages")
+def fetched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    asked = pages.select(F.col("page_id").alias("uuid"), "url")
+    good, bad = site.split_failures(site.extract(site.fetch(asked, pages.where("page_id % 3 <> 0"), site="")))
+    return good.select("uuid", "url", F.lit(None).cast("string").alias("error")).unionByName(bad)
+
+
 @query("SELECT event_id, 'task-' || user_id AS uuid, 'u' || event_id AS url, 't' || event_id AS token FROM events WHERE event_type IN ('click', 'view') AND event_id % 3 <> 0")
 def wait_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -393,6 +436,71 @@ def http_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS n_tasks, count(DISTINCT ssml || code || voice) AS n_distinct FROM (SELECT ssml, code, voice FROM ({_GROUP_ROWS}) CROSS JOIN {_LANGUAGES})")
 def synthesis_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = plan.requests(plan.prepare(_fanned(spark, sf_dir))).where("text_type = 'paragraph'")
+    asked = plan.requests(plan.prepare(plan.fan_out(plan.pack(articles(spark, sf_dir))))).where("text_type = 'paragraph'")
     done = plan.synthesise(asked, providers.hashed_synthesis(BUCKET))
     return done.agg(F.count("audioOutput.SynthesisTask.TaskId").alias("n_tasks"), F.countDistinct("audioOutput.SynthesisTask.OutputUri").alias("n_distinct"))
+
+
+@query(f"""
+SELECT doc_id || '-' || code AS name, md5(json_object('uuid', doc_id, 'url', '/a/' || doc_id, 'title', {_TITLE}, 'text', coalesce(text, ''), 'byline', coalesce(source, ''), 'language', json_object('code', code, 'voice', voice, 'translate', translate))::VARCHAR) AS input_md5
+FROM documents CROSS JOIN {_LANGUAGES}
+""")
+def execution_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    language = F.struct("language.code", F.get("language.items", F.lit(0))["name"].alias("voice"), "language.translate")
+    started = plan.executions(_fanned(spark, sf_dir).withColumn("language", language))
+    return started.select("name", F.md5("input").alias("input_md5"))
+
+
+@query("SELECT o_custkey::VARCHAR AS uuid, max(o_orderkey)::VARCHAR AS article_id, 'fr-FR' AS language, 'merge' AS type, 'RENDERED' AS article_status FROM orders GROUP BY o_custkey")
+def merge_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_custkey").cast("string").alias("uuid"), F.col("o_orderkey").cast("string").alias("article_id"), F.lit("/m").alias("url"), F.lit("fr-FR").alias("language"), F.col("o_orderkey").alias("seq"))
+    return catalog.current_state(catalog.create_merge_job(rows, F.lit(NOW).cast("timestamp"))).select("uuid", "article_id", "language", "type", "article_status")
+
+
+@query("""
+WITH u AS (SELECT user_id, max(event_id) FILTER (event_type = 'signup') AS put, max(event_id) FILTER (event_type = 'purchase') AS done FROM events GROUP BY 1)
+SELECT u.user_id AS uuid, CASE WHEN done > coalesce(put, -1) THEN 'DELIVERED' ELSE 'PENDING' END AS task_status, 'token-' || put AS token, floor(epoch(e.ts))::BIGINT + 500 AS ttl
+FROM u LEFT JOIN events e ON e.event_id = u.put WHERE put IS NOT NULL OR done IS NOT NULL
+""")
+def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("uuid"), "event_type", F.col("event_id").alias("seq"), instant("ts").alias("at"), F.lit("/u").alias("url"), F.concat(F.lit("token-"), F.col("event_id").cast("string")).alias("token"))
+    created = catalog.create_task(e.where("event_type = 'signup'"), F.col("at"))
+    delivered = catalog.update_task_status(e.where("event_type = 'purchase'"), "DELIVERED", F.col("at"))
+    return catalog.current_state(catalog.write_log([created, delivered])).select("uuid", "task_status", "token", "ttl")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'u' || event_id END AS title, CASE WHEN event_type = 'view' THEN 'u' || event_id END AS paragraph_url FROM events WHERE event_type IN ('click', 'view')")
+def resumed_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    waited = e.select("event_id", F.when(F.col("event_type") == "click", "title").otherwise("paragraph").alias("text_type"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"))
+    return callbacks.selected(waited).select("event_id", "title", F.col("paragraph.url").alias("paragraph_url"))
+
+
+@query("SELECT n.event_id FROM events n WHERE n.event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events t WHERE t.event_type = 'signup' AND t.user_id = n.user_id AND t.event_id % 50 = 0)")
+def callback_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", F.col("user_id").cast("string").alias("url"))
+    return callbacks.unmatched(urls, _tasks(spark, sf_dir).where("uuid % 50 = 0")).select("event_id")
+
+
+@query("SELECT doc_id, regexp_replace(chr(160) || chr(9) || coalesce(text, '') || chr(8195) || chr(10), '^[\\s\\p{Z}\\x{feff}]+|[\\s\\p{Z}\\x{feff}]+$', '', 'g') AS trimmed FROM documents")
+def trimmed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = F.concat(F.lit("\u00a0\t"), F.coalesce("text", F.lit("")), F.lit("\u2003\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.trim(padded).alias("trimmed"))
+
+
+@query("SELECT page_id, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS uuid FROM (SELECT page_id, sha256(url) AS h FROM pages)")
+def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.content_id(F.col("url")).alias("uuid"))
+
+
+@query(f"""
+SELECT conv_id, 'https://s3.us-east-1.amazonaws.com/bucket/audio/' || conv_id || '.' || arg_min(turn, n) || '.mp3' AS title, count(*) - 1 AS n_text, 'token-' || conv_id AS token,
+       '{{"uuid":' || conv_id || ',"outputs":{{"de-DE":{{"url":"old"}},"en-US":{{"url":"https://s3.us-east-1.amazonaws.com/bucket/full/' || conv_id || '-en-US.mp3"}}}}}}' AS output
+FROM {_ORDER} GROUP BY conv_id
+""")
+def merge_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = manifest.payloads(manifest.assemble(_segments(spark, sf_dir)), F.concat(F.lit("token-"), F.col("uuid").cast("string")))
+    had = F.create_map(*[x for code in ("de-DE", "en-US") for x in (F.lit(code), F.struct(F.lit("old").alias("url")))])
+    done = manifest.finish(sent.withColumn("outputs", had), BUCKET)
+    return done.select(F.col("uuid").alias("conv_id"), "title", F.size("text").cast("long").alias("n_text"), "token", "output")

@@ -7,6 +7,7 @@ standard library's parser. Which elements make title, byline and text are parame
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -16,10 +17,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Elements without content, and the end tags that HTML lets one leave out (a start tag of the second closes the first).
+# Fixed values of HTML: elements without content; those that close an open paragraph; what an
+# open element hides from end tags and closings below it, for paragraphs, list items and all else;
+# blocks that end tags of inline elements don't cross; inline elements that go on in the next block.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_IMPLIED = {"p": _ENDS_P, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+_ENDS_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_SCOPE = frozenset("applet caption html marquee object table td template th".split())
+_PARAGRAPH_SCOPE, _ITEM_SCOPE, _TABLE_SCOPE = _SCOPE | {"button"}, _SCOPE | {"ol", "ul"}, frozenset({"html", "table", "template"})
+_BLOCK = _ENDS_P | _SCOPE | {"body", "button", "tr", "tbody", "thead", "tfoot", "select", "iframe", "noscript", "textarea", "title", "head"}
+_FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: So many inline elements that are alike go on at most.
+_ALIKE = 3
+#: Open elements that a start tag closes, and the scope in which it looks for them.
+_CLOSES = {
+    "li": ({"li"}, _ITEM_SCOPE), "dt": ({"dt", "dd"}, _SCOPE), "dd": ({"dt", "dd"}, _SCOPE), "option": ({"option"}, _SCOPE), "optgroup": ({"option", "optgroup"}, _SCOPE),
+    "td": ({"td", "th"}, _TABLE_SCOPE), "th": ({"td", "th"}, _TABLE_SCOPE), "tr": ({"tr"}, _TABLE_SCOPE), **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, _TABLE_SCOPE)),
+}
 _SPACE = re.compile(f"^{T.SPACE}+|{T.SPACE}+$")
 
 
@@ -54,32 +67,113 @@ class _Node:
 
 
 class _Tree(HTMLParser):
+    """The tree that browsers make of a page, as far as selections can see it.
+
+    Left-out end tags are supplied at whatever depth, end tags that match nothing in scope are
+    ignored, and inline elements that a block's end cut off go on after it. Content that a table
+    can't have stays where it is, and misnested inline elements aren't parted in two.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", (), None)
         self.nodes: list[_Node] = []
+        self.open: Counter[str] = Counter()
+        self.format: list[tuple[str, tuple[str, ...]]] = []  # inline elements that no end tag has closed
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _IMPLIED.get(self.at.tag, ()):
-            self.at = self.at.parent
-        node = _Node(tag, tuple((dict(attrs).get("class") or "").split()), self.at)
+    def _add(self, tag: str, classes: tuple[str, ...], stays: bool = True) -> None:
+        node = _Node(tag, classes, self.at)
         self.at.children.append(node)
         self.at.parts.append(node)
         self.nodes.append(node)
-        if tag not in _VOID:
+        if stays:
             self.at = node
+            self.open[tag] += 1
+
+    def _leave(self, node: _Node) -> None:
+        """Close all open elements up to this one."""
+        end = node.parent
+        while self.at is not end:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
+    def _found(self, tags: set[str], scope: frozenset[str]) -> _Node | None:
+        """The innermost open element of the tags that nothing in scope hides."""
+        node = self.at if any(self.open[t] for t in tags) else self.root
+        while node.parent is not None:
+            if node.tag in tags:
+                return node
+            if node.tag in scope:
+                return None
+            node = node.parent
+        return None
+
+    def _close(self, tags: set[str], scope: frozenset[str]) -> bool:
+        if node := self._found(tags, scope):
+            self._leave(node)
+        return node is not None
+
+    def _go_on(self) -> None:
+        """Open the inline elements again that a block's end has closed."""
+        if not self.format:
+            return
+        have, node = Counter(), self.at
+        while node.parent is not None:
+            have[node.tag, node.classes] += 1
+            node = node.parent
+        for entry in self.format:
+            if have[entry]:
+                have[entry] -= 1
+            else:
+                self._add(*entry)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        classes = tuple((dict(attrs).get("class") or "").split())
+        if tag in ("html", "body") and any(n.tag == tag for n in self.nodes):
+            return
+        if tag in _CLOSES:
+            self._close(*_CLOSES[tag])
+        if tag in _ENDS_P:
+            self._close({"p"}, _PARAGRAPH_SCOPE)
+        if tag[0] == "h" and tag[1:].isdigit() and self.at.tag[:1] == "h" and self.at.tag[1:].isdigit():
+            self._leave(self.at)
+        if tag == "a" and any(t == "a" for t, _ in self.format):
+            self.handle_endtag("a")
+        if tag not in _BLOCK:
+            self._go_on()
+        self._add(tag, classes, tag not in _VOID)
+        if tag in _FORMAT:
+            if self.format.count((tag, classes)) >= _ALIKE:
+                self.format.remove((tag, classes))
+            self.format.append((tag, classes))
+        elif tag in ("td", "th", "caption"):
+            self.format = []
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if tag in ("html", "body"):  # what comes after still belongs to the body
+            return
+        if tag in _FORMAT:
+            for entry in reversed(self.format):
+                if entry[0] == tag:
+                    self.format.remove(entry)
+                    break
+            self._close({tag}, _BLOCK)
+        elif tag == "p":
+            if not self._close({"p"}, _PARAGRAPH_SCOPE):
+                self._add("p", (), False)
+        elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "table"):
+            self._close({tag}, _TABLE_SCOPE - {tag})
+        elif tag in _BLOCK:
+            self._close({tag}, (_ITEM_SCOPE if tag == "li" else _SCOPE) - {tag})
+        elif tag not in _VOID:
+            self._close({tag}, _BLOCK)
 
     def handle_data(self, data: str) -> None:
+        if self.format and data.strip():
+            self._go_on()
         self.at.parts.append(data)
 
 

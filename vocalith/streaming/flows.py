@@ -2,7 +2,7 @@
 
 State is bounded by watermarks: a task is forgotten once its time to live and the allowed
 lateness have passed, and late or unmatched notifications are dropped. Event times without a
-zone are taken as UTC, since watermarks need an instant.
+zone are taken as UTC, since watermarks need an instant. Outer joins keep what stays unmatched.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import TTL_SECONDS
-from ..operators.callbacks import inserted, match_within
+from ..operators.callbacks import inserted, match, match_within, put_urls, success, unmatched
 from ..operators.plan import fan_out, prepare, translate
 from ..sources.pages import Selectors, extract, fetch, split_failures
 
 LATENESS = "10 minutes"
 
 
-def resolve(tasks: DataFrame, urls: DataFrame, key: str, task_time: str, url_time: str, seconds: int = TTL_SECONDS, lateness: str = LATENESS) -> DataFrame:
-    """Tasks with the notifications that come for them before they expire. Both times are timestamps."""
-    return match_within(tasks.withWatermark(task_time, lateness), urls.withWatermark(url_time, lateness), key, task_time, url_time, seconds)
+def resolve(tasks: DataFrame, urls: DataFrame, key: str, task_time: str, url_time: str, seconds: int = TTL_SECONDS, lateness: str = LATENESS, how: str = "inner") -> DataFrame:
+    """Tasks with the notifications that come for them before they expire. Both times are timestamps.
+
+    how: `leftOuter` also gives tasks that expired unanswered, `rightOuter` notifications without
+    a task, each once the watermark has passed what could still match it.
+    """
+    return match_within(tasks.withWatermark(task_time, lateness), urls.withWatermark(url_time, lateness), key, task_time, url_time, seconds, how)
 
 
 def once(notifications: DataFrame, key: list[str], time: str, lateness: str = LATENESS) -> DataFrame:
@@ -55,6 +59,23 @@ def follow(changes: DataFrame, pages: DataFrame, checkpoint: str, write_plans: C
     return query
 
 
+def listen(notifications: DataFrame, tasks: Callable[[], DataFrame], checkpoint: str, write_callbacks: Callable[[DataFrame, int], None], write_unmatched: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """From a feed of storage notifications to the callbacks that resolve tasks, batch by batch, until the feed is drained.
+
+    tasks gives their current state, which each batch reads anew. A notification that comes
+    twice in a batch counts once; those of no task are written for audit.
+    """
+
+    def act(batch: DataFrame, number: int) -> None:
+        urls, waiting = put_urls(batch).dropDuplicates(["url"]), tasks()
+        write_callbacks(success(match(urls, waiting)), number)
+        write_unmatched(unmatched(urls, waiting), number)
+
+    query = notifications.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def instant(column: str) -> Column:
     """A time without a zone as an instant, in the session's zone."""
     return F.col(column).cast("timestamp")
