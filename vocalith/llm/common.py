@@ -14,7 +14,6 @@ from typing import TypeVar
 from weakref import WeakKeyDictionary
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,9 +92,9 @@ class Sieve:
         """Whether a row's keys pass, by columns of the names that the sieve was made with."""
         sent, test = self.sent, self.test
 
-        @F.pandas_udf("boolean")
-        def of(hashes: pd.Series) -> pd.Series:
-            return pd.Series(test(sent.value, hashes.to_numpy(np.int64)))
+        @F.arrow_udf("boolean")
+        def of(hashes: pa.Array) -> pa.Array:
+            return pa.array(test(sent.value, hashes.to_numpy()))
 
         return of(F.xxhash64(*self.keys))
 
@@ -111,8 +110,15 @@ def held(key: tuple, make: Callable[[], T]) -> T:
     return _held[key]
 
 
+#: Bytes of an Arrow batch: texts may be long, so a number of rows bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, giving freed memory back to the system when a task ends: workers are used again by other operators."""
+    """run, for a session that sends it batches of few bytes, and giving freed memory back to the system when a task ends: workers are used again by other operators."""
+    spark, setting = SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) == "67108864b":  # the default
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
 
     def task(batches: Iterator) -> Iterator:
         yield from run(batches)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, frugal, materialise
 
 SAMPLE, WORDS, GRAMS, ORDERS = 10_000, 50_000, 100_000, (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
@@ -120,28 +120,31 @@ def fit(rows: DataFrame) -> Model:
     least = rows.select("h").distinct().orderBy("h").limit(SAMPLE)
     sample = rows.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(lang: str, counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([lang] * len(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["key", "lang", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts.setdefault(lang, Counter()).update(words_of(text))
         for lang, c in counts.items():
-            yield pd.DataFrame({"key": list(c), "lang": lang, "n": list(c.values())}).astype({"n": "int64"})
+            yield rows_of(lang, c)
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for batch in batches:
-            for word, lang, n in zip(batch["key"], batch["lang"], batch["n"], strict=True):
+            for word, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 into = counts.setdefault(lang, Counter())
                 for grams in grams_of(word):
                     for g in grams:
                         into[g] += n
         for lang, c in counts.items():
-            yield pd.DataFrame({"key": list(c), "lang": lang, "n": list(c.values())}).astype({"n": "int64"})
+            yield rows_of(lang, c)
 
     schema = "key string, lang string, n long"
-    words = materialise(sample.select("text", "lang").mapInPandas(count, schema).groupBy("key", "lang").agg(F.sum("n").alias("n")), "words")
-    grams = materialise(words.mapInPandas(spell, schema).groupBy("key", "lang").agg(F.sum("n").alias("n")), "grams")
+    words = materialise(sample.select("text", "lang").mapInArrow(frugal(count), schema).groupBy("key", "lang").agg(F.sum("n").alias("n")), "words")
+    grams = materialise(words.mapInArrow(frugal(spell), schema).groupBy("key", "lang").agg(F.sum("n").alias("n")), "grams")
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
 
     def top(counts: DataFrame, most: int, least: int) -> pd.DataFrame:
@@ -164,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from .common import documents, frugal, held, materialise
 
 CAPACITY = 2048
 #: Bytes of chunks that a worker keeps, in each of two generations, and words of marks alone.
-KEPT_BYTES, KEPT_MARKS = 64_000_000, 10_000
+KEPT_BYTES, KEPT_MARKS = 48_000_000, 10_000
 #: Python takes these for white space and Unicode doesn't.
 _CONTROL = "\x1c\x1d\x1e\x1f"
 
