@@ -100,7 +100,7 @@ def test_quality_without_labels(rated):
     assert quality.filter_documents(docs.select("doc_id", "text"), labels).count() < docs.count()
 
 
-def test_views_teach_each_other():
+def test_views_teach_each_other(monkeypatch):
     rng = np.random.default_rng(1)
 
     def rows(n):
@@ -108,13 +108,42 @@ def test_views_teach_each_other():
         view = lambda: np.column_stack([y + rng.normal(0, 0.35, n), rng.normal(0, 1, n)]).astype(np.float32)
         return (view(), view()), y
 
-    x, y = rows(60)
-    pool, _ = rows(2000)
-    test, truth = rows(2000)
-    model = quality.Model(x, y, pool)
-    one, two, both = model.score(*test)
+    test, truth = rows(4000)
     right = lambda p: np.mean((p >= 0.5) == (truth == 1))
-    assert right(both) > 0.95 and right(both) >= max(right(one), right(two)) - 0.005
+    taught, alone = [], []
+    for _ in range(12):
+        x, y = rows(24)
+        pool, _ = rows(2000)
+        for rounds, into in ((quality.ROUNDS, taught), (0, alone)):
+            monkeypatch.setattr(quality, "ROUNDS", rounds)
+            model = quality.Model(x, y, pool)
+            one, two, both = model.score(*test)
+            into.append((right(one), right(two), right(both)))
+        monkeypatch.undo()
+    taught, alone = np.mean(taught, axis=0), np.mean(alone, axis=0)
+    assert (taught[:2] > alone[:2] + 0.01).all() and taught[2] > alone[2] and taught[2] > 0.93
+
+
+def test_views_that_disagree_hand_nothing_over():
+    assert quality._agreed([([1, 2], [3, 4]), ([2, 3], [5, 1])]) == [([2], [4]), ([2], [5])]
+    x = np.array([[9.0], [-9.0], [0.0]], np.float32)
+    pool = quality.Held((x, -x))
+    got = pool.surest([np.array([1.0, 0.0]), np.array([1.0, 0.0])])
+    assert [len(y) for _, y in got] == [0, 0] and pool.free.all()
+
+
+def test_metadata_view_never_reads_the_text():
+    a, b = (quality._features([t], ["s"], ["en"], [30])[1] for t in ("one text", "quite\nanother\n\n***"))
+    assert (a == b).all() and a.sum() == 3
+    assert quality.meta_features("x", None, 10**12)[191] == 1
+
+
+def test_quality_of_nothing(spark, rated):
+    docs, labels = rated
+    model = quality.fit(docs, labels)
+    assert quality.score(docs.limit(0), model).collect() == []
+    tied = labels.unionByName(spark.createDataFrame([(1, 1, 0), (1, 0, 0)], labels.schema))
+    assert quality.fit(docs, tied).ok
 
 
 # secrets

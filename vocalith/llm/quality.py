@@ -1,9 +1,11 @@
 """Quality classification by co-training two views, one of the text and one of the page's metadata.
 
 Each view has a logistic regression of its own: the text view over hashed byte pairs of the
-whole text, the metadata view over source, language, stated length and layout (lines and
-their lengths). Both start from a part of the labelled rows. In each round each view labels
-all unlabelled rows, and those it is surest of join the *other* view's training set.
+whole text, the metadata view over source, language and stated length; it never reads the
+text. Both start from a part of the labelled rows. In each round each view labels all
+unlabelled rows, and those it is surest of join the *other* view's training set; where both
+chose a row and disagree, neither hands it over. A view that is sure of nothing hands over
+nothing, and calibration takes its weight in the sum.
 The labelled rows left aside then calibrate each view (Platt scaling), and the calibrated
 log odds are added, the prior counting once, to score all documents.
 
@@ -19,22 +21,22 @@ empty results. Other columns pass through `filter_documents` untouched, whatever
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, frugal, materialise, spent
 
 LABELLED, POOL, ROUNDS, THRESHOLD = 6000, 4000, 4, 0.5
 #: In a round a view hands over at most this share of the unlabelled rows (of `POOL` if there are more), and only labels of at least this probability.
 SHARE, SURE = 0.1, 0.95
-TEXT_DIM, META_DIM = 1042, 160
+TEXT_DIM, META_DIM = 1042, 192
 _META = ("source", "lang", "n_chars")
 
 
@@ -58,20 +60,17 @@ def text_features(text: str | None) -> np.ndarray:
     return out
 
 
-def meta_features(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """One of hashed sources, of hashed languages and of lengths (four classes a power of two)."""
     out = np.zeros(META_DIM, np.float32)
-    out[zlib.crc32(repr(source).encode()) % 64] = 1
-    out[64 + zlib.crc32(repr(lang).encode()) % 32] = 1
-    log = lambda n: min(19, int(max(0, n)).bit_length())
-    out[96 + (0 if n_chars is None else log(n_chars))] = 1
-    lines = (text or "").count("\n") + 1
-    out[116 + log(lines)] = 1
-    out[136 + log(len(text or "") // lines)] = 1
+    out[zlib.crc32(repr(source).encode()) % 80] = 1
+    out[80 + zlib.crc32(repr(lang).encode()) % 32] = 1
+    out[112 + (0 if n_chars is None else min(79, 1 + int(4 * math.log2(max(1, n_chars)))))] = 1
     return out
 
 
 def _features(texts: list, sources: list, langs: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([text_features(t) for t in texts]).reshape(-1, TEXT_DIM), np.array([meta_features(*x) for x in zip(texts, sources, langs, sizes, strict=True)]).reshape(-1, META_DIM)
+    return np.array([text_features(t) for t in texts]).reshape(-1, TEXT_DIM), np.array([meta_features(*x) for x in zip(sources, langs, sizes, strict=True)]).reshape(-1, META_DIM)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -111,6 +110,13 @@ def _handed(n: int) -> int:
     return max(1, int(SHARE * n / 2))
 
 
+def _agreed(lists: list[tuple[list, list]]) -> list[tuple[list, list]]:
+    """For each view the rows that it calls bad and good, without those that the other calls the opposite."""
+    (bad, good), (bad2, good2) = lists
+    apart = set(bad) & set(good2) | set(good) & set(bad2)
+    return [tuple([i for i in part if i not in apart] for part in view) for view in lists]
+
+
 class Held:
     """Unlabelled rows in memory."""
 
@@ -125,6 +131,7 @@ class Held:
             order = np.argsort(p, kind="stable")
             bad, good = ([i for i in part if self.free[i]][:most] for part in (order[p[order] <= 1 - SURE], order[::-1][p[order[::-1]] >= SURE]))
             chosen.append((bad, good))
+        chosen = _agreed(chosen)
         for bad, good in chosen:
             self.free[[*bad, *good]] = False
         return [(tuple(x[[*bad, *good]] for x in self.views), np.concatenate([np.zeros(len(bad)), np.ones(len(good))])) for bad, good in chosen]
@@ -150,14 +157,17 @@ class Corpus:
                     yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, odds)], ["id", "v0", "v1"]).filter(keep)
 
         # rows of one id count once
-        rated = self.rows.mapInArrow(run, "id long, v0 double, v1 double").groupBy("id").agg(F.min(F.struct("v0", "v1")).alias("v")).select("id", "v.*")
+        rated = self.rows.mapInArrow(frugal(run), "id long, v0 double, v1 double").groupBy("id").agg(F.min(F.struct("v0", "v1")).alias("v")).select("id", "v.*")
         rated = materialise(rated.join(self.known, "id", "left_anti"), "odds")
         lists = []
         for view in range(2):
             for y, odds in enumerate((-F.col(f"v{view}"), F.col(f"v{view}"))):
                 best = rated.where(odds >= sure).orderBy(odds.desc(), F.xxhash64("id"), "id").limit(self.most)
                 lists.append(best.select("id", F.lit(view).alias("view"), F.lit(y).alias("y")))
-        chosen = sorted(tuple(row) for row in lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3]).collect())
+        found = [tuple(row) for row in lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3]).collect()]
+        spent(rated)
+        views = _agreed([tuple([i for i, v, label in found if (v, label) == (view, y)] for y in (0, 1)) for view in (0, 1)])
+        chosen = sorted((i, view, y) for view in (0, 1) for y in (0, 1) for i in views[view][y])
         ids, x = _fetch(self.rows, self.rows.sparkSession.createDataFrame(sorted({(i,) for i, *_ in chosen}), "id long"))
         place = {i: k for k, i in enumerate(ids)}
         self.taken = taken | place.keys()
@@ -172,12 +182,12 @@ class Corpus:
 def _fetch(rows: DataFrame, ids: DataFrame) -> tuple[list[int], np.ndarray]:
     """The features of a bounded number of ids, one row each, in an order that depends on the ids alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text, meta = _features(*(b[c].astype(object).where(b[c].notna(), None).tolist() for c in ("text", *_META)))
-            yield pd.DataFrame({"id": b["id"], "f": [x.tobytes() for x in np.hstack([text, meta])]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, meta = _features(*(c.to_pylist() for c in batch.columns[1:]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.hstack([text, meta])], pa.binary())], ["id", "f"])
 
-    found = rows.join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(run, "id long, f binary").toArrow()
+    found = rows.join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(frugal(run), "id long, f binary").toArrow()
     ids = found["id"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
     x = np.empty((len(order), TEXT_DIM + META_DIM), np.float32)
@@ -242,18 +252,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 scores = sent.value.score(*_features(*(batch.column(c).to_pylist() for c in range(1, 5))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, scores), pa.array(scores[2] >= threshold)], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *_inputs(docs, text_col)).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *_inputs(docs, text_col)).mapInArrow(frugal(run), "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that aren't rejected, with the columns of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
-    @F.pandas_udf("boolean")
-    def keeps(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.Series:
-        columns = [c.astype(object).where(c.notna(), None).tolist() for c in (text, source, lang, n_chars)]
-        out = [sent.value.score(*_features(*(c[at : at + 1000] for c in columns)))[2] >= threshold for at in range(0, len(text), 1000)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    @frugal
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = [sent.value.score(*_features(*(c.slice(at, 1000).to_pylist() for c in batch)))[2] >= threshold for at in range(0, len(batch[0]), 1000)]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    @F.arrow_udf("boolean")
+    def keeps(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from run(batches)
 
     return docs.where(keeps(*_inputs(docs, text_col)))
 
