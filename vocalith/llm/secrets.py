@@ -27,13 +27,12 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
-
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, frugal
 
 #: The base patterns and the length that a match needs (of group 2, if there is one).
 BASE = {
@@ -206,29 +205,44 @@ def _joined(spans: list) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k, *_ in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
 
-_VALUE_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+def _hash(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode()) >> 1
 
 
-def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row for each row of docs that has base spans: their kinds and values."""
+def labelled(docs: DataFrame, text_col: str = "text") -> dict[str, list[str]]:
+    """Of each kind the LABELLED distinct values of the least hashes among all of at most LONGEST characters.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[{"kind": k, "value": v} for _, _, k, v in base_spans(text or "")] for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in found if x], _VALUE_TYPE)], ["base"])
+    A task hands over no more than that of each kind, and nothing is written: values are in the clear.
+    """
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "base array<struct<kind: string, value: string>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, dict[str, int]] = {k: {} for k in BASE}
 
+        def cut(kind: str) -> None:
+            least[kind] = dict(sorted(least[kind].items(), key=lambda x: (x[1], x[0]))[:LABELLED])
 
-def infer(extracted: DataFrame) -> dict[str, Automaton]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for _, _, kind, value in base_spans(text or ""):
+                    if len(value) <= LONGEST:
+                        least[kind][value] = _hash(value)
+                        if len(least[kind]) > 4 * LABELLED:
+                            cut(kind)
+        for kind in BASE:
+            cut(kind)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(least[kind]), pa.string()), pa.array(list(least[kind]), pa.string()), pa.array(list(least[kind].values()), pa.int64())], ["kind", "value", "h"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(run), "kind string, value string, h long").distinct()
+    out: dict[str, list[str]] = {}
+    first = Window.partitionBy("kind").orderBy("h", "value")
+    for row in found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LABELLED).collect():
+        out.setdefault(row["kind"], []).append(row["value"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def infer(docs: DataFrame, text_col: str = "text") -> dict[str, Automaton]:
     """An automaton for each kind that has labelled values."""
-    values = extracted.select(F.explode("base").alias("s")).select("s.kind", "s.value").where(F.length("value") <= LONGEST)
-    out = {}
-    for kind in BASE:
-        distinct = values.where(F.col("kind") == kind).distinct()
-        if some := [r["value"] for r in distinct.orderBy(F.xxhash64("value"), "value").limit(LABELLED).collect()]:
-            out[kind] = Automaton(some)
-    return out
+    return {kind: Automaton(values) for kind, values in labelled(docs, text_col).items()}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +250,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     score: of the row's best learnt span, by how much a character it is likelier than the least likely labelled values.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(infer(materialise(extract(docs, text_col), "spans")))
+    sent = docs.sparkSession.sparkContext.broadcast(infer(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -255,7 +269,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long, score double")
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
@@ -270,18 +284,24 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with all secrets masked in the text; length_col, if there, follows the text where that changed."""
-    sent = docs.sparkSession.sparkContext.broadcast(infer(materialise(extract(docs, text_col), "spans")))
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        out, scorer = [], Scorer(sent.value)
-        for text in texts:
-            if isinstance(text, str):
-                base = base_spans(text)
-                spans = [s[:2] for s in base + scorer(text, base)]
-                text = masked(text, spans) if spans else text
-            out.append(text)
-        return pd.Series(out, dtype=object)
+    sent = docs.sparkSession.sparkContext.broadcast(infer(docs, text_col))
+
+    @frugal
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(sent.value)
+        for texts in batches:
+            out = []
+            for text in texts.to_pylist():
+                if text:
+                    base = base_spans(text)
+                    spans = [s[:2] for s in base + scorer(text, base)]
+                    text = masked(text, spans) if spans else text
+                out.append(text)
+            yield pa.array(out, pa.string())
+
+    @F.arrow_udf("string")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(texts)
 
     cleaned = docs.withColumn(text_col, clean(F.col(text_col)))
     if length_col in docs.columns:
