@@ -115,10 +115,10 @@ def brute(text):
 
 
 def test_licences(spark):
-    mit = licences.TEMPLATES["MIT"][-1]
+    mit = licences.NOTICES["MIT"][-1]
     words = mit.split()
     texts = [None, "", "x", "prose\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0", "LICENSED   under the apache-license, version 2.0!", mit, "Title\n\n" + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\n\nafter", " ".join(words[:60]), mit.replace("SOFTWARE", "WORK"), "word " * 60_000, "a b\n" * 3000]
-    texts += ["\n".join(RNG.choice([*sum(licences.TEMPLATES.values(), []), "some other line", "the License."]) for _ in range(RNG.randint(1, 5))) for _ in range(60)]
+    texts += ["\n".join(RNG.choice([*sum(licences.NOTICES.values(), []), "some other line", "the License."]) for _ in range(RNG.randint(1, 5))) for _ in range(60)]
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(3, texts[3], "z"), (None, texts[3], "z")], "doc_id long, text string, name string")
     got = licences.scan(docs).collect()
     assert len(got) == len(texts) + 2
@@ -131,7 +131,7 @@ def test_licences(spark):
 
 def test_licences_in_running_text(spark):
     """Licences over several paragraphs or amid a line, inside long documents."""
-    mit = licences.TEMPLATES["MIT"][-1]
+    mit = licences.NOTICES["MIT"][-1]
     cut = [mit.index("The above"), mit.index("THE SOFTWARE IS")]
     three = "\n\n".join([mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]])
     prose = lambda n: " ".join(f"word{i}" for i in range(n))
@@ -163,7 +163,37 @@ def test_licences_in_running_text(spark):
         assert got[i]["n_matches"] == len(new), i
         assert got[i]["dice"] == max(new.values(), default=None), i
     # a line that bears one licence isn't a worse copy of another, and hides no other place
-    agpl = licences.TEMPLATES["AGPL-3.0"][0]
-    pair = [f"{prose(30)}\n{agpl}\n{prose(30)}", f"{prose(30)}\n{agpl}\n{prose(30)} {licences.TEMPLATES['MPL-2.0'][0]} {prose(30)}"]
+    agpl = licences.NOTICES["AGPL-3.0"][0]
+    pair = [f"{prose(30)}\n{agpl}\n{prose(30)}", f"{prose(30)}\n{agpl}\n{prose(30)} {licences.NOTICES['MPL-2.0'][0]} {prose(30)}"]
     one, both = sorted(licences.scan(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect())
     assert one["licenses"] == brute(pair[0])[3] and both["licenses"] == ",".join(sorted([*one["licenses"].split(","), "MPL-2.0"]))
+
+
+def test_whole_licence_texts(spark):
+    """Files with a whole licence, as they come: with a copyright line, wrapped anew, inside a longer document, with some words lost."""
+    whole = {name: texts[-1] for name, texts in licences.TEMPLATES.items() if len(texts[-1]) > 700}
+    assert {"Apache-2.0", "BSD", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib", "BSL-1.0"} <= whole.keys()
+    prose = lambda n: " ".join(f"word{RNG.randint(0, 10**6)}" for _ in range(n))
+    texts = []
+    for name, text in whole.items():
+        words = text.split()
+        wrapped = "\n".join(" ".join(words[i : i + 14]) for i in range(0, len(words), 14))
+        texts += [(name, text), (name, f"Copyright (c) 2024 The Someone\n\n{wrapped}"), (name, f"{prose(4000)}\n\n{text}\n\n{prose(5000)}"), (name, f"{prose(len(words))} {' '.join(w for w in words if RNG.random() > 0.03)} {prose(300)}")]
+    texts += [("BSD", licences.TEMPLATES["BSD"][-2]), ("", prose(9000)), ("", " ".join(whole["GPL-3.0"].split()[:1500]))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for r in licences.scan(docs).collect():
+        assert (r["license"] or "") == texts[r["doc_id"]][0], (r, texts[r["doc_id"]][1][:60])
+
+
+def test_texts_without_an_anchor_have_no_match():
+    """What the pattern passes over has none of a template's anchors, and every set that reaches the threshold has one."""
+    pattern = re.compile(licences._any_of({a for texts in licences.TEMPLATES.values() for t in texts for a in licences.anchors(sorted(licences.bigrams(t)))}))
+    for texts in licences.TEMPLATES.values():
+        for t in texts:
+            words = licences._words(t)
+            for _ in range(20):
+                some = [w for w in words if RNG.random() > 0.12]
+                grams, other = licences.bigrams(" ".join(some)), licences.bigrams(t)
+                if grams and 2 * len(grams & other) / (len(grams) + len(other)) >= 0.8:
+                    assert pattern.search(f" {' '.join(some)} ")
+    assert not pattern.search(" some words of no licence at all ")

@@ -5,14 +5,15 @@ unit and a template are normalised to lower-case words of letters and digits and
 their sets of word bigrams; the unit bears the licence if twice the common bigrams are at
 least `THRESHOLD` of all. Sizes prune first: sets of a and b bigrams can reach t only if
 t / (2 - t) <= a / b <= (2 - t) / t, so a unit is compared with the few templates of about
-its size, and one too short or too long for all of them is never cut into bigrams.
+its size, and one too short for all of them is never cut into bigrams. Of a template's n
+bigrams such a set has at least t / (2 - t), so it has one of any n - need + 1 of them: the
+anchors, those of the longest words. A text without any template's anchor, which nearly all
+are, is normalised, searched with one pattern, and done.
 
 Licences that no unit bears are then looked for in windows: all runs, anywhere in the text, of
 as many words as the template has. One that shares words with a unit at least as like some
-licence doesn't count, so a notice of one isn't taken for a worse copy of another. Bounds prune these too, and lose none: a window reaches t
-only if it has at least t / (2 - t) of the template's n bigrams, so of any n - need + 1 of them
-(the anchors, those of the longest words) it has one, and `need` of them lie within its length.
-Texts without an anchor are never cut into windows.
+licence doesn't count, so a notice of one isn't taken for a worse copy of another. Bounds
+prune these too, and lose none: `need` of the template's bigrams lie within a window's length.
 
 All of it is one projection over the scan, without a shuffle, so hot sources or copies don't
 matter.
@@ -22,13 +23,18 @@ match nothing. A licence found by windows alone counts as one match, that of the
 coefficient. A document with several licences reports all by name, and as its own the one
 of the highest coefficient, ties going to the first by name. Repeated rows count each. An
 empty table gives an empty result. Only id and text are read, so other columns can't clash.
+
+Templates are the notices below and the whole texts in `license_texts`. The AGPL's text is
+not among them; it differs from the GPL's in a section and is reported as that.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +45,7 @@ THRESHOLD = 0.8
 _MATCHES = "array<struct<dice:double,name:string>>"
 
 # The wording of common licences and of the notices that stand for them.
-TEMPLATES: dict[str, list[str]] = {
+NOTICES: dict[str, list[str]] = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero General Public License v3.0"],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -69,13 +75,35 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
+#: The licence that a whole text is reported as, where the file's name isn't it.
+FAMILY = {"BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD"}
+
+
+def _templates() -> dict[str, list[str]]:
+    out = {name: list(texts) for name, texts in NOTICES.items()}
+    for file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name = file.name.removesuffix(".txt")
+            out.setdefault(FAMILY.get(name, name), []).append(file.read_text(encoding="utf-8"))
+    return dict(sorted(out.items()))
+
+
+TEMPLATES = _templates()
+
+
 def _words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
-def bigrams(text: str) -> set[str]:
+@functools.lru_cache(256)
+def bigrams(text: str) -> frozenset[str]:
     words = _words(text)
-    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+    return frozenset(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+
+
+def _literal(grams: list[str]) -> Column:
+    """An array of bigrams: one literal, split when the plan is made."""
+    return F.split(F.lit("|".join(grams)), r"\|")
 
 
 def _bounds(threshold: float) -> tuple[float, float]:
@@ -87,7 +115,7 @@ def _rated(unit: Column, templates: list[tuple[str, list[str]]], threshold: floa
     """The matches of a unit (an array of words): coefficient and name."""
     sizes = [len(grams) for _, grams in templates]
     low, high = _bounds(threshold)
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in templates])
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), _literal(grams).alias("grams")) for name, grams in templates])
     pairs = F.array_distinct(F.zip_with(F.slice(unit, 1, F.size(unit) - 1), F.slice(unit, 2, F.size(unit)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
     def against(grams: Column) -> Column:
@@ -113,11 +141,20 @@ def anchors(grams: list[str], threshold: float = THRESHOLD) -> list[str]:
 
 
 def _any_of(grams: set[str]) -> str:
-    """A pattern that finds any of the bigrams in words between single spaces, branching by letter and by word."""
-    tree: dict[str, dict[str, list[str]]] = {}
-    for a, b in sorted(g.split() for g in grams):
-        tree.setdefault(a[0], {}).setdefault(a[1:], []).append(b)
-    return " (?:" + "|".join(c + "(?:" + "|".join(f"{a} (?:{'|'.join(seconds)})" for a, seconds in rest.items()) + ")" for c, rest in tree.items()) + ") "
+    """A pattern that finds any of the bigrams in words between single spaces, branching by character."""
+    tree: dict = {}
+    for gram in sorted(grams):
+        at = tree
+        for c in gram:
+            at = at.setdefault(c, {})
+        at[" "] = {}
+
+    def pattern(node: dict) -> str:
+        # only a bigram's end has an empty node: its closing space
+        branches = [re.escape(c) + (pattern(below) if below else "") for c, below in node.items()]
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    return " " + pattern(tree)
 
 
 def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -143,49 +180,70 @@ def _windows(words: Column, rated: Column, templates: list[tuple[str, list[str],
 
     words, rated: of each unit, the last being the whole text. templates: name, bigrams, number of words.
     """
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(_need(len(grams), threshold)).alias("need"), F.lit(n - 1).alias("span")) for name, grams, n in templates])
     every = sorted({g for _, grams, _ in templates for g in grams})
+    none = F.lit(None).cast("struct<dice:double,name:string>")
+
+    def within(pairs: Column, spots: Column, grams: Column) -> Column:
+        """Those spots whose bigram is one of grams; which bigrams are is found by hash first."""
+        return _bound(F.array_intersect(F.transform(spots, lambda i: F.get(pairs, i)), grams), lambda known: F.filter(spots, lambda i: F.array_contains(known, F.get(pairs, i))))
 
-    def starts(t: Column, at: Column, n: Column) -> Column:
+    def starts(need: int, span: int, at: Column, n: Column) -> Column:
         """at: places of the template's bigrams. Where windows with enough of them start, from 0."""
-        close = F.filter(F.sequence(F.lit(1), F.size(at) - t["need"] + 1), lambda j: F.element_at(at, j + t["need"] - 1) - F.element_at(at, j) < t["span"])
-        runs = F.transform(close, lambda j: F.sequence(F.greatest(F.element_at(at, j + t["need"] - 1) - t["span"] + 1, F.lit(0)), F.least(F.element_at(at, j), n - t["span"])))
+        close = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda j: F.element_at(at, j + need - 1) - F.element_at(at, j) < span)
+        runs = F.transform(close, lambda j: F.sequence(F.greatest(F.element_at(at, j + need - 1) - span + 1, F.lit(0)), F.least(F.element_at(at, j), n - span)))
         # a text no longer than a window is a unit
-        return F.when((F.size(at) >= t["need"]) & (n > t["span"]), F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<int>"))
+        return F.when((F.size(at) >= need) & (n > span), F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<int>"))
 
-    def rate(t: Column, pairs: Column, start: Column) -> Column:
-        grams = F.array_distinct(F.slice(pairs, start + 1, t["span"]))
-        return F.struct((F.size(F.array_intersect(grams, t["grams"])) * 2.0 / (F.size(grams) + F.size(t["grams"]))).alias("dice"), start.alias("start"))
+    def best(name: str, grams: list[str], span: int, names: Column, pairs: Column, spots: Column, places: Column) -> Column:
+        own, need = _literal(grams), _need(len(grams), threshold)
 
-    def best(t: Column, pairs: Column, spots: Column, places: Column) -> Column:
-        at = F.filter(spots, lambda i: F.array_contains(t["grams"], F.get(pairs, i)))
-        windows = _bound(at, lambda at: F.transform(starts(t, at, F.size(pairs)), lambda s: rate(t, pairs, s)))
-        free = F.filter(F.filter(windows, lambda x: x["dice"] >= threshold), lambda x: ~F.exists(places, lambda p: (p["from"] <= x["start"] + t["span"]) & (p["to"] > x["start"]) & (p["dice"] >= x["dice"])))
-        return F.struct(F.array_max(F.transform(free, lambda x: x["dice"])).alias("dice"), t["name"].alias("name"))
+        def rate(start: Column) -> Column:
+            some = F.array_distinct(F.slice(pairs, start + 1, F.lit(span)))
+            return F.struct((F.size(F.array_intersect(some, own)) * 2.0 / (F.size(some) + len(grams))).alias("dice"), start.alias("start"))
+
+        def search(at: Column) -> Column:
+            windows = F.transform(starts(need, span, at, F.size(pairs)), rate)
+            free = F.filter(windows, lambda x: (x["dice"] >= threshold) & ~F.exists(places, lambda p: (p["from"] <= x["start"] + span) & (p["to"] > x["start"]) & (p["dice"] >= x["dice"])))
+            dice = F.array_max(F.transform(free, lambda x: x["dice"]))
+            return F.when(dice.isNotNull(), F.struct(dice.alias("dice"), F.lit(name).alias("name")))
+
+        possible = ~F.array_contains(names, name) & (F.size(spots) >= need) & (F.size(pairs) > span)
+        return F.when(possible, _bound(within(pairs, spots, own), search)).otherwise(none)
 
     def search(pairs: Column) -> Column:
-        spots = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.get(pairs, i).isin(every))
+        spots = within(pairs, F.sequence(F.lit(0), F.size(pairs) - 1), _literal(every))
         names = F.transform(F.flatten(rated), lambda m: m["name"])
-        rest = F.filter(known, lambda t: ~F.array_contains(names, t["name"]))
-        found = _bound(spots, lambda spots: _bound(_places(words, rated), lambda places: F.filter(F.transform(rest, lambda t: best(t, pairs, spots, places)), lambda m: m["dice"].isNotNull())))
+        each = lambda spots, places: F.array(*[best(name, grams, n - 1, names, pairs, spots, places) for name, grams, n in templates])
+        found = _bound(spots, lambda spots: _bound(_places(words, rated), lambda places: F.filter(each(spots, places), lambda m: m.isNotNull())))
         return _bound(found, lambda m: F.array_distinct(F.filter(m, lambda x: ~F.exists(m, lambda y: (y["name"] == x["name"]) & (y["dice"] > x["dice"])))))
 
     whole = F.element_at(words, -1)
     pairs = F.zip_with(F.slice(whole, 1, F.size(whole) - 1), F.slice(whole, 2, F.size(whole)), lambda a, b: F.concat(a, F.lit(" "), b))
-    some = F.rlike(F.concat(F.lit(" "), F.array_join(whole, " "), F.lit(" ")), F.lit(_any_of({a for _, grams, _ in templates for a in anchors(grams, threshold)})))
-    return F.when(some, _bound(pairs, search)).otherwise(F.array().cast(_MATCHES))
+    return F.when(F.size(whole) > 1, _bound(pairs, search)).otherwise(F.array().cast(_MATCHES))
+
+
+def _normalised(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_matches (units with a template that they match, and licences of windows alone), license, dice, licenses."""
     sized = [(name, sorted(grams), len(_words(t))) for name, texts in (templates or TEMPLATES).items() for t in texts if (grams := bigrams(t))]
-    flat = [(name, sorted(bigrams(t))) for name, texts in (templates or TEMPLATES).items() for t in texts]
+    flat = [(name, grams) for name, grams, _ in sized]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[\x20\t\r]*\n")
-    units = F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")), F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>")))
-    words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), r"[^\p{L}\p{N}]+", " ")), " "))
-    of_units = lambda words: F.transform(words, lambda u: F.coalesce(_rated(u, flat, threshold), F.array().cast(_MATCHES)))
-    matches = _bound(words, lambda words: _bound(of_units(words), lambda rated: F.concat(F.flatten(rated), _windows(words, rated, sized, threshold))))
+    nothing = F.array().cast(_MATCHES)
+
+    def matched(text: Column) -> Column:
+        lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[\x20\t\r]*\n")
+        units = F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")), F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>")))
+        words = F.transform(units, lambda u: F.split(_normalised(u), " "))
+        of_units = lambda words: F.transform(words, lambda u: F.coalesce(_rated(u, flat, threshold), nothing))
+        return _bound(words, lambda words: _bound(of_units(words), lambda rated: F.concat(F.flatten(rated), _windows(words, rated, sized, threshold))))
+
+    # each unit's and window's bigrams are some of the whole text's
+    pattern = _any_of({a for _, grams in flat for a in anchors(grams, threshold)})
+    some = F.rlike(F.concat(F.lit(" "), _normalised(text), F.lit(" ")), F.lit(pattern))
+    matches = F.when(some, matched(text)).otherwise(nothing)
 
     def summary(m: Column) -> Column:
         best = F.array_max(F.transform(m, lambda x: x["dice"]))
