@@ -38,14 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Files that a small table is written to, and rows of a file of a larger one.
+FEW_FILES, FILE_ROWS = 8, 200_000
+
+
+def materialise(df: DataFrame, name: str, most: int | None = None, each: int = FILE_ROWS) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: later jobs read the files, so a lost executor costs only the tasks it
+    most: where it is known, the rows that df has at most; it is written by one task for about
+    `each` of them then, and not by as many as its last shuffle has. Cuts the lineage: later jobs read the files, so a lost executor costs only the tasks it
     ran, and values that depend on the row order of a scan (row ids) stay what they were.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if most is not None:
+        df = df.coalesce(max(FEW_FILES, -(-most // each)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

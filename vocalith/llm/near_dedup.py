@@ -45,6 +45,8 @@ SHINGLE, PERCENT, ROWS, MISS, BATCH, SMALL = 5, 80, 6, 1e-6, 32, 8
 PARITY = 2048
 #: Words handled at a time, about.
 _SLICE = 100_000
+#: Texts, and pairs by their signatures, for one task.
+TEXTS_EACH, PAIRS_EACH = 20_000, 50_000
 #: Keys of texts that a task remembers.
 REMEMBERED = 200_000
 
@@ -182,9 +184,9 @@ def _prune(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "sign", "sign_b").mapInArrow(frugal(run), "a long, b long")
 
 
-def _texts(needed: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(needed: DataFrame, most: int, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, text and crowd of the needed rows (row, crowd), by (id, hash of the text). A sieve of these keeps all other texts out of the shuffle."""
-    keys = materialise(needed.join(rows, "row").select("row", "crowd", ordered_id(F.col("doc_id")).alias("ord"), "text_hash"), "keys")
+    keys = materialise(needed.join(rows, "row").select("row", "crowd", ordered_id(F.col("doc_id")).alias("ord"), "text_hash"), "keys", most)
     sent = Sieve(keys, "ord", "text_hash").sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,7 @@ def _texts(needed: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
 
     texts = docs.select(ordered_id(F.col(id_col)).alias("ord"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("ord", "text_hash", "text", F.xxhash64("ord", "text_hash").alias("h")).mapInArrow(frugal(run), "ord long, text_hash long, text string")
-    out = materialise(texts.join(keys, ["ord", "text_hash"]).dropDuplicates(["ord", "text_hash", "row"]).select("row", "text", "crowd"), "texts")
+    out = materialise(texts.join(keys, ["ord", "text_hash"]).dropDuplicates(["ord", "text_hash", "row"]).select("row", "text", "crowd"), "texts", most, TEXTS_EACH)
     spent(keys)
     return out
 
@@ -259,18 +261,19 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     # least neighbours are written before they are joined, so a hub's edges can be split over tasks
-    edges = materialise(ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
+    most = 2 * links.count()
+    edges = materialise(ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges", most)
     before, now = None, state(edges)
     while now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = materialise(ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "edges")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least", most)
+        large = materialise(ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "edges", most)
         spent(edges, least)
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        edges = materialise(ordered(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))), "edges")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least", most)
+        edges = materialise(ordered(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))), "edges", most)
         spent(large, least)
         before, now = now, state(edges)
-    labels = materialise(edges.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct()), "labels")
+    labels = materialise(edges.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct()), "labels", most)
     spent(edges)
     return labels
 
@@ -279,9 +282,10 @@ def _members(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of buckets of two nodes the pairs a, b; of larger ones key, row, size, first. bands: row, bands."""
     keyed = bands.select(F.explode("bands").alias("key"), "row")
     buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("first"), F.max("row").alias("last")).where("size > 1"), "buckets")
-    two = materialise(buckets.where("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).distinct(), "two")
+    pairs, rows = buckets.agg(F.sum(F.when(F.col("size") == 2, 1)), F.sum(F.when(F.col("size") > 2, F.col("size")))).first()
+    two = materialise(buckets.where("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).distinct(), "two", pairs or 0)
     more = buckets.where("size > 2").drop("last")
-    members = materialise(keyed.where(Sieve(more, "key").passes()).join(more, "key"), "members")
+    members = materialise(keyed.where(Sieve(more, "key").passes()).join(more, "key"), "members", rows or 0)
     spent(buckets)
     return two, members
 
@@ -304,13 +308,14 @@ def _many(members: DataFrame, signs: DataFrame, texts: DataFrame, percent: int,
     What a bucket's nodes are joined with is written first, so a hot bucket can be split over tasks.
     """
     large = members.where(f"size > {SMALL}").select("key", "row")
-    own = materialise(_own_shingles(texts.where("crowd"), size), "own")
+    most = large.count()
+    own = materialise(_own_shingles(texts.where("crowd"), size), "own", most)
     sizes = signs.select("row", "n").join(own, "row", "left").na.fill(0, ["own"]).withColumn("shared", F.col("n") - F.col("own"))
-    large = materialise(large.join(sizes, "row"), "large")
-    least = materialise(large.groupBy("key").agg(F.min("n").alias("least")), "least")
-    able = materialise(large.join(least, "key").where(F.col("shared") * 100 >= percent * (F.col("n") + F.greatest("least", "shared") - F.col("shared"))).drop("least"), "able")
-    centers = materialise(able.groupBy("key").agg(F.min_by("row", F.struct("own", "row")).alias("center"), F.count("*").alias("size")).where("size > 1").drop("size"), "centers")
-    many = materialise(able.join(centers, "key"), "many")
+    large = materialise(large.join(sizes, "row"), "large", most)
+    least = materialise(large.groupBy("key").agg(F.min("n").alias("least")), "least", most)
+    able = materialise(large.join(least, "key").where(F.col("shared") * 100 >= percent * (F.col("n") + F.greatest("least", "shared") - F.col("shared"))).drop("least"), "able", most)
+    centers = materialise(able.groupBy("key").agg(F.min_by("row", F.struct("own", "row")).alias("center"), F.count("*").alias("size")).where("size > 1").drop("size"), "centers", most)
+    many = materialise(able.join(centers, "key"), "many", most)
     spent(own, large, least, able, centers)
     return many
 
@@ -326,12 +331,13 @@ def _left_over(many: DataFrame, labels: DataFrame, signs: DataFrame, percent: in
     Near copies share many buckets; a pair comes out of the first that both are in. Exact
     bounds hold back pairs by the shingles that can't be common and by those that differ.
     """
-    rooted = materialise(many.where("row != center").join(labels, "row", "left").select("key", "row", "n", "shared", F.coalesce("root", "row").alias("root")), "rooted")
+    most = many.count()
+    rooted = materialise(many.where("row != center").join(labels, "row", "left").select("key", "row", "n", "shared", F.coalesce("root", "row").alias("root")), "rooted", most)
     counts = rooted.groupBy("key", "root").agg(F.count("*").alias("nodes"))
-    mixed = materialise(counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("nodes", "root")).alias("main")).where("roots > 1").drop("roots"), "mixed")
-    contested = materialise(rooted.join(mixed, "key"), "contested")
+    mixed = materialise(counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("nodes", "root")).alias("main")).where("roots > 1").drop("roots"), "mixed", most)
+    contested = materialise(rooted.join(mixed, "key"), "contested", most)
     keys = many.join(contested.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
-    large = materialise(contested.join(keys, "row").join(signs.select("row", "parities"), "row"), "large")
+    large = materialise(contested.join(keys, "row").join(signs.select("row", "parities"), "row"), "large", most)
     outside = large.where("root != main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("row", "root", "n", "shared", "keys", "parities")])
     may = f"100 * least(shared, x_shared) >= {percent} * (n + x_n - least(shared, x_shared))"
     apart = "aggregate(zip_with(parities, x_parities, (p, q) -> bit_count(p ^ q)), 0, (s, b) -> s + b)"
@@ -344,28 +350,30 @@ def _left_over(many: DataFrame, labels: DataFrame, signs: DataFrame, percent: in
 
 def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, size: int) -> DataFrame:
     """row, root: the components of nodes that are linked with any other."""
-    bands = materialise(rows.select("row", "bands").join(nodes, "row"), "bands")
+    bands = materialise(rows.select("row", "bands").join(nodes, "row"), "bands", rows.count())
     two, members = _members(bands)
     spent(bands)
-    few = materialise(two.unionByName(_few(members)).distinct(), "pairs")
+    # a bucket of up to SMALL nodes gives so many pairs a node
+    few = materialise(two.unionByName(_few(members)).distinct(), "pairs", two.count() + members.count() * (SMALL - 1) // 2)
     crowd = members.where(f"size > {SMALL}").select("row").distinct()
     paired = few.select(F.explode(F.array("a", "b")).alias("row"))
     # from here on only rows that share a bucket count: their signatures, and the texts of those that aren't ruled out, are fetched once
-    in_buckets = materialise(crowd.unionByName(paired).distinct(), "rows")
-    signs = materialise(rows.select("row", "n", "sign", "parities").where(Sieve(in_buckets, "row").passes()).join(in_buckets, "row"), "signs")
-    likely = materialise(_prune(few, signs, percent), "likely")
+    in_buckets = materialise(crowd.unionByName(paired).distinct(), "rows", members.count() + 2 * few.count())
+    rows_in = in_buckets.count()
+    signs = materialise(rows.select("row", "n", "sign", "parities").where(Sieve(in_buckets, "row").passes()).join(in_buckets, "row"), "signs", rows_in)
+    likely = materialise(_prune(few, signs, percent), "likely", few.count(), PAIRS_EACH)
     ends = likely.select(F.explode(F.array("a", "b")).alias("row"), F.lit(False).alias("crowd"))
     needed = crowd.withColumn("crowd", F.lit(True)).unionByName(ends).groupBy("row").agg(F.max("crowd").alias("crowd"))
-    texts = _texts(needed, rows.select("row", "doc_id", "text_hash"), docs, id_col, text_col)
+    texts = _texts(needed, rows_in, rows.select("row", "doc_id", "text_hash"), docs, id_col, text_col)
     many = _many(members, signs, texts, percent, size)
-    stars = materialise(_prune(_stars(many).distinct(), signs, percent), "likely")
-    found = materialise(_verify(likely.unionByName(stars).distinct(), texts, percent, size), "links")
+    stars = materialise(_prune(_stars(many).distinct(), signs, percent), "likely", many.count(), PAIRS_EACH)
+    found = materialise(_verify(likely.unionByName(stars).distinct(), texts, percent, size), "links", likely.count() + stars.count(), TEXTS_EACH // 4)
     spent(two, members, few, in_buckets, likely, stars)
     labels = components(found)
     rest = _left_over(many, labels, signs, percent)
-    if not rest.isEmpty():
-        likely = materialise(_prune(rest, signs, percent), "likely")
-        late = materialise(_verify(likely, texts, percent, size), "links")
+    if n := rest.count():
+        likely = materialise(_prune(rest, signs, percent), "likely", n, PAIRS_EACH)
+        late = materialise(_verify(likely, texts, percent, size), "links", likely.count(), TEXTS_EACH // 4)
         if not late.isEmpty():
             spent(labels)
             labels = components(found.unionByName(late))
@@ -378,12 +386,13 @@ def _decided(docs: DataFrame, percent: int, id_col: str, text_col: str, size: in
     """row, doc_id, text_hash, n, component_id, keeper (the component's one row that stays), alone (no other row is in its component)."""
     signed = materialise(signatures(docs, percent, id_col, text_col, size), "signatures")
     sets = signed.where("n > 0").withColumn("ord", ordered_id(F.col("doc_id"))).groupBy("set_hash").agg(F.min_by("row", "ord").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    sets = materialise(sets, "sets")
+    most = signed.count()
+    sets = materialise(sets, "sets", most)
     labels = _links(signed, sets.select(F.col("node").alias("row")), docs, percent, id_col, text_col, size)
-    named = materialise(sets.join(labels.withColumnRenamed("row", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    keepers = materialise(named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("node", ordered_id(F.col("least"))).alias("keeper_row"), F.sum("copies").alias("all")).where("all > 1").drop("all"), "keepers")
-    known = materialise(named.join(keepers, "root").select("set_hash", "component_id", "keeper_row"), "known")
-    rows = materialise(signed.select("row", "doc_id", "text_hash", "n", "set_hash"), "rows")
+    named = materialise(sets.join(labels.withColumnRenamed("row", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "named", most)
+    keepers = materialise(named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("node", ordered_id(F.col("least"))).alias("keeper_row"), F.sum("copies").alias("all")).where("all > 1").drop("all"), "keepers", most)
+    known = materialise(named.join(keepers, "root").select("set_hash", "component_id", "keeper_row"), "known", most)
+    rows = materialise(signed.select("row", "doc_id", "text_hash", "n", "set_hash"), "rows", most)
     spent(signed, sets, labels, named, keepers)
     alone = F.col("keeper_row").isNull()
     return rows.join(known, "set_hash", "left").select(
@@ -407,7 +416,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     """
     ord_, hash_ = fresh(docs, "ord", "hash")
     grouped = _decided(docs, percent, id_col, text_col, size).where("NOT alone").select(ordered_id(F.col("doc_id")).alias(ord_), F.col("text_hash").alias(hash_), "keeper")
-    grouped = materialise(grouped, "grouped")
+    grouped = materialise(grouped, "grouped", grouped.count())
     tagged = docs.withColumns({ord_: ordered_id(F.col(id_col)), hash_: F.xxhash64(F.col(text_col))})
     met = Sieve(grouped, ord_, hash_).passes()
     kept = tagged.where(met).join(grouped.where("keeper").select(ord_, hash_), [ord_, hash_], "left_semi").dropDuplicates([ord_, hash_])
