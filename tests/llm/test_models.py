@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -255,3 +256,119 @@ def test_language_with_a_hot_id(spark, monkeypatch):
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ["aa", "bb", "cc"]
     assert [next(language_id.Predictor(model)([prose(lang, 30)]))[0] for lang in ("aa", "bb", "cc")] == ["aa", "bb", "cc"]
+
+
+def spelled(word):
+    marked = f"^{word}$"
+    return [marked[end - n : end] for end in range(2, len(marked) + 1) for n in (5, 4, 3, 2, 1) if n <= end]
+
+
+def told(rows, texts, words_kept, grams_kept):
+    """Predictions straight from the method, one word and one place at a time."""
+    languages = sorted({lang for _, lang in rows})
+    count = {lang: {} for lang in languages}
+    for text, lang in rows:
+        for w in language_id.words_of(text):
+            count[lang][w] = count[lang].get(w, 0) + 1
+    spelt = {lang: {} for lang in languages}
+    for lang in languages:
+        for w, n in count[lang].items():
+            for g in spelled(w):
+                spelt[lang][g] = spelt[lang].get(g, 0) + n
+
+    def kept(table, most):
+        every = {}
+        for lang in languages:
+            for k, n in table[lang].items():
+                every[k] = every.get(k, 0) + n
+        return set(sorted((k for k, n in every.items() if n >= 2), key=lambda k: (-every[k], k))[:most])
+
+    words, grams = kept(count, words_kept), kept(spelt, grams_kept)
+    out = []
+    for text in texts:
+        total = [0.0] * len(languages)
+        found = language_id.words_of(text)
+        for w in found:
+            if w in words:
+                part = [math.log((count[lang].get(w, 0) + 0.5) / sum(count[lang].get(x, 0) + 0.5 for x in words)) for lang in languages]
+            else:
+                marked, places = f"^{w}$", []
+                for end in range(2, len(marked) + 1):
+                    g = next((marked[end - n : end] for n in (5, 4, 3, 2, 1) if n <= end and marked[end - n : end] in grams), None)
+                    places.append([0.0] * len(languages) if g is None else [math.log((spelt[lang].get(g, 0) + 0.5) / sum(spelt[lang].get(x, 0) + 0.5 for x in grams if len(x) == len(g))) for lang in languages])
+                part = [2 * sum(p[k] for p in places) / len(places) for k in range(len(languages))]
+            total = [a + b for a, b in zip(total, part, strict=True)]
+        if not found or not languages:
+            out.append(("und", 0.0))
+            continue
+        best = max(range(len(languages)), key=lambda k: (round(total[k], 9), -k))
+        out.append((languages[best], 1 / sum(math.exp(t - total[best]) for t in total)))
+    return out
+
+
+def test_language_against_the_plain_method(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "WORDS", 40)
+    monkeypatch.setattr(language_id, "GRAMS", 150)
+    rng = random.Random(2)
+    rows = [(prose(lang := rng.choice(["aa", "bb", "cc"]), rng.randint(1, 25), rng), lang) for _ in range(60)]
+    rows += [("tie words", "aa"), ("tie words", "bb"), ("tie words", "cc")]
+    texts = [t for t, _ in rows] + ["", "12 !", "tie", "zzzz", "x", "Ünïcode thé", "the der que", prose("bb", 200, rng), "tie " * 3000]
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = list(language_id.Predictor(language_id.fit(train))(texts))
+    for text, mine, plain in zip(texts, got, told(rows, texts, 40, 150), strict=True):
+        assert mine[0] == plain[0] and mine[1] == pytest.approx(plain[1], abs=1e-6), text[:40]
+    # a tie goes to the first by name
+    assert got[texts.index("zzzz")][0] in ("aa", "bb", "cc")
+
+
+def test_language_columns_that_clash(spark, spoken):
+    named = spoken.select("doc_id", "text", "lang", spoken["n"].alias("h"), spoken["n"].alias("held_out"))
+    assert language_id.fit(named).languages == ["aa", "bb", "cc"]
+    assert language_id.predict(named, language_id.fit(named)).columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_automaton_counts_add_up():
+    """Merging moves counts but loses none: what enters a state leaves it or ends there."""
+    rng = random.Random(4)
+    strings = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(400)] + ["key-" + "".join(rng.choice("0123456789") for _ in range(8)) for _ in range(200)]
+    a = secrets.Automaton(strings)
+    entering = [len(strings)] + [0] * (len(a.next) - 1)
+    for p in range(len(a.next)):
+        assert a.ends[p] + sum(a.count[p].values()) == a.visits[p] and a.next[p].keys() == a.count[p].keys()
+        for c, q in a.next[p].items():
+            entering[q] += a.count[p][c]
+    assert entering == a.visits and sum(a.ends) == len(strings) and len(a.next) < 60
+
+
+def test_automaton_finds_the_states_of_a_known_one():
+    """Strings of a two-state source (a to the second state, b back, ends there alone) give it back, with its probabilities."""
+    rng, strings = random.Random(5), []
+    for _ in range(3000):
+        s = "a"
+        while rng.random() < 0.6:
+            s += "ba"
+        strings.append(s)
+    a = secrets.Automaton(strings)
+    assert len(a.next) == 2
+    second = a.next[0]["a"]
+    assert a.next[second] == {"b": 0} and a.ends[0] == 0 and a.ends[second] / a.visits[second] == pytest.approx(0.4, abs=0.02)
+    assert a.likelihood("ababa") > a.likelihood("abb") and a.likelihood("a") > a.likelihood("b")
+
+
+def test_learnt_spans_over_a_corpus(spark):
+    """Recall of unlabelled credentials of three labelled formats, and precision among what else looks alike."""
+    rng = random.Random(11)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    formats = [lambda: "ghp_" + some(low + up + digits, 36), lambda: f"sk-live-{some(low + digits, 24)}", lambda: "xq." + some(up + digits, 20)]
+    texts = [f"{prose('aa', 8, rng)} {rng.choice(['token', 'secret', 'api_key'])}={rng.choice(formats)()} {prose('bb', 8, rng)}" for _ in range(600)]
+    secret = [f"{prose('cc', 9, rng)} {rng.choice(formats)()} {prose('aa', 9, rng)}" for _ in range(200)]
+    plain = [f"{prose('bb', 9, rng)} {x} {prose('cc', 9, rng)}" for x in (
+        *(f"https://www.{some(low, 9)}.com/{some(low, 7)}/{some(low, 12)}.html" for _ in range(60)), *(f"{some(low, 14)}_{some(low, 12)}_{rng.randint(1, 99)}.tar.gz" for _ in range(60)),
+        *(f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T12:{rng.randint(10, 59)}:00" for _ in range(60)), *(some(digits, 19) for _ in range(60)), *(some(low, 30) for _ in range(60)),
+    )]
+    docs = spark.createDataFrame(list(enumerate(texts + secret + plain)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_learned"] for r in secrets.scan(docs).collect()}
+    hits = sum(got[i] == 1 for i in range(600, 800))
+    false = sum(got[i] for i in range(800, 800 + len(plain)))
+    assert hits >= 180 and hits / (hits + false) >= 0.95, (hits, false)
