@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vocalith.llm import exact_dedup, near_dedup, packing, quality, secrets
-from vocalith.llm.common import documents, materialise
+from vocalith.llm.common import documents, materialise, spent
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, "stage")
-    return docs
+    *stages, (_, last) = STAGES
+    for k, (_, stage) in enumerate(stages):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), "stage")
+        if k:
+            spent(before)
+    return last(spark, docs, sf_dir)
