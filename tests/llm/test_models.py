@@ -372,3 +372,12 @@ def test_learnt_spans_over_a_corpus(spark):
     hits = sum(got[i] == 1 for i in range(600, 800))
     false = sum(got[i] for i in range(800, 800 + len(plain)))
     assert hits >= 180 and hits / (hits + false) >= 0.95, (hits, false)
+
+
+def test_places_of_words_alike_either_way(spark, spoken):
+    model = language_id.fit(spoken.select("doc_id", "text", "lang"))
+    words = ["the", "x", "undzu", "éa", "ingthe漢", "a" * 300, *language_id.words_of(prose("cc", 300))]
+    fast = model._places(words)
+    model.codes = None
+    slow = model._places(words)
+    assert (fast[0] == slow[0]).all() and (fast[1] == slow[1]).all() and len(fast[0]) == sum(len(w) + 1 for w in words)

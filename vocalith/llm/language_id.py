@@ -55,6 +55,16 @@ class Model:
         self.grams, gram_logs = self._logs(grams, [len(k) for k in grams["key"]])
         self.word_logs = word_logs
         self.gram_logs = np.vstack([gram_logs, np.zeros((1, len(languages)))])  # last: not even the character is known
+        # characters as numbers from 1, so that an n-gram is one integer, if there aren't too many of them
+        letters = sorted({c for k in grams["key"] for c in k})
+        self.letters = np.array([ord(c) for c in letters], np.uint32)
+        self.bits = max(1, len(letters).bit_length())
+        self.codes = self.code_places = None
+        if self.bits * ORDERS[0] < 64:
+            number = {c: i + 1 for i, c in enumerate(letters)}
+            codes = np.array([sum(number[c] << self.bits * j for j, c in enumerate(reversed(k))) for k in grams["key"]], np.uint64)
+            self.code_places = np.argsort(codes)
+            self.codes = codes[self.code_places]
 
     def _logs(self, table: pd.DataFrame, group: list[int]) -> tuple[dict[str, int], np.ndarray]:
         counts = table[self.languages].to_numpy(np.float64) + SMOOTHING
@@ -63,14 +73,33 @@ class Model:
             counts[group == g] /= counts[group == g].sum(axis=0)
         return {k: i for i, k in enumerate(table["key"])}, np.log(counts)
 
+    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For all places of all words the number of the longest known n-gram that ends there; how many places each word has."""
+        none = len(self.gram_logs) - 1
+        if self.codes is None:
+            found = [[next((i for g in grams if (i := self.grams.get(g)) is not None), none) for grams in grams_of(word)] for word in words]
+            return np.array([i for places in found for i in places], np.int64), np.array(list(map(len, found)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        marked = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.arange(len(marked)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        number = np.minimum(np.searchsorted(self.letters, marked), max(0, len(self.letters) - 1))
+        number = np.where(self.letters[number] == marked, number + 1, 0).astype(np.uint64) if len(self.letters) else np.zeros(len(marked), np.uint64)
+        out, code, whole = np.full(len(marked), none), np.zeros(len(marked), np.uint64), np.ones(len(marked), bool)
+        for n in range(1, ORDERS[0] + 1):
+            back = np.concatenate([np.zeros(n - 1, np.uint64), number[: len(number) - n + 1]])
+            code |= back << np.uint64(self.bits * (n - 1))
+            # the n-gram lies in the word, and all its characters are known
+            whole &= (back > 0) & (at >= n - 1)
+            if n in ORDERS and len(self.codes):
+                some = np.flatnonzero(whole)
+                place = np.minimum(np.searchsorted(self.codes, code[some]), len(self.codes) - 1)
+                hit = self.codes[place] == code[some]
+                out[some[hit]] = self.code_places[place[hit]]  # a longer one takes the place of a shorter one
+        return out[at > 0], sizes - 1
+
     def unknown(self, words: list[str]) -> np.ndarray:
         """The sums of words that aren't known. Overlapping n-grams tell the same thing, so a word counts as the mean of its places times two."""
-        none, at, sizes = len(self.gram_logs) - 1, [], []
-        for word in words:
-            places = [next((i for g in grams if (i := self.grams.get(g)) is not None), none) for grams in grams_of(word)]
-            at += places
-            sizes.append(len(places))
-        sizes = np.array(sizes)
+        at, sizes = self._places(words)
         return 2 * np.add.reduceat(self.gram_logs[at], np.cumsum(sizes) - sizes) / sizes[:, None]
 
 
