@@ -2,6 +2,8 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +275,12 @@ def test_changes_without_a_time(spark, tmp_path):
         got = queries.stream_change_inserts(spark, str(tmp_path / name)).collect()
         assert sorted(map(tuple, got)) == [r[:2] for r in some if r[2] == "signup"]
         assert queries.stream_callback_interval(spark, str(tmp_path / name)).count() == 0
+
+
+def test_folder_where_the_setting_is_absent(monkeypatch):
+    """A temporary one, the same each time; a session's own setting comes first."""
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = lambda conf: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: unset))
+    monkeypatch.setattr(tables, "_own_dir", [])
+    assert tables.shared_dir(session(SimpleNamespace(get=lambda *_: "hdfs://x/y"))) == "hdfs://x/y"
+    assert Path(own := tables.shared_dir(session(unset))).is_dir() and tables.shared_dir(session(unset)) == own

@@ -13,18 +13,21 @@ from pyspark.sql.types import StructType
 from ..schemas import CHANGE, NOTIFICATION
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
     Only where it is unset (tests, one machine) a temporary folder takes its place, which
     goes when Python ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="vocalith-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return base
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="vocalith-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return _own_dir[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:
