@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from vocalith.llm import near_dedup
+from vocalith.llm import common, near_dedup
 
 
 def sets_of(text):
@@ -108,3 +108,33 @@ def test_parities_bound_the_difference():
         x, y = near_dedup.shingle_sets(texts)
         apart = sum(bin(int(a) & (1 << 64) - 1 ^ int(b) & (1 << 64) - 1).count("1") for a, b in zip(near_dedup._parities(x), near_dedup._parities(y), strict=True))
         assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rng = random.Random(17)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(120_000)]
+    edited = list(words)
+    for _ in range(1000):
+        edited[rng.randrange(len(edited))] = "edit"
+    texts = [" ".join(words), " ".join(edited), " ".join(words[:60_000]), "x" * 300_000, "x" * 300_000 + " y"]
+    docs = spark.createDataFrame([(i, t, i, "k", [1], 2, b"h") for i, t in enumerate(texts)], "doc_id long, text string, row int, key string, bands array<int>, n int, set_hash binary")
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in near_dedup.decide(docs).collect()}
+    sets, groups = brute(list(enumerate(texts)), 80)
+    assert got == {i: (min(g), len(sets[i])) for g in groups.values() for i in g}
+    kept = near_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_sieve_holds_back_none_of_its_keys(spark, monkeypatch):
+    monkeypatch.setattr(common.Sieve, "BITS", 12)
+    some, others = spark.range(0, 3000, 7), spark.range(0, 3000)
+    passed = {r["id"] for r in others.where(common.Sieve(some, "id").passes()).collect()}
+    assert set(range(0, 3000, 7)) <= passed and len(passed) < 900
+    assert others.where(common.Sieve(some.limit(0), "id").passes()).count() == 0
+
+
+def test_spent_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    rows = near_dedup.decide(spark.createDataFrame(corpus(5), "doc_id long, text string")).collect()
+    # what the result reads is left
+    assert rows and sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["known", "rows"]

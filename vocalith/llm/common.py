@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -18,26 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import delete, shared_dir
+
 T = TypeVar("T")
 
 #: Stands for a null id where rows are ordered by id: nulls come last.
 LAST = 9223372036854775807
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests, one machine) a temporary folder takes its place, which
-    goes when Python ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="vocalith-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 #: Files that a small table is written to, and rows of a file of a larger one.
 FEW_FILES, FILE_ROWS = 8, 200_000
 
@@ -46,7 +30,9 @@ def materialise(df: DataFrame, name: str, most: int | None = None, each: int = F
     """Write df as Parquet in the shared folder and read it back.
 
     most: where it is known, the rows that df has at most; it is written by one task for about
-    `each` of them then, and not by as many as its last shuffle has. Cuts the lineage: later jobs read the files, so a lost executor costs only the tasks it
+    `each` of them then, and not by as many as its last shuffle has.
+
+    Cuts the lineage: later jobs read the files, so a lost executor costs only the tasks it
     ran, and values that depend on the row order of a scan (row ids) stay what they were.
     """
     spark = df.sparkSession
@@ -66,9 +52,7 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 def spent(*tables: DataFrame) -> None:
     """Delete tables of materialise that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, _paths.pop(table))
 
 
 class Sieve:
@@ -89,10 +73,10 @@ class Sieve:
         self.keys = keys
         self.sent = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
-    @classmethod
-    def test(cls, bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def test(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Which of the keys' hashes (xxhash64) pass."""
-        bit = hashes.view(np.uint64) & np.uint64((1 << cls.BITS) - 1)
+        bit = hashes.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
         return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     def passes(self) -> Column:
