@@ -381,3 +381,14 @@ def test_places_of_words_alike_either_way(spark, spoken):
     model.codes = None
     slow = model._places(words)
     assert (fast[0] == slow[0]).all() and (fast[1] == slow[1]).all() and len(fast[0]) == sum(len(w) + 1 for w in words)
+
+
+def test_labelled_values_are_those_of_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "LABELLED", 7)
+    texts = [f"password=value{i % 60:03}x token: {hexes(30)}" for i in range(200)] + [None, "", f"secret={'long' * 60}"]
+    found = {(k, v) for t in texts for _, _, k, v in secrets.base_spans(t or "") if len(v) <= 128}
+    want = {kind: sorted(sorted((v for k, v in found if k == kind), key=lambda v: (secrets._hash(v), v))[:7]) for kind in ("assign", "hex")}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(9)
+    # workers keep as many as they always do; the last cut is the driver's
+    assert secrets.labelled(docs) == want
+    assert secrets.labelled(docs.limit(0)) == {}

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, frugal
@@ -46,6 +46,8 @@ KINDS = [*BASE, "learned"]
 #: Runs of this length are candidates even if all labelled values are longer.
 LONG = 16
 LABELLED, LONGEST, CONFIDENCE = 800, 128, 0.05
+#: Tasks that bring together what all others found.
+MERGING = 16
 #: Values whose likelihood a task remembers.
 REMEMBERED = 100_000
 #: A learnt span may be less likely than all but this share of the labelled values by this much a character.
@@ -209,35 +211,43 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode()) >> 1
 
 
+def _cut(values: dict[str, int]) -> dict[str, int]:
+    """Those of the least hashes."""
+    return dict(sorted(values.items(), key=lambda x: (x[1], x[0]))[:LABELLED])
+
+
+def _least(found: Iterator[tuple[str, str]]) -> dict[str, dict[str, int]]:
+    """Of kinds and values the distinct values of the least hashes of each kind, with their hashes."""
+    least: dict[str, dict[str, int]] = {k: {} for k in BASE}
+    for kind, value in found:
+        least[kind][value] = _hash(value)
+        if len(least[kind]) > 4 * LABELLED:
+            least[kind] = _cut(least[kind])
+    return {kind: _cut(values) for kind, values in least.items()}
+
+
 def labelled(docs: DataFrame, text_col: str = "text") -> dict[str, list[str]]:
     """Of each kind the LABELLED distinct values of the least hashes among all of at most LONGEST characters.
 
-    A task hands over no more than that of each kind, and nothing is written: values are in the clear.
+    A task hands over no more than that of each kind, and so does each of `MERGING` tasks that
+    bring these together. Nothing is written: values are in the clear.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[str, dict[str, int]] = {k: {} for k in BASE}
+    def rows(least: dict[str, dict[str, int]]) -> pa.RecordBatch:
+        pairs = [(kind, value) for kind, values in least.items() for value in values]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], ["kind", "value"])
 
-        def cut(kind: str) -> None:
-            least[kind] = dict(sorted(least[kind].items(), key=lambda x: (x[1], x[0]))[:LABELLED])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (text or "" for batch in batches for text in batch.column(0).to_pylist())
+        yield rows(_least((kind, value) for text in texts for _, _, kind, value in base_spans(text) if len(value) <= LONGEST))
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, _, kind, value in base_spans(text or ""):
-                    if len(value) <= LONGEST:
-                        least[kind][value] = _hash(value)
-                        if len(least[kind]) > 4 * LABELLED:
-                            cut(kind)
-        for kind in BASE:
-            cut(kind)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(least[kind]), pa.string()), pa.array(list(least[kind]), pa.string()), pa.array(list(least[kind].values()), pa.int64())], ["kind", "value", "h"])
-
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(run), "kind string, value string, h long").distinct()
-    out: dict[str, list[str]] = {}
-    first = Window.partitionBy("kind").orderBy("h", "value")
-    for row in found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LABELLED).collect():
-        out.setdefault(row["kind"], []).append(row["value"])
-    return {k: sorted(v) for k, v in out.items()}
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield rows(_least(pair for batch in batches for pair in zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+
+    schema = "kind string, value string"
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(find), schema)
+    merged = found.repartition(MERGING).mapInArrow(frugal(merge), schema).collect()
+    return {kind: sorted(values) for kind, values in _least((r["kind"], r["value"]) for r in merged).items() if values}
 
 
 def infer(docs: DataFrame, text_col: str = "text") -> dict[str, Automaton]:
