@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -68,7 +69,7 @@ SELECT k, id FROM t WHERE NOT live ORDER BY k
 
 #: Each byte of a token is the character of that number.
 _DECODE_SQL = """
-SELECT text, string_agg(vocabulary.bytes, '' ORDER BY k) AS bytes
+SELECT part, string_agg(vocabulary.bytes, '' ORDER BY k) AS bytes
 FROM ids JOIN vocabulary USING (id) GROUP BY 1
 """
 
@@ -101,7 +102,9 @@ class Coder:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self._any, self._latin = regex.compile(pattern).findall, re.compile(_classes(pattern)).findall
         # what is too much for memory goes where Spark's own workers spill
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": _get_local_dirs("duckdb")[0]})
+        spill = _get_local_dirs("duckdb")[0]
+        os.makedirs(os.path.dirname(spill), exist_ok=True)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill})
         self._table("merges", pair=left * (1 << 24) + right, id=merged)
         self._table("vocabulary", id=np.fromiter(ranks.values(), np.int64), bytes=[t.decode("latin-1") for t in ranks])
         self.store: dict[str, bytes] = {}
@@ -187,16 +190,17 @@ class Coder:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids."""
-        out = [b""] * len(ids)
-        for start, end in _batches(list(map(len, ids)), QUERY_ROWS):
-            sizes = np.fromiter(map(len, ids[start:end]), np.int64, end - start)
-            flat = np.concatenate(ids[start:end]).astype(np.int64)
+        # a long text's are decoded in several parts
+        parts = [(i, x[at : at + QUERY_ROWS]) for i, x in enumerate(ids) for at in range(0, len(x), QUERY_ROWS)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        for start, end in _batches([len(x) for _, x in parts], QUERY_ROWS):
+            sizes = np.fromiter((len(x) for _, x in parts[start:end]), np.int64, end - start)
+            flat = np.concatenate([x for _, x in parts[start:end]]).astype(np.int64)
             first = np.cumsum(sizes) - sizes
-            self._table("ids", text=np.repeat(np.arange(start, end), sizes), k=np.arange(len(flat)) - np.repeat(first, sizes), id=flat)
-            found = self.db.sql(_DECODE_SQL).to_arrow_table()
-            for i, text in zip(found["text"].to_pylist(), found["bytes"], strict=True):
-                out[i] = text.as_py().encode("latin-1")
-        return out
+            self._table("ids", part=np.repeat(np.arange(start, end), sizes), k=np.arange(len(flat)) - np.repeat(first, sizes), id=flat)
+            for part, text in sorted(self.db.sql(_DECODE_SQL).fetchall()):
+                out[parts[part][0]].append(text.encode("latin-1"))
+        return list(map(b"".join, out))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text its ids, as little-endian 32-bit integers."""
