@@ -94,7 +94,7 @@ _held: dict = {}
 
 
 def held(key: tuple, make: Callable[[], T]) -> T:
-    """What a worker process keeps for its later tasks: the last thing asked for, so that one operator's store goes when another needs its own."""
+    """What a worker process keeps for later tasks of the operator that key begins with; see frugal."""
     if key not in _held:
         _held.clear()
         _held[key] = make()
@@ -105,13 +105,19 @@ def held(key: tuple, make: Callable[[], T]) -> T:
 BATCH_BYTES = 4 << 20
 
 
-def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, for a session that sends it batches of few bytes, and giving freed memory back to the system when a task ends: workers are used again by other operators."""
+def frugal(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Callable[[Iterator], Iterator]:
+    """run, for a session that sends it batches of few bytes, in a worker that other operators use as well.
+
+    What others hold there goes before a task; keeps is the operator whose store stays. Freed
+    memory goes back to the system after it.
+    """
     spark, setting = SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(setting) == "67108864b":  # the default
         spark.conf.set(setting, f"{BATCH_BYTES}b")
 
     def task(batches: Iterator) -> Iterator:
+        for key in [k for k in _held if k[0] != keeps]:
+            del _held[key]
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, path: str, closing_id: int = 0, capacity: int = CAPA
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run, "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 class Plan:
@@ -281,7 +281,7 @@ def pack(docs: DataFrame, path: str, closing_id: int = 0, capacity: int = CAPACI
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[at] + k // each[at]), pa.array(offset[at] + k % each[at] * n)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     # lengths x tasks rows, which grow with the input: no broadcast
-    return rows.join(firsts.hint("merge"), ["length", "task"]).mapInArrow(frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.join(firsts.hint("merge"), ["length", "task"]).mapInArrow(frugal(place, "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
