@@ -183,6 +183,15 @@ def test_merged_objects(spark, tmp_path):
     assert got["y"]["length"] is None and "audio/none" in got["y"]["merge_error"]
 
 
+def test_remuxing_by_a_program(tmp_path):
+    program = tmp_path / "concat"
+    program.write_text("#!/bin/sh\nfor f in $(sed \"s/file '//; s/'$//\" \"$6\"); do cat $f; done > \"$9\"\n")
+    program.chmod(0o755)
+    assert providers.remuxing(str(program))([b"1", b"22", b"3"]) == b"1223"
+    with pytest.raises(FileNotFoundError):
+        providers.remuxing(str(tmp_path / "none"))([b"1"])
+
+
 def test_listening(spark, tmp_path):
     (tmp_path / "in").mkdir()
     note = lambda key, event="ObjectCreated:Put": json.dumps({"eventName": event, "s3": {"bucket": {"name": "b"}, "object": {"key": key}}})

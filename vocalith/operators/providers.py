@@ -2,14 +2,18 @@
 
 A provider turns columns into a column. `called_translation` and `called_synthesis` make one
 of a function that calls a service, with the step's retries around each call; Spark retries
-whole tasks. The stand-ins translate nothing, synthesise nothing and merge no audio.
+whole tasks. `remuxing` merges audio by a program. The stand-ins translate nothing, synthesise
+nothing and only join bytes.
 """
 
 from __future__ import annotations
 
+import subprocess
+import tempfile
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,6 +72,25 @@ def called_synthesis(call: Callable[[str, str, str], tuple[str, str]], retry: Re
     return lambda ssml, code, voice: F.struct(start(ssml, code, voice).alias("SynthesisTask"))
 
 
+def remuxing(program: str = "ffmpeg", suffix: str = ".mp3", seconds: float = 10) -> Merger:
+    """A merger that has a program concatenate the parts without encoding them anew, as one container.
+
+    The program reads a list of files, so the parts lie in a folder of the task's own during the call.
+    """
+
+    def merge(parts: list[bytes]) -> bytes:
+        with tempfile.TemporaryDirectory() as folder:
+            names = [Path(folder, f"{i}{suffix}") for i in range(len(parts))]
+            for name, part in zip(names, parts, strict=True):
+                name.write_bytes(part)
+            listed, merged = Path(folder, "list.txt"), Path(folder, f"merged{suffix}")
+            listed.write_text("\n".join(f"file '{name}'" for name in names))
+            subprocess.run([program, "-f", "concat", "-safe", "0", "-i", str(listed), "-c", "copy", str(merged)], check=True, capture_output=True, timeout=seconds)
+            return merged.read_bytes()
+
+    return merge
+
+
 def joined_bytes(parts: list[bytes]) -> bytes:
     """Stands for a merge: the parts one after the other; containers aren't remuxed."""
     return b"".join(parts)
