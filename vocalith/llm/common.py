@@ -26,11 +26,13 @@ LAST = 9223372036854775807
 FEW_FILES, FILE_ROWS = 8, 200_000
 
 
-def materialise(df: DataFrame, name: str, most: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+def materialise(df: DataFrame, name: str, most: int | None = None, each: int = FILE_ROWS, picked: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    most: where it is known, the rows that df has at most; it is written by one task for about
-    `each` of them then, and not by as many as its last shuffle has.
+    most: where it is known, the rows that df has at most; a small df is written by one task for
+    about `each` of them then, and not by as many as its last shuffle has.
+    picked: df's last stage may read far more rows than it gives, so it keeps its tasks and only
+    what it gives is dealt out anew.
 
     Cuts the lineage: later jobs read the files, so a lost executor costs only the tasks it
     ran, and values that depend on the row order of a scan (row ids) stay what they were.
@@ -38,7 +40,9 @@ def materialise(df: DataFrame, name: str, most: int | None = None, each: int = F
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if most is not None:
-        df = df.coalesce(max(FEW_FILES, -(-most // each)))
+        files = max(FEW_FILES, -(-most // each))
+        if files < partitions(spark):
+            df = df.repartition(files) if picked else df.coalesce(files)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

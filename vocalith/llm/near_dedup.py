@@ -186,7 +186,7 @@ def _prune(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 def _texts(needed: DataFrame, most: int, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, text and crowd of the needed rows (row, crowd), by (id, hash of the text). A sieve of these keeps all other texts out of the shuffle."""
-    keys = materialise(needed.join(rows, "row").select("row", "crowd", ordered_id(F.col("doc_id")).alias("ord"), "text_hash"), "keys", most)
+    keys = materialise(needed.join(rows, "row").select("row", "crowd", ordered_id(F.col("doc_id")).alias("ord"), "text_hash"), "keys", most, picked=True)
     sent = Sieve(keys, "ord", "text_hash").sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def _members(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, rows = buckets.agg(F.sum(F.when(F.col("size") == 2, 1)), F.sum(F.when(F.col("size") > 2, F.col("size")))).first()
     two = materialise(buckets.where("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).distinct(), "two", pairs or 0)
     more = buckets.where("size > 2").drop("last")
-    members = materialise(keyed.where(Sieve(more, "key").passes()).join(more, "key"), "members", rows or 0)
+    members = materialise(keyed.where(Sieve(more, "key").passes()).join(more, "key"), "members", rows or 0, picked=True)
     spent(buckets)
     return two, members
 
@@ -360,7 +360,7 @@ def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_
     # from here on only rows that share a bucket count: their signatures, and the texts of those that aren't ruled out, are fetched once
     in_buckets = materialise(crowd.unionByName(paired).distinct(), "rows", members.count() + 2 * few.count())
     rows_in = in_buckets.count()
-    signs = materialise(rows.select("row", "n", "sign", "parities").where(Sieve(in_buckets, "row").passes()).join(in_buckets, "row"), "signs", rows_in)
+    signs = materialise(rows.select("row", "n", "sign", "parities").where(Sieve(in_buckets, "row").passes()).join(in_buckets, "row"), "signs", rows_in, picked=True)
     likely = materialise(_prune(few, signs, percent), "likely", few.count(), PAIRS_EACH)
     ends = likely.select(F.explode(F.array("a", "b")).alias("row"), F.lit(False).alias("crowd"))
     needed = crowd.withColumn("crowd", F.lit(True)).unionByName(ends).groupBy("row").agg(F.max("crowd").alias("crowd"))
@@ -416,7 +416,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     """
     ord_, hash_ = fresh(docs, "ord", "hash")
     grouped = _decided(docs, percent, id_col, text_col, size).where("NOT alone").select(ordered_id(F.col("doc_id")).alias(ord_), F.col("text_hash").alias(hash_), "keeper")
-    grouped = materialise(grouped, "grouped", grouped.count())
+    grouped = materialise(grouped, "grouped", grouped.count(), picked=True)
     tagged = docs.withColumns({ord_: ordered_id(F.col(id_col)), hash_: F.xxhash64(F.col(text_col))})
     met = Sieve(grouped, ord_, hash_).passes()
     kept = tagged.where(met).join(grouped.where("keeper").select(ord_, hash_), [ord_, hash_], "left_semi").dropDuplicates([ord_, hash_])
