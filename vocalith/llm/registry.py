@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, licences, near_dedup, neighbours, packing, quality, secrets, sharding
+from . import byte_bpe, exact_dedup, fuzzy_dedup, language_id, licences, near_dedup, neighbours, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1_quality_cotraining,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_nearest_neighbours": neighbours.op10_nearest_neighbours,
+    "op11_simhash_near_dedup": fuzzy_dedup.op11_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
