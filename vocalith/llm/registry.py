@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, fuzzy_dedup, language_id, licences, near_dedup, neighbours, packing, quality, secrets, sharding
+from . import byte_bpe, exact_dedup, fuzzy_dedup, language_id, licences, near_dedup, neighbours, packing, quality, secrets, sharding, vector_codes
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1_quality_cotraining,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_nearest_neighbours": neighbours.op10_nearest_neighbours,
     "op11_simhash_near_dedup": fuzzy_dedup.op11_simhash_near_dedup,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 ORACLE_SQL = {
     "op4_license_scan": licences.sql(),
     "op8_exact_dedup": exact_dedup.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
