@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, fuzzy_dedup, language_id, licences, near_dedup, neighbours, packing, quality, secrets, sharding, vector_codes
+from . import byte_bpe, exact_dedup, fuzzy_dedup, language_id, licences, near_dedup, neighbours, packing, periodic_runs, quality, secrets, sharding, vector_codes
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1_quality_cotraining,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_nearest_neighbours": neighbours.op10_nearest_neighbours,
     "op11_simhash_near_dedup": fuzzy_dedup.op11_simhash_near_dedup,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
