@@ -85,14 +85,15 @@ def _needed(lag: int) -> int:
 
 def _likely(ids: np.ndarray, low: int, high: int) -> Iterator[int]:
     """The lags of [low, high) that have four equal places in a row among multiples of a step; all lags with a run are among them."""
-    n = len(ids)
+    n, width = len(ids), ids.itemsize
+    # beyond the text nothing is equal
+    padded = np.concatenate((ids, np.full(high, -1, ids.dtype)))
     while low < high:
         step = max(1, min(_needed(low), _needed(min(high, 2 * low) - 1)) // 4)
         at = ids[: n - low : step]
         top = min(high, 2 * low, low + max(1, _CELLS // len(at)))
-        # beyond the text nothing is equal
-        padded = np.concatenate((ids, np.full(top - low + step, -1, np.int32)))
-        shifted = np.lib.stride_tricks.as_strided(padded[low:], (len(at), top - low), (step * ids.itemsize, ids.itemsize), writeable=False)
+        # a row for each multiple of the step, a column for each lag
+        shifted = np.ndarray((len(at), top - low), ids.dtype, padded, low * width, (step * width, width))
         equal = shifted == at[:, None]
         if len(at) >= 4:
             found = (equal[:-3] & equal[1:-2] & equal[2:-1] & equal[3:]).any(axis=0)
@@ -108,18 +109,13 @@ def scan(ids: np.ndarray, low: int = 1, high: int | None = None) -> list[tuple[i
         needed = _needed(lag)
         equal = ids[lag:] == ids[:-lag]
         turns = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
-        starts, ends = turns[::2], turns[1::2]
-        for start, end in zip(starts.tolist(), ends.tolist(), strict=True) if len(starts) == 1 else _long(starts, ends, needed):
-            if end - start >= needed and not any(_has_period(ids, start, end + lag, lag // r) for r in _primes(lag)):
+        stretches = turns.reshape(-1, 2)
+        for start, end in stretches[stretches[:, 1] - stretches[:, 0] >= needed].tolist():
+            if not any(_has_period(ids, start, end + lag, lag // r) for r in _primes(lag)):
                 out.append((start, end - start + lag, lag))
     return out
 
 
-def _long(starts: np.ndarray, ends: np.ndarray, needed: int) -> list[tuple[int, int]]:
-    keep = ends - starts >= needed
-    return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
-
-
 def _has_period(ids: np.ndarray, start: int, end: int, period: int) -> bool:
     return np.array_equal(ids[start : end - period], ids[start + period : end])
 
