@@ -1 +1,5 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""The driver's queries and their SQL: importing the package registers them all."""
+
+from . import queries, stateful
+
+__all__ = ["queries", "stateful"]

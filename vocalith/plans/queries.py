@@ -11,14 +11,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.languages import CODES
 from ..operators import callbacks, catalog, manifest, plan, providers
 from ..sources import pages as site
-from ..sources.tables import delete, drain, notifications, shared_dir, stream, table
+from ..sources.tables import delete, drain, feed, notifications, shared_dir, stream, table
 from ..streaming.flows import instant, once, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ _GROUP_ROWS = f"SELECT doc_id, unnest(range(1, len(g) + 1))::INT AS group_no, un
 _ESCAPE = "replace(replace(replace(replace(replace({0}, '\"', '&quot;'), '&', '&amp;'), '''', '&apos;'), '<', '&lt;'), '>', '&gt;')"
 _TITLE = "string_split(coalesce(text, ''), chr(10))[1]"
 _LANGUAGES = "(VALUES ('en-US', 'Matthew', 'en'), ('es-US', 'Pedro', 'es'), ('fr-FR', 'Remi', 'fr'), ('de-DE', 'Daniel', 'de'), ('pt-BR', 'Thiago', 'pt')) l(code, voice, translate)"
-_CODE_OF = "CASE lang WHEN 'en' THEN 'en-US' WHEN 'es' THEN 'es-US' WHEN 'fr' THEN 'fr-FR' WHEN 'de' THEN 'de-DE' WHEN 'pt' THEN 'pt-BR' END"
+CODE_OF = "CASE lang WHEN 'en' THEN 'en-US' WHEN 'es' THEN 'es-US' WHEN 'fr' THEN 'fr-FR' WHEN 'de' THEN 'de-DE' WHEN 'pt' THEN 'pt-BR' END"
 
 
 @query("SELECT doc_id, unnest(range(1, len(p) + 1))::INT AS pos, '<p>' || unnest(p) || '</p>' AS paragraph FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)")
@@ -109,7 +109,7 @@ def _notifications(events: DataFrame) -> DataFrame:
     key = F.concat(F.when(F.col("event_id") % 2 == 0, "audio/").otherwise("full/"), F.col("user_id").cast("string"), F.lit("%20.mp3"))
     s3 = F.struct(F.struct(F.lit(BUCKET).alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object"))
     name = F.when(F.col("event_type") == "purchase", "ObjectCreated:Put").otherwise("ObjectCreated:Copy")
-    return events.select("event_id", name.alias("eventName"), s3.alias("s3"))
+    return events.select(*[c for c in ("event_id", "slot") if c in events.columns], name.alias("eventName"), s3.alias("s3"))
 
 
 @query("SELECT event_id, 'https://s3.us-east-1.amazonaws.com/bucket/audio/' || user_id || '%20.mp3' AS url FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0")
@@ -240,28 +240,34 @@ def callback_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callbacks.match_within(*_two(table(spark, sf_dir, "events")), "user_id", "task_ts", "ts").select("task_id", "event_id")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame], feed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The rows of a stream over the events in order of time, five files, one a trigger; those without a time are in the first.
+def fifth(events: DataFrame) -> Column:
+    """In which fifth of the events' time one is, from 0; 0 without a time."""
+    micros = F.unix_micros(instant("ts"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    return F.lit(0) if low is None else F.coalesce(sum(((micros >= low + (high - low) * k // 5).cast("int") for k in range(1, 5)), F.lit(0)), F.lit(0))
 
-    feed makes of the events records of a JSON feed, in place of Parquet.
-    """
+
+def replayed(rows: DataFrame, slots: int, change: Callable[[str, int], DataFrame], format: str = "parquet", run: Callable[[DataFrame, str, str], object] = drain) -> DataFrame:
+    """What a stream makes of rows that come slot by slot. change: given a folder and the files of a batch."""
+    spark = rows.sparkSession
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events")
-    days = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    untimed = F.col("ts").isNull()
-    for k in range(5 if days.low is not None else 1):
-        part = events.where(untimed)
-        if days.low is not None:
-            low, high = (days.low + (days.high - days.low) * x / 5 for x in (k, k + 1))
-            timed = (F.col("ts") >= F.lit(low)) & ((F.col("ts") <= F.lit(high)) if k == 4 else (F.col("ts") < F.lit(high)))
-            part = events.where(timed | untimed if k == 0 else timed)
-        writer = (part if feed is None else feed(part)).coalesce(1).write.mode("append")
-        writer.parquet(f"{path}/in") if feed is None else writer.json(f"{path}/in")
-    rows = change(stream(spark, f"{path}/in", events.schema, "parquet", files_per_trigger=1) if feed is None else notifications(spark, f"{path}/in", 1))
-    drain(rows, f"{path}/out", f"{path}/checkpoint")
+    out = change(f"{path}/in", feed(rows, slots, f"{path}/in", format))
+    run(out, f"{path}/out", f"{path}/checkpoint")
     delete(spark, f"{path}/in")
     delete(spark, f"{path}/checkpoint")
-    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame], records: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of a stream over the events, a fifth of their time in each batch.
+
+    records makes of the events those of a JSON feed of notifications, in place of Parquet.
+    """
+    events = table(spark, sf_dir, "events")
+    slotted = events.withColumn("slot", fifth(events))
+    if records:
+        return replayed(records(slotted), 5, lambda path, files: change(notifications(spark, path, files)), "json")
+    return replayed(slotted, 5, lambda path, files: change(stream(spark, path, events.schema, "parquet", files)))
 
 
 @query(_WITHIN.format(7200))
@@ -280,7 +286,7 @@ def stream_change_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, change)
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as writes: signup puts, error deletes, the others update a column each."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("uuid"), "event_type", F.col("event_id").alias("seq"), instant("ts").alias("at"), F.col("event_id").cast("string").alias("title"), F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("url"))
     of = lambda kind: e.where(F.col("event_type") == kind)
@@ -300,7 +306,7 @@ SELECT user_id AS uuid, arg_max(CASE event_type WHEN 'signup' THEN 'PENDING' WHE
 FROM e GROUP BY 1 HAVING bool_or(event_type <> 'error')
 """)
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = catalog.current_state(_log(spark, sf_dir))
+    state = catalog.current_state(log(spark, sf_dir))
     return state.select("uuid", "article_status", "title", F.col("outputs")["en-US"]["url"].alias("en_url"), T.iso_time(F.col("createdAt")).alias("created_at"), T.iso_time(F.col("updatedAt")).alias("updated_at"))
 
 
@@ -315,27 +321,27 @@ def iso_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.iso_time(instant("ts")).alias("iso"))
 
 
-def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as finished merges: source the article, language the code."""
     code = F.element_at(F.create_map([F.lit(x) for c in CODES for x in (c[:2], c)]), F.col("lang"))
     rows = articles(spark, sf_dir).where("lang IS NOT NULL AND source IS NOT NULL")
     return rows.select(F.col("source").alias("uuid"), code.alias("language"), T.object_url(F.lit(BUCKET), F.concat(F.lit("full/"), F.col("uuid").cast("string"))).alias("output_url"), F.col("uuid").alias("seq"))
 
 
-@query(f"SELECT source, {_CODE_OF} AS code, 'https://s3.us-east-1.amazonaws.com/bucket/full/' || max(doc_id) AS url FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
+@query(f"SELECT source, {CODE_OF} AS code, 'https://s3.us-east-1.amazonaws.com/bucket/full/' || max(doc_id) AS url FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
 def outputs_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = manifest.outputs(_finished(spark, sf_dir), "seq")
+    have = manifest.outputs(finished(spark, sf_dir), "seq")
     return have.select(F.col("uuid").alias("source"), F.explode("outputs").alias("code", "o")).select("source", "code", F.col("o.url").alias("url"))
 
 
-@query(f"SELECT source, 5 - count(DISTINCT {_CODE_OF})::INT AS n_missing, count(DISTINCT {_CODE_OF}) = 5 AS complete, bool_or(lang = 'en') AS has_english FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+@query(f"SELECT source, 5 - count(DISTINCT {CODE_OF})::INT AS n_missing, count(DISTINCT {CODE_OF}) = 5 AS complete, bool_or(lang = 'en') AS has_english FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")
 def languages_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = manifest.outputs(_finished(spark, sf_dir), "seq")
+    have = manifest.outputs(finished(spark, sf_dir), "seq")
     outputs = F.col("outputs")
     return have.select(F.col("uuid").alias("source"), T.missing_languages(outputs, CODES).alias("n_missing"), T.all_languages(outputs, CODES).alias("complete"), T.languages_present(outputs, F.lit("en-US"), CODES).alias("has_english"))
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     place = (F.row_number().over(_turns()) - 1).alias("place")
     url = T.object_url(F.lit(BUCKET), F.concat(F.lit("audio/"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit(".mp3")))
@@ -348,18 +354,18 @@ def _turns():
     return Window.partitionBy("conv_id").orderBy("turn", "role", "text")
 
 
-_ORDER = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations)"
+ORDER = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations)"
 
 
-@query(f"SELECT conv_id, string_agg('file ''' || conv_id || '.' || turn || '.mp3''', chr(10) ORDER BY n) AS manifest FROM {_ORDER} GROUP BY 1")
+@query(f"SELECT conv_id, string_agg('file ''' || conv_id || '.' || turn || '.mp3''', chr(10) ORDER BY n) AS manifest FROM {ORDER} GROUP BY 1")
 def merge_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merges = manifest.keys(manifest.assemble(_segments(spark, sf_dir)), BUCKET)
+    merges = manifest.keys(manifest.assemble(segments(spark, sf_dir)), BUCKET)
     return merges.select(F.col("uuid").alias("conv_id"), manifest.file_list(F.col("inputs")).alias("manifest"))
 
 
-@query(f"SELECT conv_id, md5(string_agg(coalesce(text, ''), '' ORDER BY n)) AS content_md5 FROM {_ORDER} GROUP BY 1")
+@query(f"SELECT conv_id, md5(string_agg(coalesce(text, ''), '' ORDER BY n)) AS content_md5 FROM {ORDER} GROUP BY 1")
 def merge_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.concatenated(_segments(spark, sf_dir)).select(F.col("uuid").alias("conv_id"), F.md5("content").alias("content_md5"))
+    return manifest.concatenated(segments(spark, sf_dir)).select(F.col("uuid").alias("conv_id"), F.md5("content").alias("content_md5"))
 
 
 @query(f"""
@@ -368,11 +374,11 @@ SELECT conv_id, 'full/' || conv_id || '-en-US.mp3' AS output_key, conv_id % 7 <>
 FROM (SELECT DISTINCT conv_id FROM conversations)
 """)
 def merge_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = manifest.finish(manifest.assemble(_segments(spark, sf_dir)), BUCKET, F.when(F.col("uuid") % 7 == 0, "no disk"))
+    done = manifest.finish(manifest.assemble(segments(spark, sf_dir)), BUCKET, F.when(F.col("uuid") % 7 == 0, "no disk"))
     return done.select(F.col("uuid").alias("conv_id"), "output_key", "succeeded", "error", "output")
 
 
-@query(f"SELECT conv_id, string_agg(text, chr(10) ORDER BY n) AS text FROM {_ORDER} GROUP BY 1")
+@query(f"SELECT conv_id, string_agg(text, chr(10) ORDER BY n) AS text FROM {ORDER} GROUP BY 1")
 def thread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "text", F.struct("turn", "role", "text").alias("place"))
     return manifest.ordered_text(c, "conv_id", "place", "text")
@@ -497,10 +503,10 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT conv_id, 'https://s3.us-east-1.amazonaws.com/bucket/audio/' || conv_id || '.' || arg_min(turn, n) || '.mp3' AS title, count(*) - 1 AS n_text, 'token-' || conv_id AS token,
        '{{"uuid":' || conv_id || ',"outputs":{{"de-DE":{{"url":"old"}},"en-US":{{"url":"https://s3.us-east-1.amazonaws.com/bucket/full/' || conv_id || '-en-US.mp3"}}}}}}' AS output
-FROM {_ORDER} GROUP BY conv_id
+FROM {ORDER} GROUP BY conv_id
 """)
 def merge_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = manifest.payloads(manifest.assemble(_segments(spark, sf_dir)), F.concat(F.lit("token-"), F.col("uuid").cast("string")))
+    sent = manifest.payloads(manifest.assemble(segments(spark, sf_dir)), F.concat(F.lit("token-"), F.col("uuid").cast("string")))
     had = F.create_map(*[x for code in ("de-DE", "en-US") for x in (F.lit(code), F.struct(F.lit("old").alias("url")))])
     done = manifest.finish(sent.withColumn("outputs", had), BUCKET)
     return done.select(F.col("uuid").alias("conv_id"), "title", F.size("text").cast("long").alias("n_text"), "token", "output")

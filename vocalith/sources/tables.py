@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -63,6 +64,21 @@ def notifications(spark: SparkSession, path: str, files_per_trigger: int | None
     return stream(spark, path, NOTIFICATION, files_per_trigger=files_per_trigger)
 
 
+#: Rows of a file of a feed.
+FEED_ROWS = 500_000
+
+
+def feed(rows: DataFrame, slots: int, path: str, format: str = "parquet", each: int = FEED_ROWS) -> int:
+    """Write rows to a folder in the order of their `slot` (0 to slots - 1), for what is replayed as a stream.
+
+    Returns how many files each slot has, so that so many a trigger give a batch for each.
+    """
+    files = max(1, rows.count() // (slots * each))
+    for k in range(slots):
+        rows.where(F.col("slot") == k).drop("slot").repartition(files).write.mode("append").format(format).save(path)
+    return files
+
+
 def append(rows: DataFrame, path: str, *partition_by: str) -> None:
     """Add rows to a Parquet log."""
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
