@@ -74,20 +74,42 @@ def write_log(writes: Iterable[DataFrame]) -> DataFrame:
     return first
 
 
-def current_state(log: DataFrame, key: str = "uuid") -> DataFrame:
-    """A row for each key that exists, with the log's columns but op and seq.
+_BEFORE_ALL = -(1 << 63)
 
-    Writes of one key need seqs of their own: of two that set a column with the same seq either may win.
+
+def partial_state(log: DataFrame, key: str = "uuid") -> DataFrame:
+    """A row for each key of the log: of its last put or delete `_reset` (the seq) and `_op`, of its last update `_update`, and of each column the last seq and value that was set.
+
+    Such rows of several parts of a log, merged, are those of all of it.
     """
     columns = [c for c in log.columns if c not in (key, "op", "seq")]
     resets = F.col("op") != "update"
-    last = {c: F.max_by(F.struct("seq", c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{i}") for i, c in enumerate(columns)}
-    state = log.where(T.present(F.col(key).cast("string"))).groupBy(key).agg(
-        F.max(F.when(resets, F.col("seq"))).alias("_reset"), F.max_by("op", F.when(resets, F.col("seq"))).alias("_op"), F.max(F.when(~resets, F.col("seq"))).alias("_update"), *last.values()
+    last = [F.max_by(F.struct("seq", F.col(c).alias("value")), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in columns]
+    return log.where(T.present(F.col(key).cast("string"))).groupBy(key).agg(
+        F.max(F.when(resets, F.col("seq"))).alias("_reset"), F.max_by("op", F.when(resets, F.col("seq"))).alias("_op"), F.max(F.when(~resets, F.col("seq"))).alias("_update"), *last
     )
-    start = F.coalesce("_reset", F.lit(-(1 << 63)).cast("long"))
-    alive = F.coalesce(F.col("_op") == "put", F.lit(True)) | (F.coalesce("_update", F.lit(-(1 << 63)).cast("long")) > start)
-    return state.where(alive).select(key, *[F.when(F.col(f"_{i}.seq") >= start, F.col(f"_{i}.{c}")).alias(c) for i, c in enumerate(columns)])
+
+
+def merge_states(states: DataFrame, key: str = "uuid") -> DataFrame:
+    """Partial states, several of a key, to one a key."""
+    columns = [c for c in states.columns if c not in (key, "_reset", "_op", "_update")]
+    return states.groupBy(key).agg(F.max("_reset").alias("_reset"), F.max_by("_op", "_reset").alias("_op"), F.max("_update").alias("_update"), *[F.max_by(c, F.col(c)["seq"]).alias(c) for c in columns])
+
+
+def present_state(states: DataFrame, key: str = "uuid") -> DataFrame:
+    """A row for each key that exists, of partial states with one row a key."""
+    columns = [c for c in states.columns if c not in (key, "_reset", "_op", "_update")]
+    start = F.coalesce("_reset", F.lit(_BEFORE_ALL).cast("long"))
+    alive = F.coalesce(F.col("_op") == "put", F.lit(True)) | (F.coalesce("_update", F.lit(_BEFORE_ALL).cast("long")) > start)
+    return states.where(alive).select(key, *[F.when(F.col(c)["seq"] >= start, F.col(c)["value"]).alias(c) for c in columns])
+
+
+def current_state(log: DataFrame, key: str = "uuid") -> DataFrame:
+    """A row for each key that exists, with the log's columns but op and seq.
+
+    Writes of one key need seqs of their own: of two that set a column with the same seq either may win.
+    """
+    return present_state(partial_state(log, key), key)
 
 
 def unexpired(tasks: DataFrame, now: Column) -> DataFrame:

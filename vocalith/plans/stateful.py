@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..functions import text as T
 from ..functions.languages import CODES
-from ..operators import manifest
-from ..sources.tables import stream, table
+from ..operators import catalog, manifest
+from ..operators.items import Items
+from ..sources.tables import shared_dir, stream, table
 from ..streaming import state
 from ..streaming.flows import instant
-from .queries import BUCKET, CODE_OF, ORDER, fifth, finished, query, replayed, segments
+from .queries import BUCKET, CODE_OF, ORDER, SQL, fifth, finished, log, query, replayed, segments
 
 #: A time after all events, which moves the watermark past them.
 _END = "2100-01-01 00:00:00"
@@ -58,3 +63,30 @@ def stream_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = tuple(c for c in CODES if c != "pt-BR")
     rows = finished(spark, sf_dir).select("uuid", "language", F.pmod(F.xxhash64("seq"), F.lit(5)).cast("int").alias("slot"))
     return replayed(rows, 5, lambda path, files: state.completed(stream(spark, path, rows.drop("slot").schema, "parquet", files), codes), run=state.started)
+
+
+def _items(spark: SparkSession, columns: str) -> Items:
+    return Items(spark, f"{shared_dir(spark)}/items-{uuid.uuid4().hex}", columns, buckets=4)
+
+
+@query(SQL["latest_state"])
+def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The writes come in three batches in any order; each rewrites the buckets of its keys."""
+    items = _items(spark, schemas.CONTENT_COLUMNS)
+    writes = log(spark, sf_dir).withColumn("uuid", F.col("uuid").cast("string"))
+    for k in range(3):
+        items.write(writes.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == k))
+    state_ = items.state()
+    return state_.select(F.col("uuid").cast("long").alias("uuid"), "article_status", "title", F.col("outputs")["en-US"]["url"].alias("en_url"), T.iso_time(F.col("createdAt")).alias("created_at"), T.iso_time(F.col("updatedAt")).alias("updated_at"))
+
+
+@query("SELECT min(page_id) AS page_id, url FROM pages WHERE page_id % 5 <> 0 AND url IN (SELECT url FROM pages WHERE page_id % 9 = 0) GROUP BY url")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are put by a batch, and every fifth is deleted by another; the index of URLs answers for the URLs of every ninth."""
+    items = _items(spark, "url string, createdAt timestamp, article_status string, updatedAt timestamp")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("uuid"), "url", "page_id")
+    at = F.timestamp_seconds(F.col("page_id"))
+    items.write(catalog.create_content(pages, at))
+    items.write(catalog.delete(pages.where("page_id % 5 = 0").withColumn("seq", F.lit(1 << 60)), at))
+    found = items.first_by_url(pages.where("page_id % 9 = 0"))
+    return found.select(F.col("uuid").cast("long").alias("page_id"), "url")

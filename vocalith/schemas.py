@@ -7,6 +7,8 @@ LANGUAGE = f"code string NOT NULL, items {VOICES}, translate string NOT NULL"
 OUTPUTS = "map<string, struct<url: string>>"
 CONTENT = f"uuid string NOT NULL, url string, article_status string, title string, outputs {OUTPUTS}, article_id string, type string, language string, createdAt timestamp, updatedAt timestamp"
 TASK = "uuid string NOT NULL, url string, token string, ttl bigint, task_status string, createdAt timestamp, updatedAt timestamp"
+#: Columns of kept articles and tasks but their key.
+CONTENT_COLUMNS, TASK_COLUMNS = (x.partition(", ")[2] for x in (CONTENT, TASK))
 ARTICLE = "uuid string NOT NULL, url string, title string, byline string, text string"
 REQUEST = "contentId string, href string, language string"
 HTTP_EVENT = "httpMethod string, pathParameters struct<contentId: string>, body string"

@@ -37,6 +37,18 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of a folder's folders; none where it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(at) if f.isDirectory()) if system.exists(at) else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table: filters and columns reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

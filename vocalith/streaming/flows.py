@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import TTL_SECONDS
 from ..operators.callbacks import inserted, match, match_within, put_urls, success, unmatched
+from ..operators.catalog import update_task_status
+from ..operators.items import Items
 from ..operators.plan import fan_out, prepare, translate
 from ..sources.pages import Selectors, extract, fetch, split_failures
 
@@ -67,9 +69,36 @@ def listen(notifications: DataFrame, tasks: Callable[[], DataFrame], checkpoint:
     """
 
     def act(batch: DataFrame, number: int) -> None:
-        urls, waiting = put_urls(batch).dropDuplicates(["url"]), tasks()
+        # both are read twice
+        urls, waiting = put_urls(batch).dropDuplicates(["url"]).persist(), tasks().persist()
         write_callbacks(success(match(urls, waiting)), number)
         write_unmatched(unmatched(urls, waiting), number)
+        urls.unpersist()
+        waiting.unpersist()
+
+    query = notifications.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def answer(notifications: DataFrame, tasks: Items, checkpoint: str, write_callbacks: Callable[[DataFrame, int], None], write_unmatched: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """As `listen`, with tasks kept as a snapshot: a batch reads the buckets of its URLs and tasks, and what it resolves is written back as delivered.
+
+    A batch that runs again writes the same: its updates have the seqs of their tasks' writes, plus one.
+    """
+
+    def act(batch: DataFrame, number: int) -> None:
+        urls = put_urls(batch).dropDuplicates(["url"]).persist()
+        found = tasks.first_by_url(urls)
+        first = found.select("uuid").join(tasks.lookup(found), "uuid").persist()
+        matched = match(urls, first)
+        write_callbacks(success(matched), number)
+        write_unmatched(unmatched(urls, first), number)
+        delivered = matched.select(F.col("task_uuid").alias("uuid")).join(first.select("uuid", "updatedAt"), "uuid")
+        at = F.timestamp_micros(F.unix_micros("updatedAt") + 1)
+        tasks.write(update_task_status(delivered.where("updatedAt IS NOT NULL"), "DELIVERED", at))
+        urls.unpersist()
+        first.unpersist()
 
     query = notifications.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
