@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import signing, typed
 from ..functions import text as T
 from ..functions.languages import CODES
 from ..operators import catalog, manifest
 from ..operators.items import Items
+from ..sources import expiring
 from ..sources.tables import shared_dir, stream, table
 from ..streaming import state
 from ..streaming.flows import instant
-from .queries import BUCKET, CODE_OF, ORDER, SQL, fifth, finished, log, query, replayed, segments
+from .queries import BUCKET, CODE_OF, NOW, ORDER, SQL, fifth, finished, log, query, replayed, segments
 
 #: A time after all events, which moves the watermark past them.
 _END = "2100-01-01 00:00:00"
@@ -90,3 +92,73 @@ def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     items.write(catalog.delete(pages.where("page_id % 5 = 0").withColumn("seq", F.lit(1 << 60)), at))
     found = items.first_by_url(pages.where("page_id % 9 = 0"))
     return found.select(F.col("uuid").cast("long").alias("page_id"), "url")
+
+
+@query(SQL["ttl_expired"])
+def expiring_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events are tasks laid out by when they expire, a slot a day; slots that are over are dropped, and those that live are read."""
+    path = f"{shared_dir(spark)}/tasks-{uuid.uuid4().hex}"
+    tasks = table(spark, sf_dir, "events").select("event_id", T.ttl(instant("ts")).alias("ttl"))
+    now = int(spark.range(1).select(F.unix_timestamp(F.lit(NOW).cast("timestamp"))).first()[0])
+    expiring.add(tasks, path, _DAY)
+    expiring.expire(spark, path, now, _DAY)
+    live = expiring.live(spark, path, "event_id bigint, ttl bigint", now, _DAY).select("event_id", F.lit(False).alias("expired"))
+    expired = F.when(F.col("ttl").isNotNull(), F.coalesce("expired", F.lit(True)))
+    return tasks.join(live, "event_id", "left").select("event_id", "ttl", expired.alias("expired"))
+
+
+@query("""
+SELECT 'event' AS kind, event_id AS id, coalesce(event_type, '') || '/' || coalesce(props, '') AS name, value AS number, value > 50 AS flag, user_id::VARCHAR AS inner_text, event_id % 3 = 0 AS empty FROM events
+UNION ALL SELECT 'customer', c_custkey, coalesce(c_name, '') || '/' || coalesce(c_mktsegment, ''), c_acctbal::DOUBLE, c_acctbal > 0, c_nationkey::VARCHAR, c_custkey % 3 = 0 FROM customer
+""")
+def typed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and customers as items with nested typed values, and these decoded again, with no schema."""
+    e, c = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
+    rows = [
+        ("event", e, F.col("event_id"), F.concat(F.coalesce("event_type", F.lit("")), F.lit("/"), F.coalesce("props", F.lit(""))), F.col("value"), F.col("value") > 50, F.col("user_id")),
+        ("customer", c, F.col("c_custkey"), F.concat(F.coalesce("c_name", F.lit("")), F.lit("/"), F.coalesce("c_mktsegment", F.lit(""))), F.col("c_acctbal").cast("double"), F.col("c_acctbal") > 0, F.col("c_nationkey")),
+    ]
+    out = []
+    for kind, rows_, id_, name, number, flag, inner in rows:
+        deep = F.array(F.struct(inner.cast("string").alias("S"), F.array(inner.cast("long")).alias("M")))
+        item = F.struct(id_.cast("long").alias("id"), name.alias("name"), number.alias("number"), flag.alias("flag"), F.struct(deep.alias("L"), F.when(id_ % 3 != 0, "there").alias("none")).alias("nested"))
+        images = rows_.select(item.alias("item"))
+        image = images.select(typed.encoded_item(F.col("item"), images.schema["item"].dataType).alias("image"))
+        v = typed.decoded_item(F.col("image"), 5)
+        of = lambda path, as_, v=v: F.try_variant_get(F.col("v"), path, as_)
+        out.append(image.select(v.alias("v")).select(F.lit(kind).alias("kind"), of("$.id", "long").alias("id"), of("$.name", "string").alias("name"), of("$.number", "double").alias("number"), of("$.flag", "boolean").alias("flag"), of("$.nested.L[0].S", "string").alias("inner_text"), of("$.nested.none", "string").isNull().alias("empty")))
+    return out[0].unionByName(out[1])
+
+
+_KEY, _SECRET = "AKIDEXAMPLE", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY"
+
+
+def _hmac_sql(key: str, message: str) -> str:
+    """DuckDB: the HMAC of a message under a key of up to 64 bytes, columns or expressions of bytes."""
+    block = f"unhex(rpad(hex({key}), 128, '0'))::BIT"
+    pad = lambda byte: f"xor({block}, unhex(repeat('{byte}', 64))::BIT)::BLOB"
+    return f"unhex(sha256({pad('5C')} || unhex(sha256({pad('36')} || {message}))))"
+
+
+def _signed_sql() -> str:
+    time = f"strftime(TIMESTAMP '{NOW}', '%Y%m%dT%H%M%SZ')"
+    scope = f"strftime(TIMESTAMP '{NOW}', '%Y%m%d') || '/us-east-1/s3/aws4_request'"
+    steps = ["k0 AS (SELECT encode('AWS4" + _SECRET + "') AS key)"]
+    parts = (f"strftime(TIMESTAMP '{NOW}', '%Y%m%d')", "'us-east-1'", "'s3'", "'aws4_request'")
+    steps += [f"k{k} AS (SELECT {_hmac_sql('key', f'encode({part})')} AS key FROM k{k - 1})" for k, part in enumerate(parts, 1)]
+    query_ = f"'X-Amz-Algorithm=AWS4-HMAC-SHA256&X-Amz-Credential={_KEY}%2F' || replace({scope}, '/', '%2F') || '&X-Amz-Date=' || {time} || '&X-Amz-Expires=3600&X-Amz-SignedHeaders=host'"
+    return f"""
+WITH {", ".join(steps)},
+o AS (SELECT c_custkey, '/full/' || c_custkey || '%20%C3%A9.mp3' AS path, {query_} AS query FROM customer),
+r AS (SELECT *, 'AWS4-HMAC-SHA256' || chr(10) || {time} || chr(10) || {scope} || chr(10) || sha256('GET' || chr(10) || path || chr(10) || query || chr(10) || 'host:{BUCKET}.s3.us-east-1.amazonaws.com' || chr(10) || chr(10) || 'host' || chr(10) || 'UNSIGNED-PAYLOAD') AS to_sign FROM o)
+SELECT c_custkey, 'https://{BUCKET}.s3.us-east-1.amazonaws.com' || path || '?' || query || '&X-Amz-Signature=' || lower(hex({_hmac_sql("k4.key", "encode(to_sign)")})) AS url, epoch(TIMESTAMP '{NOW}')::BIGINT + 3600 AS expires_at
+FROM r, k4
+"""
+
+
+@query(_signed_sql())
+def signed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An output of each customer, signed for an hour from now."""
+    url = T.object_url(F.lit(BUCKET), F.concat(F.lit("full/"), F.col("c_custkey").cast("string"), F.lit("%20%C3%A9.mp3")))
+    done = T.signed(url, F.lit(NOW).cast("timestamp"), signer=signing.presigner(_KEY, _SECRET))
+    return table(spark, sf_dir, "customer").select("c_custkey", done.alias("o")).select("c_custkey", "o.url", "o.expires_at")
