@@ -2,7 +2,7 @@
 
 A provider turns columns into a column. `called_translation` and `called_synthesis` make one
 of a function that calls a service, with the step's retries around each call; Spark retries
-whole tasks. `remuxing` merges audio by a program. The stand-ins translate nothing, synthesise
+whole tasks, so write the result before anything reads it, or use `attempts`, which logs them. `remuxing` merges audio by a program. The stand-ins translate nothing, synthesise
 nothing and only join bytes.
 """
 
@@ -59,7 +59,7 @@ def called_translation(call: Callable[[str, str], str], retry: Retry = RETRY_PAR
     def translate(texts: pd.Series, targets: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else retry.call(call, t, to, wait=wait) for t, to in zip(texts, targets, strict=True)], dtype=object)
 
-    return translate
+    return translate.asNondeterministic()
 
 
 def called_synthesis(call: Callable[[str, str, str], tuple[str, str]], retry: Retry = RETRY_PARAGRAPH, wait: Callable[[float], None] = time.sleep) -> Synthesiser:
@@ -69,7 +69,8 @@ def called_synthesis(call: Callable[[str, str, str], tuple[str, str]], retry: Re
     def start(ssml: pd.Series, codes: pd.Series, voices: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([retry.call(call, *x, wait=wait) for x in zip(ssml, codes, voices, strict=True)], columns=["TaskId", "OutputUri"], dtype=object)
 
-    return lambda ssml, code, voice: F.struct(start(ssml, code, voice).alias("SynthesisTask"))
+    once = start.asNondeterministic()
+    return lambda ssml, code, voice: F.struct(once(ssml, code, voice).alias("SynthesisTask"))
 
 
 def remuxing(program: str = "ffmpeg", suffix: str = ".mp3", seconds: float = 10) -> Merger:

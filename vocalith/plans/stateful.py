@@ -12,8 +12,11 @@ from ..functions import signing, typed
 from ..functions import text as T
 from ..functions.languages import CODES
 from ..operators import catalog, manifest
+from ..operators.attempts import Attempts
 from ..operators.items import Items
-from ..sources import expiring
+from ..operators.providers import Retry
+from ..sources import expiring, selectors
+from ..sources.pages import Selectors
 from ..sources.tables import shared_dir, stream, table
 from ..streaming import state
 from ..streaming.flows import instant
@@ -162,3 +165,38 @@ def signed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = T.object_url(F.lit(BUCKET), F.concat(F.lit("full/"), F.col("c_custkey").cast("string"), F.lit("%20%C3%A9.mp3")))
     done = T.signed(url, F.lit(NOW).cast("timestamp"), signer=signing.presigner(_KEY, _SECRET))
     return table(spark, sf_dir, "customer").select("c_custkey", done.alias("o")).select("c_custkey", "o.url", "o.expires_at")
+
+
+@query("""
+SELECT event_id, least(f + 1, 4)::INT AS attempts, least(f + 1, 4) AS n_calls, CASE WHEN f > 3 THEN 'dead' ELSE 'done' END AS outcome, CASE WHEN f <= 3 THEN 'r' || event_id END AS response, [0, 2, 6, 14][least(f + 1, 4)]::BIGINT AS ended_at
+FROM (SELECT event_id, event_id % 6 AS f FROM events WHERE event_type = 'error')
+""")
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose first calls fail, up to five times, under a rule of three retries after 2, 4 and 8 seconds."""
+
+    def call(key: str, payload: str, attempt: int) -> str:
+        if attempt <= int(payload):
+            raise OSError("busy")
+        return f"r{key}"
+
+    asked = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").cast("string").alias("key"), (F.col("event_id") % 6).cast("string").alias("payload"))
+    log_ = Attempts(spark, f"{shared_dir(spark)}/attempts-{uuid.uuid4().hex}", Retry(3, 2, 2), buckets=4)
+    now, rounds = 0, []
+    while now is not None:  # as often as the rule has attempts
+        rounds.append(log_.round(asked, call, now).select("key", F.lit(now).cast("long").alias("at")))
+        now = log_.next_due()
+    calls = rounds[0]
+    for made in rounds[1:]:
+        calls = calls.unionByName(made)
+    ended = calls.groupBy("key").agg(F.count("*").alias("n_calls"), F.max("at").alias("ended_at"))
+    return log_.state().join(ended, "key").select(F.col("key").cast("long").alias("event_id"), F.col("attempt").alias("attempts"), "n_calls", "outcome", "response", "ended_at")
+
+
+@query(SQL["pages_extract"])
+def pages_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selectors.extract(table(spark, sf_dir, "pages"), Selectors("h1", ".byline", "article p", skip_last=False))
+
+
+@query(SQL["pages_extract_inner"])
+def pages_selected_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selectors.extract(table(spark, sf_dir, "pages"), Selectors("h1", ".byline", "article p")).select("page_id", "text")

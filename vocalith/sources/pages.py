@@ -191,11 +191,21 @@ def _matches(node: _Node, selector: str) -> bool:
     return not outer
 
 
-def extract_page(html: str | None, selectors: Selectors) -> tuple[str, str, str]:
-    """Title, byline (the texts of all their elements, trimmed) and text (the trimmed texts of its elements, one a line)."""
+def _fed(html: str | None) -> _Tree:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    return tree
+
+
+def parsed(html: str) -> _Node:
+    """The root of a page's tree."""
+    return _fed(html).root
+
+
+def extract_page(html: str | None, selectors: Selectors) -> tuple[str, str, str]:
+    """Title, byline (the texts of all their elements, trimmed) and text (the trimmed texts of its elements, one a line)."""
+    tree = _fed(html)
     title, byline = (_SPACE.sub("", "".join(n.text() for n in tree.nodes if _matches(n, s))) for s in (selectors.title, selectors.byline))
     last = lambda n: n.parent.children[-1] is n
     body = [_SPACE.sub("", n.text()) for n in tree.nodes if _matches(n, selectors.text) and not (selectors.skip_last and last(n))]
@@ -223,8 +233,8 @@ def extract(pages: DataFrame, selectors: Selectors | None = None, html_col: str
 
 
 def fetch(articles: DataFrame, pages: DataFrame, site: str = "https://lite.cnn.com") -> DataFrame:
-    """Articles (uuid, url) with the HTML of their page out of a table of pages; null where there is none."""
-    html = pages.select(F.col("url").alias("_page"), "html").dropDuplicates(["_page"])
+    """Articles (uuid, url) with the HTML of their page out of a table of pages; null where there is none. Of pages that share a URL the least HTML counts."""
+    html = pages.groupBy(F.col("url").alias("_page")).agg(F.min("html").alias("html"))
     return articles.join(html, F.concat(F.lit(site), F.col("url")) == F.col("_page"), "left").drop("_page")
 
 
