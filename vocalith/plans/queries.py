@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions.languages import CODES
 from ..operators import callbacks, catalog, manifest, plan, providers
 from ..sources import pages as site
-from ..sources.tables import delete, drain, feed, notifications, shared_dir, stream, table
+from ..sources.tables import delete, drain, feed, notifications, objects, shared_dir, stream, table, upload
 from ..streaming.flows import instant, once, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,15 +45,21 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("uuid"), F.concat(F.lit("/a/"), F.col("doc_id").cast("string")).alias("url"), F.substring_index(text, "\n", 1).alias("title"), F.coalesce("source", F.lit("")).alias("byline"), text.alias("text"), "lang", "source")
 
 
-_GROUPS = """
+def _group_rows(text: str = "coalesce(text, '')", length: str = "length({0})") -> str:
+    """SQL: the SSML groups of documents, numbered. length: of a string, in the units that count."""
+    a, b = length.format("a.cur"), length.format("b.cur")
+    return f"""
+  SELECT doc_id, unnest(range(1, len(g) + 1))::INT AS group_no, unnest(g) AS ssml FROM (SELECT doc_id, list_append(r.done, '<speak>' || r.cur || '</speak>') AS g FROM (
   SELECT doc_id, list_reduce(
-    list_prepend({'done': []::VARCHAR[], 'cur': '', 'n': 0}, list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: {'done': []::VARCHAR[], 'cur': '<p>' || p || '</p>', 'n': 1})),
-    lambda a, b: CASE WHEN length(a.cur) + length(b.cur) <= 2900
-      THEN {'done': a.done, 'cur': CASE WHEN a.n = 0 THEN b.cur ELSE a.cur || ' ' || b.cur END, 'n': a.n + 1}
-      ELSE {'done': CASE WHEN a.n = 0 THEN a.done ELSE list_append(a.done, '<speak>' || a.cur || '</speak>') END, 'cur': b.cur, 'n': 1} END) AS r
-  FROM documents
+    list_prepend({{'done': []::VARCHAR[], 'cur': '', 'n': 0}}, list_transform(string_split({text}, chr(10)), lambda p: {{'done': []::VARCHAR[], 'cur': '<p>' || p || '</p>', 'n': 1}})),
+    lambda a, b: CASE WHEN {a} + {b} <= 2900
+      THEN {{'done': a.done, 'cur': CASE WHEN a.n = 0 THEN b.cur ELSE a.cur || ' ' || b.cur END, 'n': a.n + 1}}
+      ELSE {{'done': CASE WHEN a.n = 0 THEN a.done ELSE list_append(a.done, '<speak>' || a.cur || '</speak>') END, 'cur': b.cur, 'n': 1}} END) AS r
+  FROM documents))
 """
-_GROUP_ROWS = f"SELECT doc_id, unnest(range(1, len(g) + 1))::INT AS group_no, unnest(g) AS ssml FROM (SELECT doc_id, list_append(r.done, '<speak>' || r.cur || '</speak>') AS g FROM ({_GROUPS}))"
+
+
+_GROUP_ROWS = _group_rows()
 _ESCAPE = "replace(replace(replace(replace(replace({0}, '\"', '&quot;'), '&', '&amp;'), '''', '&apos;'), '<', '&lt;'), '>', '&gt;')"
 _TITLE = "string_split(coalesce(text, ''), chr(10))[1]"
 _LANGUAGES = "(VALUES ('en-US', 'Matthew', 'en'), ('es-US', 'Pedro', 'es'), ('fr-FR', 'Remi', 'fr'), ('de-DE', 'Daniel', 'de'), ('pt-BR', 'Thiago', 'pt')) l(code, voice, translate)"
@@ -72,6 +78,14 @@ def ssml_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("group_no", F.col("group_no") + 1)
 
 
+@query(_group_rows("replace(replace(coalesce(text, ''), 'e', chr(128512)), '. ', chr(10))", "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10ffff}}]', '', 'g')))"))
+def ssml_groups_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with many signs that take two units of UTF-16, which the limit counts."""
+    wide = F.replace(F.replace("text", F.lit("e"), F.lit("\U0001f600")), F.lit(". "), F.lit("\n"))
+    rows = articles(spark, sf_dir).select(F.col("uuid").alias("doc_id"), F.posexplode(T.group_paragraphs(wide)).alias("group_no", "ssml"))
+    return rows.withColumn("group_no", F.col("group_no") + 1)
+
+
 @query(f"SELECT doc_id, {_ESCAPE.format('text')} AS escaped FROM documents")
 def ssml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.escape_ssml(F.col("text")).alias("escaped"))
@@ -218,6 +232,27 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("uuid"), F.col("user_id").cast("string").alias("url"), F.concat(F.lit("token-"), F.col("event_id").cast("string")).alias("token"), instant("ts").alias("createdAt"))
 
 
+@query("SELECT event_id::VARCHAR AS uuid, user_id::VARCHAR AS url, 'token-' || event_id AS token FROM events WHERE event_type = 'signup' AND event_id = (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
+def task_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = _tasks(spark, sf_dir)
+    last = tasks.agg(F.max(F.col("uuid"))).first()[0]
+    return catalog.get(tasks.withColumn("uuid", F.col("uuid").cast("string")), None if last is None else str(last)).select("uuid", "url", "token")
+
+
+@query("SELECT arg_min(event_id, (ts, event_id)) AS uuid, user_id::VARCHAR AS url FROM events WHERE event_type = 'signup' AND user_id = (SELECT min(user_id) FROM events WHERE event_type = 'signup') GROUP BY user_id")
+def task_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = _tasks(spark, sf_dir)
+    least = tasks.agg(F.min(F.col("url").cast("long"))).first()[0]
+    return catalog.query_by_url(tasks, None if least is None else str(least)).select("uuid", "url")
+
+
+@query("SELECT count(*) AS n_urls FROM events WHERE event_type = 'no such kind'")
+def no_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed without records gives none."""
+    none = table(spark, sf_dir, "events").where("event_type = 'no such kind'")
+    return callbacks.put_urls(_notifications(none)).agg(F.count("*").alias("n_urls"))
+
+
 @query("""
 WITH t AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS task_id FROM events WHERE event_type = 'signup' GROUP BY 1)
 SELECT n.event_id, t.task_id, 'token-' || t.task_id AS token, 'DELIVERED' AS task_status, '{"url":"' || n.user_id || '"}' AS output FROM events n JOIN t USING (user_id) WHERE n.event_type = 'purchase'
@@ -368,6 +403,18 @@ def merge_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.concatenated(segments(spark, sf_dir)).select(F.col("uuid").alias("conv_id"), F.md5("content").alias("content_md5"))
 
 
+@query(f"SELECT conv_id, 'full/' || conv_id || '-en-US.mp3' AS key, strlen(string_agg(coalesce(text, ''), '' ORDER BY n))::BIGINT AS length, md5(string_agg(coalesce(text, ''), '' ORDER BY n)) AS content_md5 FROM {ORDER} GROUP BY 1")
+def uploaded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments are put as objects, merged by article into others, and these are read again."""
+    bucket = f"{shared_dir(spark)}/bucket-{uuid.uuid4().hex}"
+    parts = segments(spark, sf_dir).withColumn("key", T.object_key(F.col("url"), BUCKET))
+    upload(parts.select("key", "content"), bucket).write.format("noop").mode("overwrite").save()
+    merges = manifest.keys(manifest.assemble(parts), BUCKET)
+    manifest.merge_objects(merges, bucket).write.format("noop").mode("overwrite").save()
+    merged = objects(spark, bucket, "full/")
+    return merged.select(F.regexp_extract("key", r"full/(-?\d+)-", 1).cast("long").alias("conv_id"), "key", "length", F.md5("content").alias("content_md5"))
+
+
 @query(f"""
 SELECT conv_id, 'full/' || conv_id || '-en-US.mp3' AS output_key, conv_id % 7 <> 0 AS succeeded, CASE WHEN conv_id % 7 = 0 THEN 'no disk' END AS error,
        CASE WHEN conv_id % 7 = 0 THEN '{{"uuid":' || conv_id || '}}' ELSE '{{"uuid":' || conv_id || ',"outputs":{{"en-US":{{"url":"https://s3.us-east-1.amazonaws.com/bucket/full/' || conv_id || '-en-US.mp3"}}}}}}' END AS output

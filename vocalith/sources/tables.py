@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,6 +64,28 @@ def objects(spark: SparkSession, path: str, prefix: str = "audio/") -> DataFrame
     return files.selectExpr(f"regexp_extract(path, '({prefix}.*)$', 1) AS key", "length", "modificationTime", "content")
 
 
+def upload(rows: DataFrame, folder: str, key: str = "key", content: str = "content") -> DataFrame:
+    """Write each row's content as the object of its key in a bucket's folder; the rows without it, with its length. A rerun writes the same objects again.
+
+    folder is a path or a URI of any file system that Arrow knows.
+    """
+    rest = [c for c in rows.columns if c != content]
+    kept = rows.select(*rest, F.col(content).cast("binary").alias(content))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, data in zip(batch.column(key).to_pylist(), batch.column(content), strict=True):
+                fs.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{name}") as file:
+                    file.write(data.as_buffer() if data.is_valid else b"")
+            length = pc.fill_null(pc.binary_length(batch.column(content)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), length], [*rest, "length"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*rest).schema)
+    return kept.mapInArrow(run, f"{schema}, length bigint")
+
+
 def stream(spark: SparkSession, path: str, schema: StructType | str, format: str = "json", files_per_trigger: int | None = None) -> DataFrame:
     """Files that appear in a folder, as a stream. Small batches come from few files a trigger."""
     reader = spark.readStream.schema(schema).format(format)
