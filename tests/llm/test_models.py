@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -263,7 +264,7 @@ def spelled(word):
     return [marked[end - n : end] for end in range(2, len(marked) + 1) for n in (5, 4, 3, 2, 1) if n <= end]
 
 
-def told(rows, texts, words_kept, grams_kept):
+def told(rows, texts):
     """Predictions straight from the method, one word and one place at a time."""
     languages = sorted({lang for _, lang in rows})
     count = {lang: {} for lang in languages}
@@ -276,14 +277,7 @@ def told(rows, texts, words_kept, grams_kept):
             for g in spelled(w):
                 spelt[lang][g] = spelt[lang].get(g, 0) + n
 
-    def kept(table, most):
-        every = {}
-        for lang in languages:
-            for k, n in table[lang].items():
-                every[k] = every.get(k, 0) + n
-        return set(sorted((k for k, n in every.items() if n >= 2), key=lambda k: (-every[k], k))[:most])
-
-    words, grams = kept(count, words_kept), kept(spelt, grams_kept)
+    words, grams = ({k for lang in languages for k in table[lang]} for table in (count, spelt))
     out = []
     for text in texts:
         total = [0.0] * len(languages)
@@ -306,21 +300,32 @@ def told(rows, texts, words_kept, grams_kept):
     return out
 
 
-def test_language_against_the_plain_method(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "WORDS", 40)
-    monkeypatch.setattr(language_id, "GRAMS", 150)
+def test_language_against_the_plain_method(spark):
     rng = random.Random(2)
     rows = [(prose(lang := rng.choice(["aa", "bb", "cc"]), rng.randint(1, 25), rng), lang) for _ in range(60)]
     rows += [("tie words", "aa"), ("tie words", "bb"), ("tie words", "cc")]
     texts = [t for t, _ in rows] + ["", "12 !", "tie", "zzzz", "x", "Ünïcode thé", "the der que", prose("bb", 200, rng), "tie " * 3000]
     train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
     got = list(language_id.Predictor(language_id.fit(train))(texts))
-    for text, mine, plain in zip(texts, got, told(rows, texts, 40, 150), strict=True):
+    for text, mine, plain in zip(texts, got, told(rows, texts), strict=True):
         assert mine[0] == plain[0] and mine[1] == pytest.approx(plain[1], abs=1e-6), text[:40]
     # a tie goes to the first by name
     assert got[texts.index("zzzz")][0] in ("aa", "bb", "cc")
 
 
+def test_no_word_of_the_sample_is_left_out(spark):
+    """More words than any cut that this model has had, most of them seen once: all are known, with the counts that they have."""
+    rows = [(i, " ".join("".join(chr(97 + (n // 26**k) % 26) for k in range(4)) + chr(97 + i % 3) for n in range(700 * i, 700 * i + 700)), ("aa", "bb", "cc", "key")[i % 4]) for i in range(100)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known, count = model.words, Counter(w for _, text, _ in rows for w in text.split())
+    assert len(count) > 60_000 and set(known) == set(count)
+    totals = [sum(len(text.split()) for _, text, lang in rows if lang == x) + 0.5 * len(known) for x in model.languages]
+    of = {lang: Counter(w for _, text, x in rows if x == lang for w in text.split()) for lang in model.languages}
+    some = [rows[0][1].split()[0], rows[57][1].split()[-1]]
+    assert np.allclose(model.word_logs[[known[w] for w in some]], [[math.log((of[lang][w] + 0.5) / t) for lang, t in zip(model.languages, totals)] for w in some])
+    assert len(model.gram_keys) == len(model.grams) and set(model.grams) == {g for w in count for g in spelled(w)}
+
+
 def test_language_columns_that_clash(spark, spoken):
     named = spoken.select("doc_id", "text", "lang", spoken["n"].alias("h"), spoken["n"].alias("held_out"))
     assert language_id.fit(named).languages == ["aa", "bb", "cc"]

@@ -7,8 +7,8 @@ largest sum wins, ties going to the first by name; the score is its share of the
 under equal priors.
 
 The model is fitted on at most `SAMPLE` labelled rows, those of the least hashes of id, text
-and language, whose words are counted by Spark; it knows the `WORDS` most frequent words and `GRAMS` n-grams, so
-what is broadcast has a fixed bound. Every text is predicted whole.
+and language, whose words are counted by Spark. It knows all of their words and n-grams, however
+rare; these rows bound what is broadcast. Every text is predicted whole.
 
 Defined cases: a text that is null or has no letter gets `und` with score 0, and so do all
 texts if there is nothing to learn from. A null language is never learnt from; a null id is
@@ -21,16 +21,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, frugal, materialise
 
-SAMPLE, WORDS, GRAMS, ORDERS = 10_000, 50_000, 100_000, (5, 4, 3, 2, 1)
+SAMPLE, ORDERS = 10_000, (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Unknown words whose sums a worker keeps; characters handled at a time.
 KEPT_WORDS, SLICE_CHARS = 300_000, 3_000_000
@@ -48,30 +48,40 @@ def grams_of(word: str) -> list[list[str]]:
 
 
 class Model:
-    def __init__(self, languages: list[str], words: pd.DataFrame, grams: pd.DataFrame):
-        """words, grams: key, and a column with a count for each language."""
+    def __init__(self, languages: list[str], words: pa.Table, grams: pa.Table):
+        """words, grams: key, then a column with a count for each language."""
         self.languages = languages
-        self.words, word_logs = self._logs(words, [0] * len(words))
-        self.grams, gram_logs = self._logs(grams, [len(k) for k in grams["key"]])
-        self.word_logs = word_logs
+        # keys stay in Arrow, which is compact and quick to send; workers make of them what they need
+        self.word_keys, self.gram_keys = (pa.array(t.column(0).to_pylist(), pa.string()) for t in (words, grams))
+        keys = self.gram_keys.to_pylist()
+        self.word_logs = self._logs(words, np.zeros(len(words), np.int64))
+        gram_logs = self._logs(grams, np.fromiter(map(len, keys), np.int64, len(keys)))
         self.gram_logs = np.vstack([gram_logs, np.zeros((1, len(languages)))])  # last: not even the character is known
         # characters as numbers from 1, so that an n-gram is one integer, if there aren't too many of them
-        letters = sorted({c for k in grams["key"] for c in k})
+        letters = sorted(set().union(*keys))
         self.letters = np.array([ord(c) for c in letters], np.uint32)
         self.bits = max(1, len(letters).bit_length())
         self.codes = self.code_places = None
         if self.bits * ORDERS[0] < 64:
             number = {c: i + 1 for i, c in enumerate(letters)}
-            codes = np.array([sum(number[c] << self.bits * j for j, c in enumerate(reversed(k))) for k in grams["key"]], np.uint64)
+            codes = np.array([sum(number[c] << self.bits * j for j, c in enumerate(reversed(k))) for k in keys], np.uint64)
             self.code_places = np.argsort(codes)
             self.codes = codes[self.code_places]
 
-    def _logs(self, table: pd.DataFrame, group: list[int]) -> tuple[dict[str, int], np.ndarray]:
-        counts = table[self.languages].to_numpy(np.float64) + SMOOTHING
-        group = np.array(group, np.int64)
+    @staticmethod
+    def _logs(table: pa.Table, group: np.ndarray) -> np.ndarray:
+        counts = np.array([c.to_numpy() for c in table.columns[1:]], np.float64).reshape(table.num_columns - 1, len(table)).T + SMOOTHING
         for g in np.unique(group):
             counts[group == g] /= counts[group == g].sum(axis=0)
-        return {k: i for i, k in enumerate(table["key"])}, np.log(counts)
+        return np.log(counts)
+
+    @property
+    def words(self) -> dict[str, int]:
+        return {k: i for i, k in enumerate(self.word_keys.to_pylist())}
+
+    @cached_property
+    def grams(self) -> dict[str, int]:
+        return {k: i for i, k in enumerate(self.gram_keys.to_pylist())}
 
     def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For all places of all words the number of the longest known n-gram that ends there; how many places each word has."""
@@ -111,7 +121,7 @@ class Predictor:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows = dict(self.model.words)
+        self.rows = self.model.words
         self.logs = self.model.word_logs
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
@@ -123,7 +133,7 @@ class Predictor:
                 end += 1
             words = [words_of(t) if languages else [] for t in texts[at:end]]
             seen = set().union(*words)
-            if len(self.rows) + len(seen) > len(self.model.words) + KEPT_WORDS:
+            if len(self.rows) + len(seen) > len(self.model.word_keys) + KEPT_WORDS:
                 self._clear()
             if new := [w for w in seen if w not in self.rows]:
                 self.rows.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
@@ -176,12 +186,11 @@ def fit(rows: DataFrame) -> Model:
     grams = materialise(words.mapInArrow(frugal(spell), schema).groupBy("key", "lang").agg(F.sum("n").alias("n")), "grams")
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
 
-    def top(counts: DataFrame, most: int, least: int) -> pd.DataFrame:
-        frequent = counts.groupBy("key").agg(F.sum("n").alias("all")).where(f"all >= {least}").orderBy(F.desc("all"), "key").limit(most)
-        long = counts.join(F.broadcast(frequent.select("key")), "key", "left_semi").toPandas()
-        return long.pivot_table(index="key", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=languages, fill_value=0).sort_index().reset_index()
+    def table(counts: DataFrame) -> pa.Table:
+        each = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
+        return counts.groupBy("key").agg(F.count("*").alias("langs"), *each).drop("langs").orderBy("key").toArrow()
 
-    return Model(languages, top(words, WORDS, 2), top(grams, GRAMS, 2))
+    return Model(languages, table(words), table(grams))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
