@@ -13,7 +13,8 @@ are, is normalised, searched with one pattern, and done.
 Licences that no unit bears are then looked for in windows: all runs, anywhere in the text, of
 as many words as the template has. One that shares words with a unit at least as like some
 licence doesn't count, so a notice of one isn't taken for a worse copy of another. Bounds
-prune these too, and lose none: `need` of the template's bigrams lie within a window's length.
+prune these too, and lose none: `need` of the template's bigrams lie within a window's length,
+and of `STRIDE` windows in a row one tells how good the others can be.
 
 All of it is one projection over the scan, without a shuffle, so hot sources or copies don't
 matter.
@@ -42,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import documents
 
 THRESHOLD = 0.8
+#: Of the windows of a text so many in a row are looked at by one of them first.
+STRIDE = 16
 _MATCHES = "array<struct<dice:double,name:string>>"
 
 # The wording of common licences and of the notices that stand for them.
@@ -181,39 +184,51 @@ def _windows(words: Column, rated: Column, templates: list[tuple[str, list[str],
     words, rated: of each unit, the last being the whole text. templates: name, bigrams, number of words.
     """
     every = sorted({g for _, grams, _ in templates for g in grams})
-    none = F.lit(None).cast("struct<dice:double,name:string>")
+    # templates are data: one expression serves all of them
+    known = F.array(*[F.struct(F.lit(name).alias("name"), _literal(grams).alias("grams"), F.lit(len(grams)).alias("size"), F.lit(n - 1).alias("span"), F.lit(_need(len(grams), threshold)).alias("need")) for name, grams, n in templates])
 
     def within(pairs: Column, spots: Column, grams: Column) -> Column:
         """Those spots whose bigram is one of grams; which bigrams are is found by hash first."""
         return _bound(F.array_intersect(F.transform(spots, lambda i: F.get(pairs, i)), grams), lambda known: F.filter(spots, lambda i: F.array_contains(known, F.get(pairs, i))))
 
-    def starts(need: int, span: int, at: Column, n: Column) -> Column:
+    def starts(need: Column, span: Column, at: Column, n: Column) -> Column:
         """at: places of the template's bigrams. Where windows with enough of them start, from 0."""
         close = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda j: F.element_at(at, j + need - 1) - F.element_at(at, j) < span)
         runs = F.transform(close, lambda j: F.sequence(F.greatest(F.element_at(at, j + need - 1) - span + 1, F.lit(0)), F.least(F.element_at(at, j), n - span)))
         # a text no longer than a window is a unit
         return F.when((F.size(at) >= need) & (n > span), F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<int>"))
 
-    def best(name: str, grams: list[str], span: int, names: Column, pairs: Column, spots: Column, places: Column) -> Column:
-        own, need = _literal(grams), _need(len(grams), threshold)
-
+    def best(t: Column, names: Column, pairs: Column, spots: Column, places: Column) -> Column:
         def rate(start: Column) -> Column:
-            some = F.array_distinct(F.slice(pairs, start + 1, F.lit(span)))
-            return F.struct((F.size(F.array_intersect(some, own)) * 2.0 / (F.size(some) + len(grams))).alias("dice"), start.alias("start"))
+            some = F.array_distinct(F.slice(pairs, start + 1, t["span"]))
+            rated = lambda both, n: F.struct((both * 2.0 / (n + t["size"])).alias("dice"), start.alias("start"), both.alias("both"), n.alias("n"))
+            return _bound(some, lambda some: rated(F.size(F.array_intersect(some, t["grams"])), F.size(some)))
+
+        def highest(windows: Column) -> Column:
+            free = F.filter(windows, lambda x: (x["dice"] >= threshold) & ~F.exists(places, lambda p: (p["from"] <= x["start"] + t["span"]) & (p["to"] > x["start"]) & (p["dice"] >= x["dice"])))
+            return F.array_max(F.transform(free, lambda x: x["dice"]))
+
+        def refined(coarse: Column, last: Column) -> Column:
+            """The best of all windows, of which every STRIDE-th is rated: one d words on has at most d more common bigrams, and d fewer of its own."""
+            both = lambda x: F.least(x["both"] + (STRIDE - 1), t["size"])
+            may = lambda x: both(x) * 2.0 / (F.greatest(x["n"] - (STRIDE - 1), both(x)) + t["size"])
+            near = lambda least: F.filter(coarse, lambda x: may(x) >= least - 1e-9)
+            each = lambda x: F.sequence(x["start"], F.least(x["start"] + (STRIDE - 1), last))
+            return _bound(F.coalesce(highest(coarse), F.lit(threshold)), lambda least: highest(F.transform(F.flatten(F.transform(near(least), each)), rate)))
 
         def search(at: Column) -> Column:
-            windows = F.transform(starts(need, span, at, F.size(pairs)), rate)
-            free = F.filter(windows, lambda x: (x["dice"] >= threshold) & ~F.exists(places, lambda p: (p["from"] <= x["start"] + span) & (p["to"] > x["start"]) & (p["dice"] >= x["dice"])))
-            dice = F.array_max(F.transform(free, lambda x: x["dice"]))
-            return F.when(dice.isNotNull(), F.struct(dice.alias("dice"), F.lit(name).alias("name")))
+            n = F.size(pairs)
+            strides = F.array_distinct(F.transform(starts(t["need"], t["span"], at, n), lambda s: F.floor(s / STRIDE).cast("int")))
+            dice = _bound(F.transform(strides, lambda k: rate(k * STRIDE)), lambda coarse: refined(coarse, n - t["span"]))
+            return _bound(dice, lambda dice: F.when(dice.isNotNull(), F.struct(dice.alias("dice"), t["name"].alias("name"))))
 
-        possible = ~F.array_contains(names, name) & (F.size(spots) >= need) & (F.size(pairs) > span)
-        return F.when(possible, _bound(within(pairs, spots, own), search)).otherwise(none)
+        possible = ~F.array_contains(names, t["name"]) & (F.size(spots) >= t["need"]) & (F.size(pairs) > t["span"])
+        return F.when(possible, _bound(within(pairs, spots, t["grams"]), search))
 
     def search(pairs: Column) -> Column:
         spots = within(pairs, F.sequence(F.lit(0), F.size(pairs) - 1), _literal(every))
         names = F.transform(F.flatten(rated), lambda m: m["name"])
-        each = lambda spots, places: F.array(*[best(name, grams, n - 1, names, pairs, spots, places) for name, grams, n in templates])
+        each = lambda spots, places: F.transform(known, lambda t: best(t, names, pairs, spots, places))
         found = _bound(spots, lambda spots: _bound(_places(words, rated), lambda places: F.filter(each(spots, places), lambda m: m.isNotNull())))
         return _bound(found, lambda m: F.array_distinct(F.filter(m, lambda x: ~F.exists(m, lambda y: (y["name"] == x["name"]) & (y["dice"] > x["dice"])))))
 
