@@ -54,7 +54,7 @@ def _instants(rows: DataFrame) -> DataFrame:
 
 def _of(value) -> list[tuple]:
     """What a list state holds, as plain tuples."""
-    return [tuple(x) for x in value.get()] if value.exists() else []
+    return [tuple(x) for x in value.get()]
 
 
 class InOrder(StatefulProcessor):
@@ -143,9 +143,11 @@ class Waits(InOrder):
 
     def load(self) -> None:
         self.tasks = _of(self.waiting)
+        self.loaded = list(self.tasks)
 
     def store(self) -> None:
-        self.waiting.put(self.tasks) if self.tasks else self.waiting.clear()
+        if self.tasks != self.loaded:
+            self.waiting.put(self.tasks) if self.tasks else self.waiting.clear()
 
     def take(self, key: tuple, row: tuple) -> Iterator[Row]:
         at, put, id_, token = row
