@@ -210,8 +210,8 @@ class Parts(StatefulProcessor):
         self.parts = handle.getMapState("parts", "place int", "at long, url string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        begun, expected, done = self.barrier.get() if self.barrier.exists() else (None, None, False)
-        have = {k[0]: tuple(v) for k, v in self.parts.iterator()} if self.parts.exists() else {}
+        begun, expected, done = self.barrier.get() or (None, None, False)
+        have = {k[0]: tuple(v) for k, v in self.parts.iterator()}
         had, wake = dict(have), set()
         for row in rows:
             wake.add(row["micros"] + self.live)
@@ -235,9 +235,9 @@ class Parts(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        have = {k[0]: tuple(v) for k, v in self.parts.iterator()} if self.parts.exists() else {}
-        if self.barrier.exists():
-            begun, expected, done = self.barrier.get()
+        have = {k[0]: tuple(v) for k, v in self.parts.iterator()}
+        if (barrier := self.barrier.get()) is not None:
+            begun, expected, done = barrier
             if begun + self.live <= now:
                 if not done:
                     yield self._manifest(key, self._there(have, begun, expected), expected)
@@ -290,7 +290,7 @@ class Languages(StatefulProcessor):
         self.bits = handle.getValueState("bits", "bits int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.bits.get()[0] if self.bits.exists() else 0
+        before = (self.bits.get() or (0,))[0]
         now = before
         for row in rows:
             now |= row["bits"]
