@@ -293,3 +293,19 @@ def test_folder_where_the_setting_is_absent(monkeypatch):
     monkeypatch.setattr(tables, "_own_dir", [])
     assert tables.shared_dir(session(SimpleNamespace(get=lambda *_: "hdfs://x/y"))) == "hdfs://x/y"
     assert Path(own := tables.shared_dir(session(unset))).is_dir() and tables.shared_dir(session(unset)) == own
+
+
+def test_voices_are_picked_by_key(spark):
+    rows = spark.createDataFrame([(f"a{k}",) for k in range(300)] + [(None,)], "uuid string")
+    voices = F.array(*[F.struct(F.lit(v).alias("name")) for v in ("x", "y", "z")])
+    picked = lambda items: [r[0] for r in rows.select(plan.pick_voice(items, F.col("uuid"), F.lit("en-US"))["name"]).collect()]
+    got = picked(voices)
+    assert got == picked(voices) and all(70 < got.count(v) < 130 for v in ("x", "y", "z"))
+    assert set(picked(F.array(F.struct(F.lit("only").alias("name"))))) == {"only"}
+    assert set(picked(F.array().cast("array<struct<name: string>>"))) == {None}
+
+
+def test_uploads(spark, tmp_path):
+    rows = spark.createDataFrame([("audio/a b.mp3", b"\x00\xff", 1), ("full/deep/x", None, 2)], "key string, content binary, n int")
+    assert sorted(tuple(r) for r in tables.upload(rows, str(tmp_path)).collect()) == [("audio/a b.mp3", 1, 2), ("full/deep/x", 2, 0)]
+    assert (tmp_path / "audio" / "a b.mp3").read_bytes() == b"\x00\xff" and (tmp_path / "full" / "deep" / "x").read_bytes() == b""

@@ -43,8 +43,9 @@ def translate(plan: DataFrame, translator: Translator = tagged_translation) -> D
 
 
 def pick_voice(items: Column, *key: Column) -> Column:
-    """One of the voices, the same for the same key."""
-    return F.element_at(items, (F.pmod(F.xxhash64(*key), F.size(items)) + 1).cast("int"))
+    """One of the voices, the same for the same key, by the first 32 bits of the key's MD5; null where there are none."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[k.cast("string") for k in key])), 1, 8), 16, 10).cast("long")
+    return F.get(items, F.try_mod(number, F.size(items).cast("long")).cast("int"))
 
 
 def pack(articles: DataFrame, limit: int = LIMIT) -> DataFrame:

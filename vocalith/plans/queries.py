@@ -162,6 +162,14 @@ def voice_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fanned(spark, sf_dir).select(F.col("uuid").alias("doc_id"), code.alias("code"), plan.pick_voice(F.col("language.items"), F.col("uuid"), code)["name"].alias("voice"))
 
 
+@query(f"SELECT doc_id, code, voice || ' ' || ('0x' || md5(doc_id || chr(31) || code)[1:8])::BIGINT % 3 AS voice FROM documents CROSS JOIN {_LANGUAGES}")
+def voice_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three voices for each language."""
+    code = F.col("language.code")
+    voices = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.concat_ws(" ", F.col("language.items")[0]["name"], k.cast("string")).alias("name")))
+    return _fanned(spark, sf_dir).select(F.col("uuid").alias("doc_id"), code.alias("code"), plan.pick_voice(voices, F.col("uuid"), code)["name"].alias("voice"))
+
+
 @query(f"SELECT doc_id, code, CASE WHEN translate <> 'en' THEN '[' || translate || '] ' ELSE '' END || {_TITLE} AS title, CASE WHEN translate <> 'en' THEN '[' || translate || '] ' ELSE '' END || coalesce(source, '') AS byline, md5(CASE WHEN translate <> 'en' THEN '[' || translate || '] ' ELSE '' END || coalesce(text, '')) AS text_md5 FROM documents CROSS JOIN {_LANGUAGES}")
 def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.translate(_fanned(spark, sf_dir)).select(F.col("uuid").alias("doc_id"), F.col("language.code").alias("code"), "title", "byline", F.md5("text").alias("text_md5"))
