@@ -26,36 +26,38 @@ def _listed(parts: Column, begin: str, end: str) -> Column:
     return F.concat(F.lit(begin), F.array_join(parts, ","), F.lit(end))
 
 
+#: A typed value, as what it is read into: its type's name and what it holds.
+_VALUE = "map<string, variant>"
+
+
 def _plain(value: Column, depth: int) -> Column:
-    """The JSON of a typed value, a VARIANT; what nests deeper than depth, or is of no known type, is null."""
-    def of(kind: str, as_: str) -> Column:
-        return F.try_variant_get(value, f"$.{kind}", as_)
+    """The JSON of a typed value; what nests deeper than depth, is of no known type, or holds what isn't of its type, is null."""
+    kind, held = F.map_keys(value)[0], F.map_values(value)[0]
+
+    def of(as_: str) -> Column:
+        return F.try_variant_get(held, "$", as_)
 
-    strings = F.coalesce(of("SS", "array<string>"), of("BS", "array<string>"))
-    numbers = of("NS", "array<string>")
     simple = (
-        F.when(of("S", "string").isNotNull(), _quoted(of("S", "string")))
-        .when(of("N", "string").isNotNull(), of("N", "string"))
-        .when(of("BOOL", "boolean").isNotNull(), of("BOOL", "boolean").cast("string"))
-        .when(of("B", "string").isNotNull(), _quoted(of("B", "string")))
-        .when(strings.isNotNull(), F.to_json(strings))
-        .when(numbers.isNotNull(), _listed(numbers, "[", "]"))
+        F.when(kind.isin("S", "B"), _quoted(of("string")))
+        .when(kind == "N", of("string"))
+        .when(kind == "BOOL", of("boolean").cast("string"))
+        .when(kind.isin("SS", "BS"), F.to_json(of("array<string>")))
+        .when(kind == "NS", F.concat(F.lit("["), F.array_join(of("array<string>"), ","), F.lit("]")))
     )
     if depth == 0:
         return F.coalesce(simple, F.lit("null"))
-    members, elements = of("M", "map<string, variant>"), of("L", "array<variant>")
-    # both as entries and in one place, so that the expression grows in proportion to the depth
-    entries = F.coalesce(F.map_entries(members), F.transform(elements, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value"))))
-    inner = F.transform(entries, lambda e: F.concat(F.when(e["key"].isNotNull(), F.concat(_quoted(e["key"]), F.lit(":"))).otherwise(""), _plain(e["value"], depth - 1)))
-    is_map = members.isNotNull()
+    # members and elements alike as entries and in one place, so that the expression grows in proportion to the depth
+    members, elements = F.map_entries(of(f"map<string, {_VALUE}>")), F.transform(of(f"array<{_VALUE}>"), lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value")))
+    is_map = kind == "M"
+    inner = F.transform(F.when(is_map, members).otherwise(elements), lambda e: F.concat(F.when(e["key"].isNotNull(), F.concat(_quoted(e["key"]), F.lit(":"))).otherwise(""), _plain(e["value"], depth - 1)))
     nested = F.concat(F.when(is_map, "{").otherwise("["), F.array_join(inner, ","), F.when(is_map, "}").otherwise("]"))
-    return F.coalesce(simple.when(entries.isNotNull(), nested), F.lit("null"))
+    return F.coalesce(simple.when(kind.isin("M", "L"), nested), F.lit("null"))
 
 
 def decoded(value: Column, depth: int = DEPTH) -> Column:
     """The plain value, a VARIANT, of the JSON of a typed one; null for what is no JSON."""
     parsed = F.try_parse_json(value)
-    return F.when(parsed.isNotNull(), F.try_parse_json(_plain(parsed, depth)))
+    return F.when(parsed.isNotNull(), F.try_parse_json(_plain(F.try_variant_get(parsed, "$", _VALUE), depth)))
 
 
 def decoded_item(item: Column, depth: int = DEPTH) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from ..functions import text as T
 from .pages import Selectors, parsed
 
 _NOT_LAST = ":not(:last-child)"
+#: Rows that are handed over at a time, about.
+_AT_ONCE = 10_000
 
 
 def _rows(page, html: str) -> Iterator[tuple]:
@@ -44,19 +46,29 @@ def _rows(page, html: str) -> Iterator[tuple]:
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The rows of all pages that there are; a page that can't be parsed has none. id_col tells pages apart."""
     kind = pages.schema[id_col].dataType.simpleString()
+    names = ["page", "begin", "end", "parent", "last", "tag", "classes", "text"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page", "begin", "end", "parent", "last", "tag", "classes", "text"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, html in zip(batch["page"], batch["html"], strict=True):
+            of = batch.column(0).type
+            rows: list[tuple] = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = list(_rows(page, html))
+                    rows += list(_rows(page, html.as_py()))
                 except Exception:  # noqa: BLE001  one bad page mustn't end the others
+                    continue
+                if len(rows) >= _AT_ONCE:
+                    yield made(rows, of)
                     rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"begin": "int64", "end": "Int64", "parent": "Int64", "last": "boolean"})
+            if rows:
+                yield made(rows, of)
+
+    def made(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [of, *types], strict=True)], names)
 
     there = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("page"), F.col(html_col).alias("html"))
-    return there.mapInPandas(run, f"page {kind}, begin bigint, end bigint, parent bigint, last boolean, tag string, classes array<string>, text string")
+    return there.mapInArrow(run, f"page {kind}, begin bigint, end bigint, parent bigint, last boolean, tag string, classes array<string>, text string")
 
 
 def _steps(selectors: dict[str, str]) -> list[tuple[str, int, int, str, bool, bool]]:
