@@ -97,6 +97,16 @@ def test_signed_urls(spark):
     assert bytes(mine) == key and len(key) == hashlib.sha256().digest_size
 
 
+def test_signing_is_spread_and_its_key_constant(spark):
+    """The table is one small file; the chain of keys and their blocks are computed once, not for each row."""
+    from vocalith.plans.stateful import signed_outputs
+
+    got = signed_outputs(spark, "/root/testdata/sf0.001")
+    assert sum(n > 0 for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) >= 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "wJalrXUtnFEMI" not in plan and "lambda" not in plan
+
+
 def test_expiry_by_layout(spark, tmp_path):
     path, schema = str(tmp_path), "uuid string, ttl bigint"
     tasks = spark.createDataFrame([(f"t{k}", k) for k in range(0, 1000, 7)] + [("never", None), ("old", -5)], schema)

@@ -14,41 +14,41 @@ from pyspark.sql import functions as F
 
 from .text import REGION, URL_LIFETIME_SECONDS, Signer
 
-# A block of SHA-256 in hexadecimal digits, and what its bytes are combined with.
-_BLOCK, _INNER, _OUTER = 128, 0x36, 0x5C
+# Bytes of a block of SHA-256, and what they are combined with.
+_BLOCK, _INNER, _OUTER = 64, 0x36, 0x5C
 _ALGORITHM, _PAYLOAD = "AWS4-HMAC-SHA256", "UNSIGNED-PAYLOAD"
+_LATIN, _ZERO = "ISO-8859-1", "\u0100"
 
 
-def _let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """An expression of a value that it uses several times, without repeating the value's own expression."""
-    return F.transform(F.array(value), of)[0]
+def _combined(block: Column, byte: int) -> Column:
+    """A block with each byte combined: a character a byte, translated. `translate` drops what becomes U+0000, so that comes after it."""
+    to = "".join(chr(k ^ byte) if k ^ byte else _ZERO for k in range(256))
+    text = F.translate(F.decode(block, _LATIN), "".join(map(chr, range(256))), to)
+    return F.encode(F.replace(text, F.lit(_ZERO), F.lit("\0")), _LATIN)
 
 
-def _combined(digits: Column, byte: int) -> Column:
-    """A block of hexadecimal digits with each byte combined, as bytes."""
-    whole = int.from_bytes(bytes([byte]) * 8, "big")
-    words = [F.conv(F.substring(digits, k + 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(whole)) for k in range(0, _BLOCK, 16)]
-    return F.unhex(F.concat(*[F.lpad(F.hex(w), 16, "0") for w in words]))
+def _padded(key: Column) -> Column:
+    """A key of up to a block, with zeros to its end."""
+    return F.unhex(F.rpad(F.hex(key), 2 * _BLOCK, "0"))
 
 
-def hmac_sha256(key: Column, message: Column) -> Column:
-    """The bytes of the HMAC of a message under a key, both bytes or strings in UTF-8; null if either is."""
-
-    def of(digits: Column) -> Column:
-        inner = F.unhex(F.sha2(F.concat(_combined(digits, _INNER), message.cast("binary")), 256))
-        return F.unhex(F.sha2(F.concat(_combined(digits, _OUTER), inner), 256))
+def _hmac(block: Column, message: Column) -> Column:
+    """The HMAC under a padded key. No lambda stands between: of a constant key the optimizer makes two constant blocks."""
+    inner = F.unhex(F.sha2(F.concat(_combined(block, _INNER), message.cast("binary")), 256))
+    return F.unhex(F.sha2(F.concat(_combined(block, _OUTER), inner), 256))
 
-    def padded(key: Column) -> Column:
-        return F.rpad(F.hex(F.when(F.octet_length(key) > _BLOCK // 2, F.unhex(F.sha2(key, 256))).otherwise(key)), _BLOCK, "0")
 
-    return _let(_let(key.cast("binary"), padded), of)
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """The bytes of the HMAC of a message under a key, both bytes or strings in UTF-8; null if either is."""
+    key = key.cast("binary")
+    return _hmac(_padded(F.when(F.octet_length(key) > _BLOCK, F.unhex(F.sha2(key, 256))).otherwise(key)), message)
 
 
 def signing_key(secret: Column, day: Column, region: Column, service: Column) -> Column:
     """The key of a day (yyyyMMdd), region and service, by the chain of HMACs."""
-    key = F.concat(F.lit("AWS4"), secret)
-    for part in (day, region, service, F.lit("aws4_request")):
-        key = hmac_sha256(key, part)
+    key = hmac_sha256(F.concat(F.lit("AWS4"), secret), day)
+    for part in (region, service, F.lit("aws4_request")):
+        key = _hmac(_padded(key), part)
     return key
 
 
@@ -74,7 +74,7 @@ def presigned(bucket: Column, key: Column, at: Column, lifetime: int, access_key
     )
     request = F.concat(F.lit("GET\n"), path, F.lit("\n"), query, F.lit("\nhost:"), host, F.lit(f"\n\nhost\n{_PAYLOAD}"))
     to_sign = F.concat(F.lit(f"{_ALGORITHM}\n"), time, F.lit("\n"), scope, F.lit("\n"), F.sha2(request, 256))
-    signature = F.lower(F.hex(hmac_sha256(signing_key(secret, day, F.lit(region), F.lit("s3")), to_sign)))
+    signature = F.lower(F.hex(_hmac(_padded(signing_key(secret, day, F.lit(region), F.lit("s3"))), to_sign)))
     return F.concat(F.lit("https://"), host, path, F.lit("?"), query, F.lit("&X-Amz-Signature="), signature)
 
 

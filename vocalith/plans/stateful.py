@@ -17,7 +17,7 @@ from ..operators.items import Items
 from ..operators.providers import Retry
 from ..sources import expiring, selectors
 from ..sources.pages import Selectors
-from ..sources.tables import shared_dir, stream, table
+from ..sources.tables import shared_dir, spread, stream, table
 from ..streaming import state
 from ..streaming.flows import instant
 from .queries import BUCKET, CODE_OF, NOW, ORDER, SQL, fifth, finished, log, query, replayed, segments
@@ -164,7 +164,7 @@ def signed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An output of each customer, signed for an hour from now."""
     url = T.object_url(F.lit(BUCKET), F.concat(F.lit("full/"), F.col("c_custkey").cast("string"), F.lit("%20%C3%A9.mp3")))
     done = T.signed(url, F.lit(NOW).cast("timestamp"), signer=signing.presigner(_KEY, _SECRET))
-    return table(spark, sf_dir, "customer").select("c_custkey", done.alias("o")).select("c_custkey", "o.url", "o.expires_at")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", done.alias("o")).select("c_custkey", "o.url", "o.expires_at")
 
 
 @query("""

@@ -58,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys over all cores, for what computes long on few bytes: a file of a few MB is one task otherwise."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def objects(spark: SparkSession, path: str, prefix: str = "audio/") -> DataFrame:
     """key and content of the objects under a prefix of a bucket's folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{prefix}")
