@@ -109,3 +109,26 @@ def test_the_sessions_settings_stay(spark, tmp_path):
     before = {k: spark.conf.get(k, None) for k in state.SETTINGS}
     run(spark, tmp_path, [(0, "x", "a")], "uuid string, language string", 1, lambda s: state.completed(s, ("a",)))
     assert {k: spark.conf.get(k, None) for k in state.SETTINGS} == before
+
+
+def test_state_is_kept_by_groups(spark, tmp_path):
+    """Many keys in a group answer as apart; the store has a few values for each group, and a few partitions a core."""
+    rows, by = [], {}
+    for n in range(600):
+        row = (n * 7, n % 2 == 1, f"i{n:03}", f"t{n}")
+        by.setdefault(f"u{n % 75}", []).append(row)
+        rows.append((0, f"u{n % 75}", moment(row[0]), *row[1:]))
+    rows.append((1, "end", END, True, "end", None))
+    frame = spark.createDataFrame(rows, "slot int, url string, at timestamp, put boolean, id string, token string")
+    feed = tables.stream(spark, f"{tmp_path}/in", frame.drop("slot").schema, "parquet", tables.feed(frame, 2, f"{tmp_path}/in"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        query = state.started(state.answers(feed, 500, LATE, groups=3), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    got = spark.read.parquet(f"{tmp_path}/out").where("url <> 'end'").collect()
+    assert sorted(((r["url"], r["outcome"], r["task_uuid"], r["notification"]) for r in got), key=str) == sorted(((url, x[0], x[1], x[3]) for url, rows in by.items() for x in plain_answers(rows, 500)), key=str)
+    kept = [p["stateOperators"][0] for p in query.recentProgress]
+    assert max(k["numRowsUpdated"] for k in kept) < 75 and {k["numShufflePartitions"] for k in kept} == {12}

@@ -4,12 +4,17 @@ Each is a stateful processor. Where the order of rows counts, they wait in state
 watermark has passed them and are then taken by their times; where it doesn't, they count as
 they come. So results don't depend on how a feed falls into batches, and rows that come later
 than the lateness allows are dropped by Spark. State of a key goes once nothing can change it.
+A call to the state store costs far more than a row, so tasks and parts are kept for groups of
+keys, rows by column: a batch costs a few calls for each group that it has rows of, and reads
+and writes what these hold.
 The state store has to be RocksDB, which `started` sees to.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -19,6 +24,10 @@ from ..functions.languages import CODES
 from ..functions.text import TTL_SECONDS, present
 
 LATENESS = "10 minutes"
+#: Groups of keys that have their state together. More of them where batches are small and much waits; a stream keeps the number that it began with.
+GROUPS = 2048
+#: Rows in a value of the state store.
+_CHUNK = 4096
 #: What streams with state run with: a batch writes what it changes, not the whole store.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -28,10 +37,16 @@ _SECOND = 1_000_000
 
 
 def started(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write what a stream with state has now to a Parquet folder, exactly once, and wait for it. The session's settings stay what they were."""
-    conf = rows.sparkSession.conf
-    before = {k: conf.get(k, None) for k in SETTINGS}
-    for k, value in SETTINGS.items():
+    """Write what a stream with state has now to a Parquet folder, exactly once, and wait for it. The session's settings stay what they were.
+
+    Each batch opens the stores of all partitions, so a new stream has a few of these a core at most.
+    """
+    spark = rows.sparkSession
+    conf = spark.conf
+    partitions = min(int(conf.get("spark.sql.shuffle.partitions")), max(12, 3 * spark.sparkContext.defaultParallelism))
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: conf.get(k, None) for k in settings}
+    for k, value in settings.items():
         conf.set(k, value)
     try:
         query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -52,122 +67,121 @@ def _instants(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.timestamp_micros("at"))
 
 
-def _of(value) -> list[tuple]:
-    """What a list state holds, as plain tuples."""
-    return [tuple(x) for x in value.get()]
+def _grouped(rows: DataFrame, keys: list[str], columns: list[str], groups: int) -> DataFrame:
+    """group, keys and columns of rows, and the time that has the watermark."""
+    return rows.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("group"), *keys, *columns, "at")
 
 
-class InOrder(StatefulProcessor):
-    """Takes a key's rows in order once the watermark has passed them.
-
-    A subclass says what of a row is kept (`ROW`, beginning with its time in microseconds), takes
-    rows one by one (`take`), and closes what falls due by itself (`due`, `close_due`).
-    """
+class Rows:
+    """Rows that a group holds, in a list state: its values are chunks, an array a column."""
 
-    ROW = ""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.arrived = handle.getListState("arrived", self.ROW)
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
+        columns = [x.split() for x in schema.split(", ")]
+        self.state = handle.getListState(name, ", ".join(f"{column} array<{kind}>" for column, kind in columns))
 
-    def kept(self, row: Row) -> tuple:
-        raise NotImplementedError
+    def get(self) -> list[tuple]:
+        return [row for chunk in self.state.get() for row in zip(*chunk, strict=True)]
 
-    def load(self) -> None:
-        """Read the key's own state."""
+    def append(self, rows: list[tuple]) -> None:
+        self.state.appendList(self._chunks(rows))
 
-    def store(self) -> None:
-        """Write it, or clear it where nothing is left."""
+    def put(self, rows: list[tuple]) -> None:
+        self.state.put(self._chunks(rows)) if rows else self.state.clear()
 
-    def take(self, key: tuple, row: tuple) -> Iterator[Row]:
-        raise NotImplementedError
+    @staticmethod
+    def _chunks(rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows[k : k + _CHUNK], strict=True))) for k in range(0, len(rows), _CHUNK)]
 
-    def due(self) -> int | None:
-        """The next time at which something happens to the key without a row."""
 
-    def close_due(self, key: tuple, until: int) -> Iterator[Row]:
-        """What has happened by then."""
-        return iter(())
+class Grouped(StatefulProcessor):
+    """What wakes at the earliest time at which something happens in a group."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [self.kept(r) for r in rows]
-        self.arrived.appendList(new)
-        self._wake_at(min(r[0] for r in new))
-        return iter(())
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.woken: set[tuple] = set()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(_of(self.arrived))
-        ready, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        self.load()
-        for row in ready:
-            yield from self.close_due(key, row[0] - 1)
-            yield from self.take(key, row)
-        yield from self.close_due(key, now)
-        self.store()
-        if ready:
-            self.arrived.put(later) if later else self.arrived.clear()
-        if times := [t for t in (self.due(), *(r[0] for r in later[:1])) if t is not None]:
-            self._wake_at(min(times))
+    def wake(self, key: tuple, timerValues) -> int | None:
+        """The watermark in microseconds; none if the group has been woken in this batch, as it is by each of its timers."""
+        if (key := tuple(key)) in self.woken:
+            return None
+        self.woken.add(key)
+        return timerValues.getCurrentWatermarkInMs() * 1000
 
-    def _wake_at(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
+    def wake_at(self, micros: int | None) -> None:
+        if micros is not None:
+            self.handle.registerTimer(-(-micros // 1000))
 
     def close(self) -> None:
         pass
 
 
 WAIT_ROWS = "url string, outcome string, task_uuid string, token string, notification string, at long"
+_Answer = Row("url", "outcome", "task_uuid", "token", "notification", "at")
 
 
-class Waits(InOrder):
+class Waits(Grouped):
     """Of a URL the tasks that wait for it, as a store with a time to live has them.
 
     A notification finds the first task (by time and id) that hasn't expired. If that one waits
     it is resumed; if it was resumed before, the notification is a duplicate, and the token isn't
     sent again. A notification that finds no task is unmatched. A task expires when its time to
     live passes without a notification of its own.
-    """
 
-    ROW = "at long, put boolean, id string, token string"
+    Rows wait until the watermark has passed them and are then taken in order.
+    """
 
     def __init__(self, seconds: int):
         self.live = seconds * _SECOND
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getListState("tasks", "at long, id string, token string, resumed boolean")
-
-    def kept(self, row: Row) -> tuple:
-        return row["micros"], row["put"], row["id"], row["token"] or ""
-
-    def load(self) -> None:
-        self.tasks = _of(self.waiting)
-        self.loaded = list(self.tasks)
-
-    def store(self) -> None:
-        if self.tasks != self.loaded:
-            self.waiting.put(self.tasks) if self.tasks else self.waiting.clear()
-
-    def take(self, key: tuple, row: tuple) -> Iterator[Row]:
-        at, put, id_, token = row
-        if not put:
-            self.tasks.append((at, id_, token, False))
-        elif not self.tasks:
-            yield Row(url=key[0], outcome="unmatched", task_uuid=None, token=None, notification=id_, at=at)
-        else:
-            created, task, token, resumed = self.tasks[0]
-            self.tasks[0] = (created, task, token, True)
-            yield Row(url=key[0], outcome="duplicate" if resumed else "resumed", task_uuid=task, token=None if resumed else token, notification=id_, at=at)
-
-    def due(self) -> int | None:
-        return self.tasks[0][0] + self.live if self.tasks else None
-
-    def close_due(self, key: tuple, until: int) -> Iterator[Row]:
-        while self.tasks and self.tasks[0][0] + self.live <= until:
-            created, task, token, resumed = self.tasks.pop(0)
+        self.arrived = Rows(handle, "arrived", "url string, at long, put boolean, id string, token string")
+        self.waiting = Rows(handle, "tasks", "url string, at long, id string, token string, resumed boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [tuple(r)[1:6] for r in rows]
+        self.arrived.append(new)
+        self.wake_at(min(r[1] for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if (now := self.wake(key, timerValues)) is None:
+            return
+        rows = self.arrived.get()
+        ready, later = sorted(r for r in rows if r[1] <= now), [r for r in rows if r[1] > now]
+        before = self.waiting.get()
+        tasks: dict[str, deque[tuple]] = {}
+        for url, *task in before:
+            tasks.setdefault(url, deque()).append(tuple(task))
+        for url, of in groupby(ready, lambda r: r[0]):
+            mine = tasks.setdefault(url, deque())
+            for _, at, put, id_, token in of:
+                yield from self._expired(url, mine, at - 1)
+                if put:
+                    yield self._answer(url, mine, at, id_)
+                else:
+                    mine.append((at, id_, token, False))
+        for url, mine in tasks.items():
+            yield from self._expired(url, mine, now)
+        after = [(url, *task) for url, mine in tasks.items() for task in mine]
+        if after != before:
+            self.waiting.put(after)
+        if ready:
+            self.arrived.put(later)
+        self.wake_at(min([r[1] for r in later] + [mine[0][0] + self.live for mine in tasks.values() if mine], default=None))
+
+    def _answer(self, url: str, tasks: deque[tuple], at: int, id_: str) -> Row:
+        if not tasks:
+            return _Answer(url, "unmatched", None, None, id_, at)
+        created, task, token, resumed = tasks[0]
+        tasks[0] = (created, task, token, True)
+        return _Answer(url, "duplicate" if resumed else "resumed", task, None if resumed else token, id_, at)
+
+    def _expired(self, url: str, tasks: deque[tuple], until: int) -> Iterator[Row]:
+        while tasks and tasks[0][0] + self.live <= until:
+            created, task, token, resumed = tasks.popleft()
             if not resumed:
-                yield Row(url=key[0], outcome="expired", task_uuid=task, token=token, notification=None, at=created + self.live)
+                yield _Answer(url, "expired", task, token, None, created + self.live)
 
 
 def answered(tasks: DataFrame, notifications: DataFrame, seconds: int = TTL_SECONDS, lateness: str = LATENESS) -> DataFrame:
@@ -182,16 +196,17 @@ def answered(tasks: DataFrame, notifications: DataFrame, seconds: int = TTL_SECO
     return answers(waits.unionByName(puts), seconds, lateness)
 
 
-def answers(feed: DataFrame, seconds: int = TTL_SECONDS, lateness: str = LATENESS) -> DataFrame:
+def answers(feed: DataFrame, seconds: int = TTL_SECONDS, lateness: str = LATENESS, groups: int = GROUPS) -> DataFrame:
     """The same for tasks and notifications in one feed: url, at, put (false: a task), id, token."""
-    rows = _timed(feed.where(present(F.col("url")) & F.col("id").isNotNull()), lateness)
-    return _instants(rows.groupBy("url").transformWithState(Waits(seconds), WAIT_ROWS, "Append", "EventTime"))
+    rows = _timed(feed.where(present(F.col("url")) & F.col("id").isNotNull()), lateness).withColumn("token", F.coalesce("token", F.lit("")))
+    rows = _grouped(rows, ["url"], ["micros", "put", "id", "token"], groups)
+    return _instants(rows.groupBy("group").transformWithState(Waits(seconds), WAIT_ROWS, "Append", "EventTime"))
 
 
 PART_ROWS = "uuid string, language string, title string, text array<struct<url: string>>, missing int"
 
 
-class Parts(StatefulProcessor):
+class Parts(Grouped):
     """Of an article and language the parts of its audio, until all are there.
 
     The plan says how many parts there are, and its time begins the wait; plan and parts come in
@@ -205,48 +220,55 @@ class Parts(StatefulProcessor):
         self.live = seconds * _SECOND
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.barrier = handle.getValueState("barrier", "begun long, expected int, done boolean")
-        self.parts = handle.getMapState("parts", "place int", "at long, url string")
+        super().init(handle)
+        self.barriers = Rows(handle, "barriers", "uuid string, language string, begun long, expected int, done boolean")
+        self.parts = Rows(handle, "parts", "uuid string, language string, place int, at long, url string")
+
+    def load(self) -> tuple[dict[tuple, tuple], dict[tuple, dict[int, tuple]]]:
+        """By key the barrier (when the wait began, how many parts, whether the manifest is out), and the parts by place."""
+        plans, have = {(uuid, language): tuple(plan) for uuid, language, *plan in self.barriers.get()}, {}
+        for uuid, language, place, *part in self.parts.get():
+            have.setdefault((uuid, language), {})[place] = tuple(part)
+        return plans, have
+
+    def store(self, plans: dict[tuple, tuple], have: dict[tuple, dict[int, tuple]]) -> None:
+        self.barriers.put([(*key, *plan) for key, plan in plans.items()])
+        self.parts.put([(*key, place, *part) for key, parts in have.items() for place, part in parts.items()])
+        begun = [plan[0] for plan in plans.values()] + [at for key, parts in have.items() if key not in plans for at, _ in parts.values()]
+        self.wake_at(min(begun) + self.live if begun else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        begun, expected, done = self.barrier.get() or (None, None, False)
-        have = {k[0]: tuple(v) for k, v in self.parts.iterator()}
-        had, wake = dict(have), set()
-        for row in rows:
-            wake.add(row["micros"] + self.live)
-            if row["expected"] is not None:
-                begun, expected = min(x for x in ((row["micros"], row["expected"]), (begun, expected)) if x[0] is not None)
-            elif row["place"] is not None:
-                part = row["micros"], row["url"] or ""
-                have[row["place"]] = min(part, have.get(row["place"], part))
-        if not done and begun is not None and len(there := self._there(have, begun, expected)) == expected:
-            yield self._manifest(key, there, expected)
-            done = True
-        for place, part in have.items():
-            if not done and had.get(place) != part:
-                self.parts.updateValue((place,), part)
-        if done and had:
-            self.parts.clear()
-        if begun is not None:
-            self.barrier.update((begun, expected, done))
-        for at in wake:
-            self.handle.registerTimer(-(-at // 1000))
+        plans, have = self.load()
+        come = set()
+        for _, uuid, language, micros, expected, place, url, _ in rows:
+            come.add(of := (uuid, language))
+            begun, count, done = plans.get(of, (None, None, False))
+            if expected is not None:
+                plans[of] = (*((micros, expected) if begun is None else min((micros, expected), (begun, count))), done)
+            elif place is not None and not done:
+                part, parts = (micros, url or ""), have.setdefault(of, {})
+                parts[place] = min(part, parts.get(place, part))
+        for of in sorted(come & plans.keys()):
+            begun, expected, done = plans[of]
+            if not done and len(there := self._there(have.get(of, {}), begun, expected)) == expected:
+                yield self._manifest(of, there, expected)
+                plans[of] = begun, expected, True
+                have.pop(of, None)
+        self.store(plans, have)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        have = {k[0]: tuple(v) for k, v in self.parts.iterator()}
-        if (barrier := self.barrier.get()) is not None:
-            begun, expected, done = barrier
+        if (now := self.wake(key, timerValues)) is None:
+            return
+        plans, have = self.load()
+        for of, (begun, expected, done) in list(plans.items()):
             if begun + self.live <= now:
+                parts = have.pop(of, {})
                 if not done:
-                    yield self._manifest(key, self._there(have, begun, expected), expected)
-                self.barrier.clear()
-                self.parts.clear()
-        else:  # no plan has come for these
-            for place, (at, _) in have.items():
-                if at + self.live <= now:
-                    self.parts.removeKey((place,))
+                    yield self._manifest(of, self._there(parts, begun, expected), expected)
+                del plans[of]
+        for of in have.keys() - plans.keys():  # no plan has come for these
+            have[of] = {place: part for place, part in have[of].items() if part[0] + self.live > now}
+        self.store(plans, have)
 
     def _there(self, have: dict[int, tuple[int, str]], begun: int, expected: int) -> list[tuple[int, str]]:
         return sorted((place, url) for place, (at, url) in have.items() if place < expected and at <= begun + self.live)
@@ -255,9 +277,6 @@ class Parts(StatefulProcessor):
         title = next((url for place, url in there if place == 0), None)
         return Row(uuid=key[0], language=key[1], title=title, text=[Row(url=url) for place, url in there if place], missing=expected - len(there))
 
-    def close(self) -> None:
-        pass
-
 
 def gathered(plans: DataFrame, parts: DataFrame, seconds: int = TTL_SECONDS, lateness: str = LATENESS) -> DataFrame:
     """Manifests as `manifest.assemble` gives them, each once all its parts are there: uuid, language, title, text, missing (0 if complete).
@@ -271,10 +290,11 @@ def gathered(plans: DataFrame, parts: DataFrame, seconds: int = TTL_SECONDS, lat
     return manifests(asked.unionByName(come), seconds, lateness)
 
 
-def manifests(feed: DataFrame, seconds: int = TTL_SECONDS, lateness: str = LATENESS) -> DataFrame:
+def manifests(feed: DataFrame, seconds: int = TTL_SECONDS, lateness: str = LATENESS, groups: int = GROUPS) -> DataFrame:
     """The same for plans and parts in one feed: uuid, language, at, expected or else place and url."""
     rows = _timed(feed.where(F.col("uuid").isNotNull() & F.col("language").isNotNull()), lateness)
-    return rows.groupBy("uuid", "language").transformWithState(Parts(seconds), PART_ROWS, "Append", "EventTime")
+    rows = _grouped(rows, ["uuid", "language"], ["micros", "expected", "place", "url"], groups)
+    return rows.groupBy("group").transformWithState(Parts(seconds), PART_ROWS, "Append", "EventTime")
 
 
 DONE_ROWS = "uuid string, languages int"
