@@ -132,3 +132,16 @@ def test_state_is_kept_by_groups(spark, tmp_path):
     assert sorted(((r["url"], r["outcome"], r["task_uuid"], r["notification"]) for r in got), key=str) == sorted(((url, x[0], x[1], x[3]) for url, rows in by.items() for x in plain_answers(rows, 500)), key=str)
     kept = [p["stateOperators"][0] for p in query.recentProgress]
     assert max(k["numRowsUpdated"] for k in kept) < 75 and {k["numShufflePartitions"] for k in kept} == {12}
+
+
+def test_rows_of_a_feed_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(100).selectExpr("cast(id % 4 AS int) AS slot", "id").mapInPandas(count, "slot int, id bigint")
+    assert tables.feed(rows, 4, f"{tmp_path}/in", each=5) == 5
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/in").collect()) == list(range(100)) and made.value == 100

@@ -117,9 +117,13 @@ def feed(rows: DataFrame, slots: int, path: str, format: str = "parquet", each:
 
     Returns how many files each slot has, so that so many a trigger give a batch for each.
     """
+    spark, staged = rows.sparkSession, f"{path.rstrip('/')}-staged"
+    rows.write.partitionBy("slot").parquet(staged)  # rows may cost much to make, so they are made once
+    rows = spark.read.schema(rows.schema).parquet(staged)
     files = max(1, rows.count() // (slots * each))
     for k in range(slots):
         rows.where(F.col("slot") == k).drop("slot").repartition(files).write.mode("append").format(format).save(path)
+    delete(spark, staged)
     return files
 
 
